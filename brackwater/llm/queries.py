@@ -1,10 +1,12 @@
 """The registered queries of the training-data operators, and SQL for those that SQL can express."""
 
-from brackwater.llm import simhash, toxicity
+from brackwater.llm import rules, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_sharding": sharding.op2_sharding,
+    "op7_quality_rules": rules.op7_quality_rules,
     "op8_simhash": simhash.op8_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_quality_rules": rules.OP7_SQL}
