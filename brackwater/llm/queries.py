@@ -1,12 +1,13 @@
 """The registered queries of the training-data operators, and SQL for those that SQL can express."""
 
-from brackwater.llm import rules, sharding, simhash, toxicity
+from brackwater.llm import decontaminate, rules, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_sharding": sharding.op2_sharding,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_quality_rules": rules.op7_quality_rules,
     "op8_simhash": simhash.op8_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_quality_rules": rules.OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_decontaminate": decontaminate.OP6_SQL, "op7_quality_rules": rules.OP7_SQL}
