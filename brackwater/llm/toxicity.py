@@ -204,7 +204,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, bits: int = BITS, thresho
     """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     fit = known.filter(fold() < 2)
-    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(fit, "doc_id")
+    # the same plan at every size: both sides are shuffled
+    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(fit.hint("merge"), "doc_id")
     grams = stored(expression_counts(word_counts(train)), "toxicity-grams")
     raw = stored(statistics(docs, KneserNey(grams, bits)), "toxicity-ratios")
     # at most 12,001 bins reach the driver
