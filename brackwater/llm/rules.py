@@ -78,6 +78,7 @@ def measurements(docs: DataFrame) -> DataFrame:
     without = lambda c, chars: F.translate(c, chars, "")
     base = docs.select(
         F.col("doc_id"),
+        F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"),
         text.alias("text"),
         F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "").alias("words"),
         F.filter(F.split(text, "\n"), lambda x: F.length(without(x, SPACES)) > 0).alias("lines"),
@@ -85,11 +86,13 @@ def measurements(docs: DataFrame) -> DataFrame:
     kept = F.col("text")
     return base.select(
         "doc_id",
+        "key",
         F.size("words").cast("long").alias("n_words"),
         F.length(without(kept, SPACES)).cast("long").alias("word_chars"),
         (F.length(kept) - F.length(without(kept, SYMBOLS))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("words")).alias("n_repeat_words"),
+        F.size(F.array_distinct("words")).cast("long").alias("n_distinct_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.length(kept) - F.length(without(kept, "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜ"))).cast("long").alias("n_upper"),
         (F.length(kept) - F.length(without(kept, "!"))).cast("long").alias("n_marks"),
