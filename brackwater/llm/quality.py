@@ -2,7 +2,7 @@
 
 Labellers look at a text's measurements and vote good, bad or nothing. The votes of a row are one
 pattern; the patterns are counted over all rows, and expectation-maximisation on those counts
-estimates how often each labeller votes what on good and on bad texts. The posterior of a row's
+estimates how often each labeller, when it votes, is right about good and about bad texts. The posterior of a row's
 pattern is its training label: no given label is used. A linear scorer over hashed features
 (words, endings, shapes, and how much a text repeats itself) learns the posteriors, so that it
 also judges texts on which the labellers are silent or at odds.
@@ -35,7 +35,7 @@ from brackwater.llm.rules import measurements
 
 BITS = 18
 SAMPLE = 3000
-KEEP = 0.5
+KEEP = 0.3
 GOOD, BAD, NONE = 2, 1, 0
 
 #: Labeller -> (votes bad when, votes good when), on the measurements of a row.
@@ -59,29 +59,35 @@ def votes(docs: DataFrame) -> DataFrame:
     return measured.select("doc_id", "key", pattern.cast("int").alias("pattern"))
 
 
-def posteriors(counts: dict[int, int], rounds: int = 200, prior: float = 0.85) -> dict[int, float]:
-    """The probability of good for each pattern, by EM on the patterns' counts."""
+def posteriors(counts: dict[int, int], rounds: int = 200) -> dict[int, float]:
+    """The probability of good for each pattern, by EM on the patterns' counts.
+
+    Bad texts are of several kinds and most labellers find nothing wrong with most of them, so
+    there is a latent class for good texts and one for the kind of bad text that each labeller
+    looks for. A class has an accuracy for each labeller, among the votes that it casts.
+    """
     if not counts:
         return {}
     patterns = np.array(sorted(counts))
     n = np.array([counts[p] for p in patterns], dtype=float)
     digits = np.stack([patterns // 3**k % 3 for k in range(len(LABELLERS))], axis=1)
-    for_, against = (digits == GOOD).sum(axis=1), (digits == BAD).sum(axis=1)
-    good = (for_ + 4 * prior) / (for_ + 2 * against + 4)
+    against = (digits == BAD).astype(float)
+    share = np.concatenate([np.where(against.any(axis=1), 0.05, 0.95)[:, None], against + 0.005], axis=1)
+    share /= share.sum(axis=1, keepdims=True)
     for _ in range(rounds):
         logs = []
-        for p in (good, 1 - good):
-            share = (n * p).sum()
-            log = np.full(len(n), np.log((share + 1) / (n.sum() + 2)))
-            for k in range(len(LABELLERS)):
-                seen = np.bincount(digits[:, k], weights=n * p, minlength=3) + 0.5
-                log += np.log(seen / seen.sum())[digits[:, k]]
+        for p in share.T:
+            log = np.full(len(n), np.log(((n * p).sum() + 1) / (n.sum() + share.shape[1])))
+            for k in range(len(LABELLERS)):  # silence tells nothing
+                seen = np.bincount(digits[:, k], weights=n * p, minlength=3)[1:] + 0.5
+                log += np.r_[0.0, np.log(seen / seen.sum())][digits[:, k]]
             logs.append(log)
-        new = 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -50, 50)))
-        if np.abs(new - good).max() < 1e-6:
+        new = np.exp(np.stack(logs, axis=1) - np.max(logs, axis=0)[:, None])
+        new /= new.sum(axis=1, keepdims=True)
+        if np.abs(new - share).max() < 1e-6:
             break
-        good = new
-    return dict(zip(patterns.tolist(), new.tolist(), strict=True))
+        share = new
+    return dict(zip(patterns.tolist(), share[:, 0].tolist(), strict=True))
 
 
 _RUNS = (re.compile(r"[^\W\d_]+"), re.compile(r"\d+"))
@@ -166,7 +172,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict[int, f
     good = posteriors(counts)
     keys: set[int] = set()
     for side in (True, False):
-        of = [p for p, g in good.items() if (g >= KEEP) == side]
+        of = [p for p, g in good.items() if (g >= 0.5) == side]
         keys |= {r["key"] for r in voted.filter(F.col("pattern").isin(of)).select("key").distinct().orderBy("key").limit(sample).collect()} if of else set()
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
     chosen = docs.select(key.alias("key"), "text").filter(F.col("key").isin(list(keys))) if keys else docs.select(F.lit(0).cast("long").alias("key"), "text").limit(0)
