@@ -1,12 +1,14 @@
 """The registered queries of the training-data operators, and SQL for those that SQL can express."""
 
-from brackwater.llm import decontaminate, rules, sharding, simhash, toxicity
+from brackwater.llm import decontaminate, packing, quality, rules, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_sharding": sharding.op2_sharding,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_quality_rules": rules.op7_quality_rules,
+    "op9_packing": packing.op9_packing,
+    "op10_quality": quality.op10_quality,
     "op8_simhash": simhash.op8_simhash,
 }
 
