@@ -1,10 +1,12 @@
 """The registered queries of the training-data operators, and SQL for those that SQL can express."""
 
-from brackwater.llm import decontaminate, packing, quality, rules, sharding, simhash, toxicity
+from brackwater.llm import chat, decontaminate, packing, quality, rules, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_sharding": sharding.op2_sharding,
+    "op4_chat": chat.op4_chat,
+    "op5_warc": warc.op5_warc,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_quality_rules": rules.op7_quality_rules,
     "op9_packing": packing.op9_packing,
@@ -12,4 +14,4 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_decontaminate": decontaminate.OP6_SQL, "op7_quality_rules": rules.OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_warc": warc.OP5_SQL, "op6_decontaminate": decontaminate.OP6_SQL, "op7_quality_rules": rules.OP7_SQL}
