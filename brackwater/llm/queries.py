@@ -1,10 +1,11 @@
 """The registered queries of the training-data operators, and SQL for those that SQL can express."""
 
-from brackwater.llm import chat, decontaminate, packing, quality, rules, sharding, simhash, toxicity, warc
+from brackwater.llm import chat, decontaminate, packing, quality, rules, sharding, simhash, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_sharding": sharding.op2_sharding,
+    "op3_suffix_dedup": suffixes.op3_suffix_dedup,
     "op4_chat": chat.op4_chat,
     "op5_warc": warc.op5_warc,
     "op6_decontaminate": decontaminate.op6_decontaminate,
