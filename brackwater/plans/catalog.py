@@ -1,4 +1,634 @@
 """Every registered query of the lakehouse operators, with its DuckDB twin."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from brackwater.functions.keys import composite_key, surrogate_key
+from brackwater.operators import conform, ingest, marts, merge, quality, star
+from brackwater.sources import model, readers, sinks
+from brackwater.sources.model import MODEL_SQL
+from brackwater.streaming import streams
+
+QUERIES: dict[str, Callable] = {}
+ORACLE_SQL: dict[str, str] = {}
+TRACKED = ["full_name", "email", "segment", "address"]
+
+
+def register(sql: str | None = None, own: bool = False):
+    """Registers a function as the query of its name; ``sql`` follows the model's expressions."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql if own else f"{MODEL_SQL} {sql}"
+        return f
+
+    return add
+
+
+def _dim(spark, d) -> DataFrame:
+    first = merge.scd2_start(model.customers(spark, d), "customer_id", TRACKED, "updated_at")
+    return merge.scd2_merge(first, model.changed_customers(spark, d), "customer_id", TRACKED, "updated_at")
+
+
+def _fact(spark, d) -> DataFrame:
+    return star.fact_order_items(model.order_items(spark, d), model.orders(spark, d), model.products(spark, d), _dim(spark, d))
+
+
+def _clicks(spark, d) -> DataFrame:
+    return quality.in_domain(model.clickstream(spark, d), "event_type", conform.EVENT_TYPES, "invalid_event_type")[0]
+
+
+def _log(spark, d) -> DataFrame:
+    log = model.change_log(spark, d).withColumn("order_date", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
+    return ingest.envelope(log, "orders", "order_id", data=["order_id", "customer_id", "order_date", "status", "campaign_id"])
+
+
+# --- ingest and change capture
+
+
+@register("SELECT review_id, product_id, rating, submitted_at FROM m_reviews WHERE submitted_at > (SELECT max(submitted_at) FROM m_reviews WHERE review_id % 100000 <= 100)")
+def incremental_by_timestamp(spark, d):
+    source = model.reviews(spark, d)
+    return ingest.incremental(source, source.filter("review_id % 100000 <= 100"), "submitted_at").select("review_id", "product_id", "rating", "submitted_at")
+
+
+@register("SELECT * FROM m_items WHERE order_item_id > (SELECT max(order_item_id) // 2 FROM m_items)")
+def incremental_by_id(spark, d):
+    source = model.order_items(spark, d)
+    half = source.agg(F.expr("max(order_item_id) div 2").alias("order_item_id"))
+    return ingest.incremental(source, half, "order_item_id")
+
+
+@register("SELECT coalesce(max(order_item_id), 1) AS upper_bound FROM m_items")
+def max_id_probe(spark, d):
+    source = model.order_items(spark, d)
+    return source.agg(F.coalesce(F.max("order_item_id"), F.lit(1)).alias("upper_bound"))
+
+
+@register("""SELECT 'orders' AS table_name, CASE WHEN created_at = updated_at THEN 'insert' ELSE 'update' END AS op, 'order_id' AS pk_column, order_id::VARCHAR AS pk_value,
+ '{"order_id":' || order_id || ',"customer_id":' || customer_id || ',"order_date":"' || strftime(created_at, '%Y-%m-%d %H:%M:%S') || '","status":"' || status || '","campaign_id":' || coalesce(campaign_id::VARCHAR, 'null') || '}' AS data_json,
+ updated_at AS captured_at FROM m_log WHERE updated_at > TIMESTAMP '1995-01-01'""")
+def cdc_extract(spark, d):
+    log = model.change_log(spark, d).withColumn("order_date", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
+    from datetime import datetime
+
+    return ingest.envelope(ingest.extract_changes(log, datetime(1995, 1, 1)), "orders", "order_id", data=["order_id", "customer_id", "order_date", "status", "campaign_id"])
+
+
+LATEST_SQL = "SELECT order_id, customer_id, created_at AS order_date, status, campaign_id, updated_at AS captured_at FROM m_log QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY updated_at DESC, status) = 1"
+
+
+@register(LATEST_SQL)
+def cdc_latest_orders(spark, d):
+    return conform.latest_orders(_log(spark, d))
+
+
+@register("SELECT customer_id, full_name, email, CASE WHEN customer_id % 7 = 0 THEN 'VIP' ELSE segment END AS segment, address, TIMESTAMP '1998-01-01' AS updated_at, TIMESTAMP '1998-01-01' AS captured_at FROM m_customers")
+def cdc_latest_customers(spark, d):
+    both = model.customers(spark, d).unionByName(model.changed_customers(spark, d)).withColumn("created_at", F.expr("timestamp_ntz'1990-01-01 00:00:00'")).withColumn("text", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"))
+    payload = both.withColumn("captured_at", F.col("updated_at")).withColumn("updated_at", F.col("text"))
+    log = ingest.envelope(payload, "customers", "customer_id", updated="captured_at", data=["customer_id", *TRACKED, "updated_at"])
+    return conform.latest_customers(log)
+
+
+@register("SELECT event_id, ts FROM m_clicks WHERE ts >= (SELECT min(ts)::DATE + 1 FROM m_clicks) AND ts < (SELECT min(ts)::DATE + 4 FROM m_clicks)")
+def backfill_window(spark, d):
+    clicks = model.clickstream(spark, d).select("event_id", "ts")
+    first = clicks.agg(F.to_date(F.min("ts"))).first()[0]
+    from datetime import timedelta
+
+    return ingest.window_scan(clicks, "ts", (first + timedelta(days=1)).isoformat(), (first + timedelta(days=3)).isoformat())
+
+
+@register("SELECT s AS window_start, least(s + 6, b) AS window_end FROM (SELECT unnest(generate_series(a, b, INTERVAL 7 DAY))::DATE AS s, b FROM (SELECT min(order_date)::DATE AS a, max(order_date)::DATE AS b FROM m_orders))")
+def backfill_windows(spark, d):
+    a, b = model.orders(spark, d).agg(F.to_date(F.min("order_date")), F.to_date(F.max("order_date"))).first()
+    return ingest.backfill_windows(spark, a.isoformat(), b.isoformat(), 7)
+
+
+@register("SELECT * FROM m_products")
+def snapshot_replace(spark, d):
+    path = sinks.scratch(spark, "snapshot")
+    products = model.products(spark, d)
+    sinks.replace_snapshot(products.filter("product_id < 10"), path)
+    sinks.replace_snapshot(products, path)
+    sinks.replace_snapshot(products.filter("product_id < 0"), path)
+    return spark.read.schema(products.schema).parquet(path)
+
+
+@register("SELECT * FROM m_campaigns")
+def csv_campaigns(spark, d):
+    path = sinks.scratch(spark, "campaigns")
+    model.campaigns(spark, d).write.option("header", True).csv(path)
+    return readers.read_csv(spark, path).drop("ingested_at")
+
+
+@register("SELECT review_id, product_id, rating, body, verified_purchase, submitted_at FROM m_reviews")
+def json_reviews(spark, d):
+    path = sinks.scratch(spark, "reviews")
+    model.reviews(spark, d).withColumn("images", F.array(F.lit("a.png"))).write.json(path)
+    return readers.read_documents(spark, path)
+
+
+@register("SELECT event_id, session_id, event_type FROM m_clicks")
+def file_drop_ingest(spark, d):
+    """Files are taken once each, in two runs over one checkpoint."""
+    root = sinks.scratch(spark, "drop")
+    clicks = model.clickstream(spark, d).select("event_id", "session_id", "event_type")
+    for odd in (0, 1):
+        clicks.filter(F.col("event_id") % 2 == odd).write.mode("append").parquet(f"{root}/in")
+        streams.run_to_table(streams.file_stream(spark, f"{root}/in", clicks.schema), f"{root}/out", f"{root}/check")
+    return spark.read.schema(clicks.schema).parquet(f"{root}/out")
+
+
+@register("SELECT event_id::VARCHAR AS value, ts AS failed_at FROM m_clicks WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 20")
+def dead_letters_newest(spark, d):
+    dead = model.clickstream(spark, d).filter("event_type = 'error'").select(F.col("event_id").cast("string").alias("value"), F.col("ts").alias("failed_at"), "event_id")
+    return readers.newest(dead, "failed_at", 20, F.desc("event_id")).drop("event_id")
+
+
+# --- sinks, written and read again
+
+
+@register("SELECT order_id, status FROM m_orders UNION ALL SELECT order_id, status FROM m_orders WHERE order_id % 2 = 0")
+def append_roundtrip(spark, d):
+    path = sinks.scratch(spark, "append")
+    orders = model.orders(spark, d).select("order_id", "status")
+    sinks.append(orders, path)
+    sinks.append(orders.filter("order_id % 2 = 0"), path)
+    return spark.read.schema(orders.schema).parquet(path)
+
+
+@register("SELECT order_id, CASE WHEN year(order_date) = 1995 THEN 'rewritten' ELSE status END AS status, year(order_date)::INTEGER AS year FROM m_orders")
+def dynamic_overwrite(spark, d):
+    path = sinks.scratch(spark, "dynamic")
+    orders = model.orders(spark, d).select("order_id", "status", F.year("order_date").alias("year"))
+    sinks.overwrite_partitions(orders.repartition("year"), path, "year")
+    sinks.overwrite_partitions(orders.filter("year = 1995").withColumn("status", F.lit("rewritten")), path, "year")
+    return spark.read.parquet(path).select("order_id", "status", "year")
+
+
+@register("SELECT order_id, CASE WHEN order_id % 3 = 0 THEN 'shipped' ELSE status END AS status FROM m_orders")
+def merge_upsert(spark, d):
+    orders = model.orders(spark, d).select("order_id", "status")
+    return merge.merge_upsert(orders.filter("order_id % 2 = 0"), orders.withColumn("status", F.when(F.col("order_id") % 3 == 0, "shipped").otherwise(F.col("status"))), ["order_id"])
+
+
+@register("SELECT status, count(*) AS orders FROM m_orders GROUP BY status")
+def serving_swap(spark, d):
+    root, orders = sinks.scratch(spark, "serving"), model.orders(spark, d)
+    sinks.swap_view(streams.status_counts(orders.filter("order_id < 100")), root, "serving_status")
+    sinks.swap_view(streams.status_counts(orders), root, "serving_status")
+    return spark.table("serving_status")
+
+
+@register("SELECT order_id, customer_id, order_date FROM m_orders")
+def bucketed_layout(spark, d):
+    path, orders = sinks.scratch(spark, "layout"), model.orders(spark, d).select("order_id", "customer_id", "order_date").withColumn("order_date", F.col("order_date"))
+    monthly = orders.withColumn("month", F.trunc("order_date", "month"))
+    sinks.partitioned_layout(monthly, path, "month", "customer_id", 4)
+    return spark.read.schema(orders.schema).parquet(path).select(*orders.columns)
+
+
+# --- conforming and keys
+
+
+@register("SELECT * FROM m_products WHERE product_id IS NOT NULL AND sku IS NOT NULL")
+def conform_products(spark, d):
+    return conform.conform_products(model.products(spark, d))
+
+
+@register("SELECT * FROM (SELECT * FROM m_noisy QUALIFY row_number() OVER (PARTITION BY order_item_id ORDER BY product_id NULLS FIRST, quantity, unit_price) = 1) WHERE product_id IS NOT NULL")
+def conform_order_items(spark, d):
+    again = model.noisy_items(spark, d).withColumn("ingested_at", F.lit(2)).unionByName(model.order_items(spark, d).withColumn("ingested_at", F.lit(1)))
+    return conform.conform_order_items(again, F.desc("ingested_at"), "product_id", "quantity", "unit_price")
+
+
+@register("SELECT * FROM m_clicks WHERE event_type IN ('page_view', 'product_view', 'add_to_cart', 'checkout_start', 'checkout_complete')")
+def valid_events(spark, d):
+    return _clicks(spark, d)
+
+
+@register("SELECT *, 'invalid_event_type' AS _quarantine_reason FROM m_clicks WHERE event_type IS NULL OR event_type NOT IN ('page_view', 'product_view', 'add_to_cart', 'checkout_start', 'checkout_complete')")
+def invalid_events(spark, d):
+    return quality.in_domain(model.clickstream(spark, d), "event_type", conform.EVENT_TYPES, "invalid_event_type")[1]
+
+
+@register("SELECT order_id, sha256('postgres|' || order_id) AS sk_order, md5('postgres||' || order_id || '||' || customer_id) AS sk_pair, CASE WHEN campaign_id IS NOT NULL THEN sha256('csv|' || campaign_id) END AS sk_campaign FROM m_orders")
+def surrogate_keys(spark, d):
+    return model.orders(spark, d).select("order_id", surrogate_key("postgres", F.col("order_id")).alias("sk_order"), composite_key("postgres", F.col("order_id"), F.col("customer_id")).alias("sk_pair"), surrogate_key("csv", F.col("campaign_id")).alias("sk_campaign"))
+
+
+# --- quality
+
+BAD_NULL, BAD_RANGE = "(order_item_id IS NULL OR order_id IS NULL OR product_id IS NULL)", "(coalesce(quantity < 1, false) OR coalesce(unit_price < 0, false))"
+REASON_SQL = f"CASE WHEN {BAD_NULL} AND {BAD_RANGE} THEN 'null_check_failed,range_check_failed' WHEN {BAD_NULL} THEN 'null_check_failed' WHEN {BAD_RANGE} THEN 'range_check_failed' END"
+
+
+@register(f"SELECT order_item_id FROM m_noisy WHERE {BAD_NULL}")
+def null_rule(spark, d):
+    return model.noisy_items(spark, d).filter(quality.fails_null(quality.RULES["order_items"][0])).select("order_item_id")
+
+
+@register(f"SELECT order_item_id FROM m_noisy WHERE {BAD_RANGE}")
+def range_rule(spark, d):
+    return model.noisy_items(spark, d).filter(quality.fails_range(quality.RULES["order_items"][1])).select("order_item_id")
+
+
+@register(f"SELECT * FROM m_noisy WHERE NOT {BAD_NULL} AND NOT {BAD_RANGE}")
+def gate_passed(spark, d):
+    return quality.gate(model.noisy_items(spark, d), "order_items")[0]
+
+
+@register(f"SELECT *, {REASON_SQL} AS _quarantine_reason FROM m_noisy WHERE {BAD_NULL} OR {BAD_RANGE}")
+def gate_quarantined(spark, d):
+    return quality.gate(model.noisy_items(spark, d), "order_items")[1]
+
+
+@register("SELECT count(*) AS source_rows, count(*) AS landed_rows, true AS ok FROM m_noisy")
+def gate_reconcile(spark, d):
+    items = model.noisy_items(spark, d)
+    return quality.reconcile(items, *quality.gate(items, "order_items"))
+
+
+@register(f"""SELECT DATE '2025-01-01' AS batch_date, 'order_items' AS table_name, count(*) FILTER (({REASON_SQL}) IS NULL) AS passed_count, count(*) FILTER (({REASON_SQL}) IS NOT NULL) AS quarantined_count FROM m_noisy
+UNION ALL SELECT DATE '2025-01-01', 'orders', count(*), 0 FROM m_orders UNION ALL SELECT DATE '2025-01-01', 'products', count(*), 0 FROM m_products""")
+def quality_gate_summary(spark, d):
+    marked = {"order_items": model.noisy_items(spark, d), "orders": model.orders(spark, d), "products": model.products(spark, d)}
+    return quality.gate_summary({n: quality.tagged(x, n) for n, x in marked.items()}, F.lit("2025-01-01").cast("date"))
+
+
+def _quarantines(spark, d):
+    items = quality.gate(model.noisy_items(spark, d), "order_items")[1].join(model.orders(spark, d).select("order_id", "order_date"), "order_id")
+    events = quality.in_domain(model.clickstream(spark, d), "event_type", conform.EVENT_TYPES, "invalid_event_type")[1]
+    return {"order_items": (items, F.col("order_date")), "clickstream": (events, F.col("ts"))}
+
+
+QUARANTINE_SQL = f"""q AS (SELECT order_date::DATE AS batch_date, 'order_items' AS table_name, {REASON_SQL} AS failure_reason FROM m_noisy JOIN m_orders USING (order_id)
+ UNION ALL SELECT ts::DATE, 'clickstream', 'invalid_event_type' FROM m_clicks WHERE event_type = 'error'),
+qs AS (SELECT batch_date, table_name, failure_reason, count(*) AS row_count FROM q WHERE failure_reason IS NOT NULL GROUP BY ALL)"""
+
+
+@register(f", {QUARANTINE_SQL} SELECT * FROM qs")
+def quarantine_summary(spark, d):
+    return quality.quarantine_summary(_quarantines(spark, d))
+
+
+@register("""SELECT 'null:order_item_id' AS rule, 0::BIGINT AS violations UNION ALL SELECT 'null:product_id', count(*) FILTER (product_id IS NULL) FROM m_noisy
+UNION ALL SELECT 'duplicate:order_id', count(*) - count(DISTINCT order_id) FROM m_noisy""")
+def contract_violations(spark, d):
+    return quality.contract_violations(model.noisy_items(spark, d), ["order_item_id", "product_id"], ["order_id"])
+
+
+# --- star schema
+
+
+@register("""SELECT strftime(c, '%Y%m%d')::INTEGER AS date_key, c AS calendar_date, (dayofweek(c) + 1)::INTEGER AS day_of_week, dayname(c) AS day_name, weekofyear(c)::INTEGER AS week_of_year, month(c)::INTEGER AS month,
+ monthname(c) AS month_name, quarter(c)::INTEGER AS quarter, year(c)::INTEGER AS year, dayofweek(c) IN (0, 6) AS is_weekend FROM (SELECT unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS c FROM (SELECT min(order_date)::DATE AS a, max(order_date)::DATE AS b FROM m_orders))""")
+def dim_date(spark, d):
+    a, b = model.orders(spark, d).agg(F.to_date(F.min("order_date")), F.to_date(F.max("order_date"))).first()
+    return star.dim_date(spark, a.isoformat(), b.isoformat())
+
+
+@register("SELECT sha256('postgres|' || product_id) AS sk_product_id, product_id, sku, name AS product_name, category, unit_price::DOUBLE AS current_price FROM m_products")
+def dim_product(spark, d):
+    return star.dim_product(model.products(spark, d))
+
+
+@register("SELECT sha256('csv|' || campaign_id) AS sk_campaign_id, campaign_id, name, channel, start_date, end_date FROM m_campaigns")
+def dim_campaign(spark, d):
+    return star.dim_campaign(model.campaigns(spark, d))
+
+
+@register("SELECT *, valid_to IS NULL AS is_current FROM m_dim_customer")
+def dim_customer_scd2(spark, d):
+    return _dim(spark, d)
+
+
+@register("SELECT customer_id, segment, valid_from FROM m_dim_customer WHERE valid_to IS NULL")
+def scd2_current(spark, d):
+    return _dim(spark, d).filter("is_current").select("customer_id", "segment", "valid_from")
+
+
+@register("SELECT customer_id, 2::BIGINT AS versions FROM m_customers WHERE customer_id % 5 = 0 ORDER BY customer_id LIMIT 5")
+def scd2_invariant(spark, d):
+    """Finds the keys of a dimension that was given a second current version on purpose."""
+    dim = _dim(spark, d)
+    return merge.current_invariant(dim.unionByName(dim.filter("is_current and customer_id % 5 = 0")), "customer_id")
+
+
+@register("""SELECT md5('postgres||' || order_item_id) AS sk_order_id, md5('postgres||' || order_id || '||' || product_id) AS sk_order_product, md5('postgres||' || customer_id || '||' || strftime(valid_from, '%Y-%m-%d %H:%M:%S')) AS sk_customer_id,
+ sha256('postgres|' || product_id) AS sk_product_id, CASE WHEN campaign_id IS NOT NULL THEN sha256('csv|' || campaign_id) END AS sk_campaign_id, order_item_id, order_id, customer_id, order_date, strftime(order_date, '%Y%m%d')::INTEGER AS date_key,
+ status, product_id, campaign_id, segment, quantity, unit_price, line_total::DOUBLE AS line_total FROM m_fact""")
+def fact_order_items(spark, d):
+    return _fact(spark, d).withColumn("line_total", F.col("line_total").cast("double"))
+
+
+@register("SELECT *, 'unknown_product' AS _quarantine_reason FROM m_noisy WHERE product_id IS NULL OR product_id NOT IN (SELECT product_id FROM m_products) UNION ALL SELECT *, 'unknown_order' FROM m_noisy WHERE order_id NOT IN (SELECT order_id FROM m_orders)")
+def unmatched_items(spark, d):
+    return star.unmatched_items(model.noisy_items(spark, d), model.orders(spark, d), model.products(spark, d))
+
+
+# --- marts
+
+DAILY_SQL = "daily AS (SELECT order_date::DATE AS sales_date, count(DISTINCT order_id) AS order_count, sum(line_total)::DOUBLE AS total_revenue FROM m_fact GROUP BY 1), sales AS (SELECT *, round(avg(total_revenue) OVER (ORDER BY sales_date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW), 6) AS revenue_7d_avg, round(avg(total_revenue) OVER (ORDER BY sales_date RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW), 6) AS revenue_30d_avg FROM daily)"
+TOP_SQL = "top AS (SELECT product_id, name AS product_name, sku, category, units_sold::BIGINT AS units_sold, total::DOUBLE AS revenue, rank() OVER (PARTITION BY category ORDER BY total DESC)::INTEGER AS rank_in_category FROM (SELECT product_id, sum(quantity) AS units_sold, sum(line_total) AS total FROM m_fact GROUP BY 1) JOIN m_products USING (product_id))"
+SEGMENT_SQL = "seg AS (SELECT segment, count(DISTINCT customer_id) AS customer_count, sum(line_total)::DOUBLE AS total_revenue, round(sum(line_total)::DOUBLE / count(DISTINCT order_id), 4) AS avg_order_value FROM m_fact GROUP BY 1)"
+CONVERSION_SQL = "conv AS (SELECT ts::DATE AS activity_date, count(DISTINCT session_id) AS sessions, count(DISTINCT session_id) FILTER (event_type = 'checkout_complete') AS checkout_completions, round(count(DISTINCT session_id) FILTER (event_type = 'checkout_complete') / count(DISTINCT session_id), 6) AS conversion_rate FROM m_clicks WHERE event_type <> 'error' GROUP BY 1)"
+CAMPAIGN_SQL = "camp AS (SELECT campaign_id, name, channel, spend, clicks, conversions, CASE WHEN conversions > 0 THEN round(spend / conversions, 6) END AS cost_per_conversion FROM m_campaigns)"
+CLV_SQL = "clv AS (SELECT f.*, c.full_name, c.segment, round(total_spend / total_orders, 4) AS avg_order_value, (SELECT max(order_date)::DATE FROM m_orders) - last_order_date AS days_since_last_order FROM (SELECT customer_id, count(DISTINCT order_id) AS total_orders, sum(line_total)::DOUBLE AS total_spend, min(order_date)::DATE AS first_order_date, max(order_date)::DATE AS last_order_date FROM m_fact GROUP BY 1) f LEFT JOIN (SELECT * FROM m_dim_customer WHERE valid_to IS NULL) c USING (customer_id))"
+FUNNEL_SQL = "stages AS (SELECT ts::DATE AS activity_date, count(DISTINCT session_id) FILTER (event_type = 'page_view') AS page_view, count(DISTINCT session_id) FILTER (event_type = 'add_to_cart') AS add_to_cart, count(DISTINCT session_id) FILTER (event_type = 'checkout_start') AS checkout_start, count(DISTINCT session_id) FILTER (event_type = 'checkout_complete') AS checkout_complete FROM m_clicks WHERE event_type <> 'error' GROUP BY 1), funnel AS (SELECT *, CASE WHEN add_to_cart > 0 THEN round(checkout_start / add_to_cart, 6) END AS cart_to_checkout_rate, CASE WHEN checkout_start > 0 THEN round(checkout_complete / checkout_start, 6) END AS checkout_to_purchase_rate FROM stages)"
+ROAS_SQL = "ro AS (SELECT campaign_id, name, channel, start_date, end_date, spend, attributed_revenue, CASE WHEN spend > 0 THEN round(attributed_revenue / spend, 4) END AS roas FROM m_campaigns LEFT JOIN (SELECT campaign_id, sum(line_total)::DOUBLE AS attributed_revenue FROM m_fact WHERE campaign_id IS NOT NULL GROUP BY 1) USING (campaign_id))"
+SCORED_SQL = "scored AS (SELECT *, CASE WHEN body IS NOT NULL THEN coalesce(list_avg(list_transform(list_filter(string_split_regex(lower(body), '[^a-z]+'), lambda w: w IN ('bad', 'excellent', 'good', 'great', 'idiot', 'poor', 'stupid', 'trash', 'with', 'worthless')), lambda w: CASE WHEN w = 'with' THEN 0.25::DOUBLE WHEN w IN ('excellent', 'good', 'great') THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)), 0) END AS sentiment_score FROM m_reviews)"
+
+
+@register(f", {DAILY_SQL} SELECT * FROM sales")
+def daily_sales(spark, d):
+    return marts.daily_sales(_fact(spark, d))
+
+
+@register(f", {TOP_SQL} SELECT * FROM top")
+def top_products(spark, d):
+    return marts.top_products(_fact(spark, d), model.products(spark, d))
+
+
+@register(f", {SEGMENT_SQL} SELECT * FROM seg")
+def customer_segments(spark, d):
+    return marts.customer_segments(_fact(spark, d))
+
+
+@register(f", {CONVERSION_SQL} SELECT * FROM conv")
+def conversion_rate(spark, d):
+    return marts.conversion_rate(_clicks(spark, d))
+
+
+@register(f", {CAMPAIGN_SQL} SELECT * FROM camp")
+def campaign_effectiveness(spark, d):
+    return marts.campaign_effectiveness(model.campaigns(spark, d))
+
+
+@register(f", {SCORED_SQL} SELECT review_id, product_id, rating, body, verified_purchase, submitted_at, round(sentiment_score, 6) AS sentiment_score FROM scored")
+def silver_reviews(spark, d):
+    return marts.silver_reviews(model.reviews(spark, d)).withColumn("sentiment_score", F.round("sentiment_score", 6))
+
+
+@register(f", {SCORED_SQL} SELECT s.*, p.name AS product_name, p.category FROM (SELECT product_id, count(*) AS review_count, round(avg(rating), 6) AS avg_rating, round(avg(sentiment_score), 6) AS avg_sentiment, round(count(*) FILTER (verified_purchase) / count(*), 6) AS pct_verified FROM scored GROUP BY 1) s LEFT JOIN m_products p USING (product_id)")
+def product_sentiment(spark, d):
+    rows = marts.product_sentiment(marts.silver_reviews(model.reviews(spark, d)), model.products(spark, d))
+    return rows.withColumn("pct_verified", F.coalesce("pct_verified", F.lit(0.0)))
+
+
+def _clv(spark, d):
+    as_of = F.lit(model.orders(spark, d).agg(F.to_date(F.max("order_date"))).first()[0])
+    return marts.customer_clv(_fact(spark, d), _dim(spark, d).filter("is_current"), as_of)
+
+
+@register(f", {CLV_SQL} SELECT * REPLACE (days_since_last_order::INTEGER AS days_since_last_order) FROM clv")
+def customer_clv(spark, d):
+    return _clv(spark, d)
+
+
+@register(f", {FUNNEL_SQL} SELECT * FROM funnel")
+def funnel_conversion(spark, d):
+    return marts.funnel_conversion(_clicks(spark, d))
+
+
+@register(f", {ROAS_SQL} SELECT * FROM ro")
+def roas(spark, d):
+    return marts.roas(model.campaigns(spark, d), _fact(spark, d))
+
+
+# --- serving queries
+
+
+@register(f", {DAILY_SQL} SELECT sales_date, total_revenue, revenue_7d_avg, revenue_30d_avg FROM sales")
+def v_revenue(spark, d):
+    return daily_sales(spark, d).select("sales_date", "total_revenue", "revenue_7d_avg", "revenue_30d_avg").orderBy("sales_date")
+
+
+@register(f", {TOP_SQL} SELECT category, product_name, revenue, rank_in_category FROM top WHERE rank_in_category <= 5")
+def v_top5_per_category(spark, d):
+    return top_products(spark, d).filter("rank_in_category <= 5").select("category", "product_name", "revenue", "rank_in_category")
+
+
+@register(f", {SEGMENT_SQL} SELECT segment, customer_count, total_revenue FROM seg")
+def v_segments(spark, d):
+    return customer_segments(spark, d).select("segment", "customer_count", "total_revenue").orderBy(F.desc("total_revenue"))
+
+
+@register(f", {CONVERSION_SQL} SELECT activity_date, sessions, checkout_completions FROM conv")
+def v_sessions(spark, d):
+    return conversion_rate(spark, d).select("activity_date", "sessions", "checkout_completions")
+
+
+@register(f", {CONVERSION_SQL} SELECT activity_date, conversion_rate FROM conv")
+def v_conversion(spark, d):
+    return conversion_rate(spark, d).select("activity_date", "conversion_rate")
+
+
+@register(f", {CAMPAIGN_SQL} SELECT name, spend, clicks, conversions, cost_per_conversion FROM camp")
+def v_campaigns_by_spend(spark, d):
+    return campaign_effectiveness(spark, d).select("name", "spend", "clicks", "conversions", "cost_per_conversion").orderBy(F.desc("spend"), "name")
+
+
+@register("SELECT date_trunc('minute', ts) AS window_start, count(*) AS events, count(DISTINCT session_id) AS sessions, count(*) FILTER (event_type = 'checkout_complete') AS completions FROM m_clicks WHERE ts >= (SELECT max(ts) - INTERVAL 2 HOUR FROM m_clicks) GROUP BY 1")
+def v_live_pulse(spark, d):
+    clicks = model.clickstream(spark, d)
+    recent = clicks.filter(F.col("ts") >= F.lit(clicks.agg(F.max("ts")).first()[0]).cast("timestamp_ntz") - F.expr("INTERVAL 2 HOURS"))
+    live = streams.live_activity(recent.withColumn("ts", F.col("ts").cast("timestamp")), exact=True)
+    return live.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "events", "sessions", "completions")
+
+
+@register("SELECT product_id, count(*) AS review_count, round(avg(rating), 6) AS avg_rating FROM m_reviews GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def v_most_reviewed(spark, d):
+    return model.reviews(spark, d).groupBy("product_id").agg(F.count("*").alias("review_count"), F.round(F.avg("rating"), 6).alias("avg_rating")).orderBy(F.desc("review_count"), "product_id").limit(20)
+
+
+@register(f", {ROAS_SQL} SELECT name, spend, attributed_revenue, roas FROM ro")
+def v_campaigns_by_roas(spark, d):
+    return roas(spark, d).select("name", "spend", "attributed_revenue", "roas").orderBy(F.desc_nulls_last("roas"), "name")
+
+
+@register(f", {CLV_SQL} SELECT customer_id, full_name, segment, total_orders, total_spend FROM clv ORDER BY total_spend DESC, customer_id LIMIT 20")
+def v_top_customers(spark, d):
+    return _clv(spark, d).select("customer_id", "full_name", "segment", "total_orders", "total_spend").orderBy(F.desc("total_spend"), "customer_id").limit(20)
+
+
+@register(f", {FUNNEL_SQL} SELECT activity_date, cart_to_checkout_rate, checkout_to_purchase_rate FROM funnel")
+def v_funnel(spark, d):
+    return funnel_conversion(spark, d).select("activity_date", "cart_to_checkout_rate", "checkout_to_purchase_rate")
+
+
+@register(f", {QUARANTINE_SQL} SELECT sum(row_count)::BIGINT AS quarantined FROM qs")
+def v_quarantined_total(spark, d):
+    return quarantine_summary(spark, d).agg(F.sum("row_count").alias("quarantined"))
+
+
+RATE_SQL = f"rate AS (SELECT count(*) AS total, count(*) FILTER (({REASON_SQL}) IS NOT NULL) AS bad FROM m_noisy)"
+
+
+@register(f", {RATE_SQL} SELECT CASE WHEN total = 0 THEN 0 ELSE round(100.0 * bad / total, 6) END AS quarantine_rate FROM rate")
+def v_quarantine_rate(spark, d):
+    sums = quality.gate_summary({"order_items": quality.tagged(model.noisy_items(spark, d), "order_items")}, F.current_date()).agg(F.sum("passed_count").alias("p"), F.sum("quarantined_count").alias("q"))
+    total = F.col("p") + F.col("q")
+    return sums.select(F.when(total == 0, F.lit(0.0)).otherwise(F.round(100.0 * F.col("q") / total, 6)).alias("quarantine_rate"))
+
+
+@register(f", {QUARANTINE_SQL} SELECT 'reason' AS kind, failure_reason AS name, sum(row_count)::BIGINT AS row_count FROM qs GROUP BY failure_reason UNION ALL SELECT 'table', table_name, sum(row_count)::BIGINT FROM qs GROUP BY table_name UNION ALL SELECT 'day', strftime(batch_date, '%Y-%m-%d'), sum(row_count)::BIGINT FROM qs GROUP BY batch_date")
+def v_quarantine_breakdown(spark, d):
+    rows = quarantine_summary(spark, d)
+    by = lambda kind, c: rows.groupBy(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("name")).agg(F.sum("row_count").alias("row_count"))
+    return by("reason", "failure_reason").unionByName(by("table", "table_name")).unionByName(by("day", "batch_date"))
+
+
+@register(f", {QUARANTINE_SQL} SELECT * FROM qs")
+def v_quarantine_detail(spark, d):
+    return quarantine_summary(spark, d).orderBy("batch_date", "table_name", "failure_reason")
+
+
+def _minutes(spark, d):
+    return streams.per_minute(model.orders(spark, d))
+
+
+@register("SELECT count(*)::BIGINT AS orders FROM m_orders WHERE order_date > (SELECT max(order_date) - INTERVAL 5 MINUTE FROM m_orders)")
+def v_orders_last_5_minutes(spark, d):
+    orders = model.orders(spark, d)
+    last = F.lit(orders.agg(F.max("order_date")).first()[0]).cast("timestamp_ntz")
+    return streams.merged(_minutes(spark, d).filter(F.col("minute") > last - F.expr("INTERVAL 5 MINUTES")), []).select(F.coalesce("orders", F.lit(0)).alias("orders"))
+
+
+@register("SELECT date_trunc('minute', order_date) AS minute, count(*) AS orders FROM m_orders WHERE order_date >= (SELECT max(order_date) - INTERVAL 2 HOUR FROM m_orders) GROUP BY 1")
+def v_order_velocity(spark, d):
+    last = F.lit(model.orders(spark, d).agg(F.max("order_date")).first()[0]).cast("timestamp_ntz")
+    return _minutes(spark, d).filter(F.col("minute") >= last - F.expr("INTERVAL 2 HOURS"))
+
+
+@register("SELECT count(*) * 55.5::DOUBLE AS estimated_revenue FROM m_orders WHERE order_date >= (SELECT max(order_date) - INTERVAL 1 HOUR FROM m_orders)")
+def v_revenue_last_hour(spark, d):
+    last = F.lit(model.orders(spark, d).agg(F.max("order_date")).first()[0]).cast("timestamp_ntz")
+    return streams.revenue_estimate(_minutes(spark, d).filter(F.col("minute") >= last - F.expr("INTERVAL 1 HOUR"))).agg(F.sum("estimated_revenue").alias("estimated_revenue"))
+
+
+CURRENT_SQL = f"cur AS (SELECT * FROM ({LATEST_SQL}) WHERE order_id > 0)"
+CURRENT = lambda spark, d: streams.current_orders(conform.payloads(_log(spark, d), "orders", conform.ORDER_PAYLOAD).withColumn("order_date", F.col("order_date").cast("timestamp_ntz")))
+
+
+@register(f", {CURRENT_SQL} SELECT order_id, customer_id, order_date, date_diff('second', order_date, (SELECT max(updated_at) FROM m_log)) // 60 AS minutes_stale FROM cur WHERE status = 'placed' AND order_date < (SELECT max(updated_at) - INTERVAL 30 MINUTE FROM m_log) ORDER BY order_date, order_id LIMIT 20")
+def v_stale_orders(spark, d):
+    now = F.lit(model.change_log(spark, d).agg(F.max("updated_at")).first()[0]).cast("timestamp_ntz")
+    stale = CURRENT(spark, d).filter("status = 'placed'").filter(F.col("order_date") < now - F.expr("INTERVAL 30 MINUTES")).withColumn("now", now)
+    return stale.select("order_id", "customer_id", "order_date", F.expr("timestampdiff(MINUTE, order_date, now)").alias("minutes_stale")).orderBy("order_date", "order_id").limit(20)
+
+
+@register("SELECT (SELECT count(*) FROM m_orders WHERE order_date::DATE = (SELECT max(order_date)::DATE - 1 FROM m_orders)) AS yesterday_orders, (SELECT 24 * count(*) FROM m_orders WHERE order_date >= (SELECT max(order_date) - INTERVAL 1 HOUR FROM m_orders)) AS run_rate")
+def v_run_rate(spark, d):
+    orders = model.orders(spark, d)
+    last = F.lit(orders.agg(F.max("order_date")).first()[0]).cast("timestamp_ntz")
+    return orders.agg(F.count_if(F.to_date("order_date") == F.date_sub(F.to_date(last), 1)).alias("yesterday_orders"), (F.count_if(F.col("order_date") >= last - F.expr("INTERVAL 1 HOUR")) * 24).alias("run_rate"))
+
+
+@register(f", {RATE_SQL} SELECT bad AS quarantined, total, bad > 0.05 * total AS alert FROM rate")
+def v_quarantine_alert(spark, d):
+    sums = quality.gate_summary({"order_items": quality.tagged(model.noisy_items(spark, d), "order_items")}, F.current_date())
+    return sums.agg(F.sum("quarantined_count").alias("quarantined"), F.sum(F.col("passed_count") + F.col("quarantined_count")).alias("total")).withColumn("alert", F.col("quarantined") > 0.05 * F.col("total"))
+
+
+# --- streaming, over files with availableNow
+
+
+def _messages(spark, d, root: str) -> DataFrame:
+    """Click events as key and JSON value in files; errors come as broken JSON."""
+    clicks = model.clickstream(spark, d).withColumn("event_id", F.col("event_id").cast("string")).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    value = F.when(F.col("event_type") == "error", F.concat(F.lit("{broken "), "event_id")).otherwise(F.to_json(F.struct("event_id", "session_id", "event_type", "product_id", "customer_id", "ts")))
+    clicks.select(F.col("event_id").alias("key"), value.alias("value")).write.parquet(f"{root}/in")
+    return streams.file_stream(spark, f"{root}/in", "key string, value string")
+
+
+@register("SELECT event_id::VARCHAR AS event_id, session_id, event_type, ts FROM m_clicks WHERE event_type <> 'error'")
+def stream_parse_good(spark, d):
+    root = sinks.scratch(spark, "parse")
+    good, _ = streams.parse(_messages(spark, d, root), streams.EVENT, "clicks")
+    streams.run_to_table(streams.clicks(good), f"{root}/out", f"{root}/check")
+    return spark.read.parquet(f"{root}/out").select("event_id", "session_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@register("SELECT '{broken ' || event_id AS value, 'clicks' AS source_topic FROM m_clicks WHERE event_type = 'error'")
+def stream_dead_letters(spark, d):
+    root = sinks.scratch(spark, "dead")
+    _, dead = streams.parse(_messages(spark, d, root), streams.EVENT, "clicks")
+    streams.run_to_table(dead, f"{root}/out", f"{root}/check")
+    return spark.read.parquet(f"{root}/out").drop("failed_at")
+
+
+def _events_stream(spark, d, root: str, copies: int = 1) -> DataFrame:
+    clicks = model.clickstream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = clicks
+    for _ in range(copies - 1):
+        rows = rows.unionByName(clicks.filter("event_id % 10 = 0"))
+    rows.write.parquet(f"{root}/in")
+    return streams.file_stream(spark, f"{root}/in", clicks.schema)
+
+
+@register("SELECT event_id, session_id FROM m_clicks")
+def stream_dedup(spark, d):
+    root = sinks.scratch(spark, "dedup")
+    streams.run_to_table(streams.deduplicated(_events_stream(spark, d, root, 2)), f"{root}/out", f"{root}/check")
+    return spark.read.parquet(f"{root}/out").select("event_id", "session_id")
+
+
+@register("SELECT date_trunc('minute', ts) AS window_start, count(*) AS events, count(*) FILTER (event_type = 'checkout_complete') AS completions FROM m_clicks GROUP BY 1")
+def stream_live_activity(spark, d):
+    """Windows are merged by their start, so windows that are sent again are counted once."""
+    root = sinks.scratch(spark, "live")
+    live = streams.live_activity(_events_stream(spark, d, root))
+    out = streams.run_upserts(live, f"{root}/out", f"{root}/check", ["window_start"])
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "events", "completions")
+
+
+@register("SELECT * FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) FILTER (event_type = 'checkout_start') AS starts, count(*) FILTER (event_type = 'checkout_complete') AS completions FROM m_clicks GROUP BY 1) WHERE starts > 0 AND completions / starts < 0.5 AND window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM m_clicks)")
+def stream_anomalies(spark, d):
+    root = sinks.scratch(spark, "anomalies")
+    streams.run_to_table(streams.checkout_anomalies(_events_stream(spark, d, root), least=0.5, window="1 hour"), f"{root}/out", f"{root}/check")
+    return spark.read.parquet(f"{root}/out").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "starts", "completions")
+
+
+@register("SELECT event_id, event_type FROM m_clicks")
+def stream_restart(spark, d):
+    """Three runs over one checkpoint, with new files before each: no row is lost or doubled."""
+    root = sinks.scratch(spark, "restart")
+    clicks = model.clickstream(spark, d).select("event_id", "event_type")
+    for part in range(3):
+        clicks.filter(F.col("event_id") % 3 == part).write.mode("append").parquet(f"{root}/in")
+        streams.run_to_table(streams.file_stream(spark, f"{root}/in", clicks.schema, files=1), f"{root}/out", f"{root}/check")
+    return spark.read.schema(clicks.schema).parquet(f"{root}/out")
+
+
+@register(f", {CURRENT_SQL} SELECT order_id, status, customer_id, order_date, captured_at FROM cur")
+def rt_orders_current(spark, d):
+    return CURRENT(spark, d)
+
+
+@register("SELECT date_trunc('minute', order_date) AS minute, count(*) AS orders FROM m_orders GROUP BY 1")
+def rt_orders_per_minute(spark, d):
+    return _minutes(spark, d)
+
+
+@register("SELECT date_trunc('minute', order_date) AS minute, count(*) * 55.5::DOUBLE AS estimated_revenue FROM m_orders GROUP BY 1")
+def rt_revenue_estimate(spark, d):
+    return streams.revenue_estimate(_minutes(spark, d))
+
+
+@register("SELECT status, count(*) AS orders FROM m_log WHERE created_at = updated_at GROUP BY 1")
+def rt_status_counts(spark, d):
+    return streams.status_counts(conform.payloads(_log(spark, d), "orders", conform.ORDER_PAYLOAD).filter("op = 'insert'"))
+
+
+@register("SELECT event_id, ts FROM m_clicks WHERE ts >= (SELECT max(ts) - INTERVAL 7 DAY FROM m_clicks)")
+def retention(spark, d):
+    clicks = model.clickstream(spark, d).select("event_id", "ts")
+    return streams.retained(clicks, "ts", F.lit(clicks.agg(F.max("ts")).first()[0]).cast("timestamp_ntz"), 7)
