@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.types import StructType
 
+from brackwater.functions.schemas import fields
 from brackwater.operators.merge import latest_per_key
 
-ORDER_PAYLOAD = T.StructType.fromDDL("order_id bigint, customer_id bigint, order_date string, status string, campaign_id bigint")
-CUSTOMER_PAYLOAD = T.StructType.fromDDL("customer_id bigint, full_name string, email string, segment string, address string, updated_at string")
+ORDER_PAYLOAD = fields("order_id bigint, customer_id bigint, order_date string, status string, campaign_id bigint")
+CUSTOMER_PAYLOAD = fields("customer_id bigint, full_name string, email string, segment string, address string, updated_at string")
 EVENT_TYPES = ("page_view", "product_view", "add_to_cart", "checkout_start", "checkout_complete")
 
 
@@ -23,7 +24,7 @@ def conform_order_items(df: DataFrame, *order) -> DataFrame:
     return latest.selectExpr("CAST(order_item_id AS BIGINT) order_item_id", "CAST(order_id AS BIGINT) order_id", "CAST(product_id AS BIGINT) product_id", "CAST(quantity AS INT) quantity", "CAST(unit_price AS DECIMAL(10,2)) unit_price").filter("order_item_id is not null and order_id is not null and product_id is not null")
 
 
-def payloads(log: DataFrame, table: str, schema: T.StructType) -> DataFrame:
+def payloads(log: DataFrame, table: str, schema: StructType) -> DataFrame:
     """The log's rows of one table with their JSON payload as columns; bad JSON gives nulls."""
     return log.filter(F.col("table_name") == table).select("op", "captured_at", F.from_json("data_json", schema).alias("p")).select("op", "captured_at", "p.*")
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.types import StructType
 
-EVENT = T.StructType.fromDDL("event_id string, session_id string, event_type string, product_id bigint, customer_id bigint, ts string")
+from brackwater.functions.schemas import fields
+
+EVENT = fields("event_id string, session_id string, event_type string, product_id bigint, customer_id bigint, ts string")
 REVENUE_PER_ORDER = 55.5
 
 
@@ -19,7 +21,7 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").load()
 
 
-def parse(messages: DataFrame, schema: T.StructType, topic: str) -> tuple[DataFrame, DataFrame]:
+def parse(messages: DataFrame, schema: StructType, topic: str) -> tuple[DataFrame, DataFrame]:
     """(good, dead): dead where the value is null, or its first field is after parsing."""
     text = F.col("value").cast("string")
     parsed = messages.withColumn("parsed", F.from_json(text, schema))
