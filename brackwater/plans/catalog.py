@@ -338,10 +338,10 @@ def unmatched_items(spark, d):
 
 DAILY_SQL = "daily AS (SELECT order_date::DATE AS sales_date, count(DISTINCT order_id) AS order_count, sum(line_total)::DOUBLE AS total_revenue FROM m_fact GROUP BY 1), sales AS (SELECT *, round(avg(total_revenue) OVER (ORDER BY sales_date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW), 6) AS revenue_7d_avg, round(avg(total_revenue) OVER (ORDER BY sales_date RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW), 6) AS revenue_30d_avg FROM daily)"
 TOP_SQL = "top AS (SELECT product_id, name AS product_name, sku, category, units_sold::BIGINT AS units_sold, total::DOUBLE AS revenue, rank() OVER (PARTITION BY category ORDER BY total DESC)::INTEGER AS rank_in_category FROM (SELECT product_id, sum(quantity) AS units_sold, sum(line_total) AS total FROM m_fact GROUP BY 1) JOIN m_products USING (product_id))"
-SEGMENT_SQL = "seg AS (SELECT segment, count(DISTINCT customer_id) AS customer_count, sum(line_total)::DOUBLE AS total_revenue, round(sum(line_total)::DOUBLE / count(DISTINCT order_id), 4) AS avg_order_value FROM m_fact GROUP BY 1)"
+SEGMENT_SQL = "seg AS (SELECT segment, count(DISTINCT customer_id) AS customer_count, sum(line_total)::DOUBLE AS total_revenue, round(sum(line_total)::DOUBLE / count(DISTINCT order_id), 6) AS avg_order_value FROM m_fact GROUP BY 1)"
 CONVERSION_SQL = "conv AS (SELECT ts::DATE AS activity_date, count(DISTINCT session_id) AS sessions, count(DISTINCT session_id) FILTER (event_type = 'checkout_complete') AS checkout_completions, round(count(DISTINCT session_id) FILTER (event_type = 'checkout_complete') / count(DISTINCT session_id), 6) AS conversion_rate FROM m_clicks WHERE event_type <> 'error' GROUP BY 1)"
 CAMPAIGN_SQL = "camp AS (SELECT campaign_id, name, channel, spend, clicks, conversions, CASE WHEN conversions > 0 THEN round(spend / conversions, 6) END AS cost_per_conversion FROM m_campaigns)"
-CLV_SQL = "clv AS (SELECT f.*, c.full_name, c.segment, round(total_spend / total_orders, 4) AS avg_order_value, (SELECT max(order_date)::DATE FROM m_orders) - last_order_date AS days_since_last_order FROM (SELECT customer_id, count(DISTINCT order_id) AS total_orders, sum(line_total)::DOUBLE AS total_spend, min(order_date)::DATE AS first_order_date, max(order_date)::DATE AS last_order_date FROM m_fact GROUP BY 1) f LEFT JOIN (SELECT * FROM m_dim_customer WHERE valid_to IS NULL) c USING (customer_id))"
+CLV_SQL = "clv AS (SELECT f.*, c.full_name, c.segment, round(total_spend / total_orders, 6) AS avg_order_value, (SELECT max(order_date)::DATE FROM m_orders) - last_order_date AS days_since_last_order FROM (SELECT customer_id, count(DISTINCT order_id) AS total_orders, sum(line_total)::DOUBLE AS total_spend, min(order_date)::DATE AS first_order_date, max(order_date)::DATE AS last_order_date FROM m_fact GROUP BY 1) f LEFT JOIN (SELECT * FROM m_dim_customer WHERE valid_to IS NULL) c USING (customer_id))"
 FUNNEL_SQL = "stages AS (SELECT ts::DATE AS activity_date, count(DISTINCT session_id) FILTER (event_type = 'page_view') AS page_view, count(DISTINCT session_id) FILTER (event_type = 'add_to_cart') AS add_to_cart, count(DISTINCT session_id) FILTER (event_type = 'checkout_start') AS checkout_start, count(DISTINCT session_id) FILTER (event_type = 'checkout_complete') AS checkout_complete FROM m_clicks WHERE event_type <> 'error' GROUP BY 1), funnel AS (SELECT *, CASE WHEN add_to_cart > 0 THEN round(checkout_start / add_to_cart, 6) END AS cart_to_checkout_rate, CASE WHEN checkout_start > 0 THEN round(checkout_complete / checkout_start, 6) END AS checkout_to_purchase_rate FROM stages)"
 ROAS_SQL = "ro AS (SELECT campaign_id, name, channel, start_date, end_date, spend, attributed_revenue, CASE WHEN spend > 0 THEN round(attributed_revenue / spend, 4) END AS roas FROM m_campaigns LEFT JOIN (SELECT campaign_id, sum(line_total)::DOUBLE AS attributed_revenue FROM m_fact WHERE campaign_id IS NOT NULL GROUP BY 1) USING (campaign_id))"
 SCORED_SQL = "scored AS (SELECT *, CASE WHEN body IS NOT NULL THEN coalesce(list_avg(list_transform(list_filter(string_split_regex(lower(body), '[^a-z]+'), lambda w: w IN ('bad', 'excellent', 'good', 'great', 'idiot', 'poor', 'stupid', 'trash', 'with', 'worthless')), lambda w: CASE WHEN w = 'with' THEN 0.25::DOUBLE WHEN w IN ('excellent', 'good', 'great') THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)), 0) END AS sentiment_score FROM m_reviews)"
