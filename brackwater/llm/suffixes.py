@@ -4,8 +4,9 @@ A byte is removed when a string of ``length`` bytes that covers it also starts i
 with a smaller doc_id. Strings that are equal have the same smallest k-gram hash (their anchor)
 at the same place, so they need only be sorted among the strings with that anchor:
 
-1. equal texts are one row (their copies are removed whole);
-2. documents are dealt into chunks by hash; a chunk sends the anchors that it has, each once,
+1. documents are dealt into chunks by hash of the text; a task sends a text once, and of further
+   copies only a smaller doc_id, so equal texts are one text (their copies are removed whole);
+2. a chunk sends the anchors that it has, each once,
    to buckets of the anchor's hash, which send back one bit for each: is it elsewhere too?
 3. for the anchors that are, the chunk sends the pieces of text around them, each once, with the
    smallest and the largest doc_id that has it;
@@ -29,6 +30,7 @@ further columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -168,9 +170,15 @@ class Plan:
         self.width = self.left + length
 
     def texts(self, docs: pa.Table) -> tuple[list[str], np.ndarray, list[bytes]]:
-        """A chunk's rows in the order of their hash."""
-        docs = docs.sort_by("h")
-        return docs["h"].to_pylist(), docs["doc"].to_numpy(), docs["text"].to_pylist()
+        """A chunk's distinct texts in the order of their hash, each with its smallest doc_id."""
+        low: dict[str, int] = {}
+        body: dict[str, bytes] = {}
+        for name, doc, text in zip(*(docs[c].to_pylist() for c in ("h", "doc", "text")), strict=True):
+            low[name] = min(doc, low.get(name, LAST))
+            if text is not None:
+                body[name] = text
+        h = sorted(body)
+        return h, np.array([low[x] for x in h], dtype=np.int64), [body[x] for x in h]
 
     def keys(self, docs: pa.Table):
         h, doc, texts = self.texts(docs)
@@ -314,6 +322,25 @@ class Plan:
         return pa.table({n: pa.array(c, k) for n, c, k in zip(names, out, kinds, strict=True)})
 
 
+def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, h, doc, text) without the texts that the task has sent already; a copy is sent,
+    without its text, where its doc is smaller than those before."""
+    seen: dict[bytes, int] = {}
+    for batch in batches:
+        new, lower = [], []
+        for h, doc in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            name = bytes.fromhex(h)
+            before = seen.get(name)
+            new.append(before is None)
+            lower.append(before is not None and doc < before)
+            if before is None or doc < before:
+                seen[name] = doc
+        yield batch.filter(pa.array(new))
+        if any(lower):
+            less = batch.filter(pa.array(lower))
+            yield pa.RecordBatch.from_arrays([*less.columns[:3], pa.nulls(less.num_rows, less.schema.field(3).type)], schema=less.schema)
+
+
 def deduplicate(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_text: bool = False) -> DataFrame:
     """``docs`` (doc_id, text, ...) with n_bytes, n_removed, n_spans, kept_sha256 and, if asked for,
     the remaining bytes (kept)."""
@@ -322,8 +349,8 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_text:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(partitions(docs), -(-int(total) // CHUNK_BYTES))
     plan = Plan(chunks, length, k)
-    texts = base.groupBy("h", F.col("text_").alias("text")).agg(F.min("doc_").alias("doc"))
-    texts = texts.withColumn("chunk", F.pmod(F.xxhash64("h"), F.lit(chunks)).cast("int")).select("chunk", "h", "doc", "text")
+    chunk = F.pmod(F.xxhash64("h"), F.lit(chunks)).cast("int").alias("chunk")
+    texts = base.select(chunk, "h", F.col("doc_").alias("doc"), F.col("text_").alias("text")).mapInArrow(once, "chunk int, h string, doc long, text binary")
     by_chunk = texts.groupBy("chunk")
     keys = by_chunk.applyInArrow(lambda t: plan.send_keys(t), "bucket int, chunk int, data binary, many binary")
     bits = keys.groupBy("bucket").applyInArrow(lambda t: plan.answer_keys(t), "chunk int, bucket int, kind int, data binary")
