@@ -41,7 +41,7 @@ from brackwater.llm.common import partitions, table
 
 LENGTH = 50
 GRAM = 32
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 PAD = 0xFF  # in no UTF-8 text
 LAST = (1 << 63) - 1
 _P = 0x9E3779B97F4A7C15
@@ -140,12 +140,12 @@ def least_owners(pieces: np.ndarray, owner: np.ndarray, length: int = LENGTH) ->
     for place in range(width - 1, -1, -1):
         column = columns[place][order]  # the transform's column: what stands before each suffix
         by = np.argsort(column, kind="stable")
-        fresh = np.zeros(n, dtype=np.uint8)
+        fresh, ended = np.zeros(n, dtype=np.uint8), np.append(common, np.uint8(0))  # so that the last range has an end
         first = 0
         for symbol, count in zip(*np.unique(column, return_counts=True), strict=True):
             if count > 1:
                 seen = by[first : first + count]
-                fresh[first + 1 : first + count] = np.minimum.reduceat(common, np.minimum(seen + 1, n - 1))[:-1]
+                fresh[first + 1 : first + count] = np.minimum.reduceat(ended, seen + 1)[:-1]
                 fresh[first + 1 : first + count] = np.minimum(fresh[first + 1 : first + count] + 1, length) if symbol != PAD else 0
             first += count
         order, common = order[by], fresh
