@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brackwater.llm.common import partitions, scratch_path, table
+from brackwater.llm.common import scratch_path, table
 
 LEAST = 1000
 FILE_BYTES = 64 << 20
@@ -112,8 +112,10 @@ def read_archive(stream) -> Iterator[tuple]:
 def planned(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """(page_id, url, payload, refers_to, revisit): what each page's record says."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("sha", F.when(F.length("payload") >= least, F.sha1("payload")))
-    winners = rows.filter("sha is not null").groupBy("sha").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).filter("n > 1 and winner is not null").select("sha", "winner")
+    # short payloads have a key of their own, so that they aren't all dealt to one task
+    alone = F.concat(F.lit("-"), F.coalesce(F.col("page_id"), F.xxhash64("payload", "url")))
+    rows = rows.withColumn("sha", F.when(F.length("payload") >= least, F.sha1("payload")).otherwise(alone))
+    winners = rows.filter(F.length("payload") >= least).groupBy("sha").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).filter("n > 1 and winner is not null").select("sha", "winner")
     revisit = F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner"))
     return rows.join(winners, "sha", "left").select("page_id", "url", "payload", F.when(revisit, F.col("winner")).alias("refers_to"), revisit.alias("revisit"))
 
@@ -152,7 +154,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, file_bytes
         cols = list(zip(*done, strict=True)) if done else [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["file", "n_records", "n_bytes"])
 
-    dealt = planned(pages, least).repartition(partitions(pages), F.xxhash64("page_id", F.substring("payload", 1, 64))).sortWithinPartitions("page_id", "url", "payload")
+    dealt = planned(pages, least).sortWithinPartitions("page_id", "url", "payload")
     return dealt.mapInArrow(run, "file string, n_records long, n_bytes long")
 
 
