@@ -22,7 +22,9 @@ base rate; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -106,7 +108,8 @@ def expression_counts(words: DataFrame) -> DataFrame:
             weights = [batch.column(c).to_numpy(zero_copy_only=False)[number] for c in (1, 2)]
             first, inverse = np.unique(h[ORDER], return_index=True, return_inverse=True)[1:]
             sums = [np.bincount(inverse, weights=w, minlength=len(first)).astype(np.int64) for w in weights]
-            cols = [h[k][first].view(np.int64) for k in (ORDER, 1 - ORDER, 4, -3, 2, -1)]
+            # the upper half of a part's hash tells it well enough, and zeros take no room
+            cols = [h[ORDER][first].view(np.int64), *((h[k][first] & ~np.uint64(0xFFFFFFFF)).view(np.int64) for k in (1 - ORDER, 4, -3, 2, -1))]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols, *sums)], [*names, "toxic", "plain"])
 
     parts = words.mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "toxic", "plain"]))
@@ -137,6 +140,13 @@ class KneserNey:
         twos = fours.groupBy("h2").agg(F.count("*").alias("n"), F.min("c1").alias("c1"))
         self.shared = [(_slots(f, h, bits - 3, F.sum("n"))[0], *_slots(f, c, bits - 3, F.sum("n"), F.count("*")), int(h[1])) for f, h, c in ((twos, "h2", "c1"), (fours, "h4", "c3"))]
 
+    def __getstate__(self) -> bytes:
+        """Most slots are empty, so tasks get the tables compressed."""
+        return zlib.compress(pickle.dumps(self.__dict__), 1)
+
+    def __setstate__(self, state: bytes) -> None:
+        self.__dict__.update(pickle.loads(zlib.decompress(state)))
+
     def ratios(self, words: list[str]) -> np.ndarray:
         number, h = expressions(words)
         top = np.uint64(64 - self.bits)
