@@ -99,8 +99,11 @@ def slot(feature: str) -> int:
 
 def word_features(word: str) -> list[int]:
     """Slots of a word: itself, its ending, its shape and its length."""
-    letters = _RUNS[0].sub(lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "a", word)
-    shape = _RUNS[1].sub("9", letters)[:12]
+    if word.isalpha() and word.islower():
+        shape = "a"
+    else:
+        letters = _RUNS[0].sub(lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "a", word)
+        shape = _RUNS[1].sub("9", letters)[:12]
     return [slot("w" + word.lower()), slot("e" + word[-3:]), slot("s" + shape), slot(f"l{min(len(word), 20)}")]
 
 
@@ -187,7 +190,7 @@ def with_quality(docs: DataFrame, scorer: tuple[np.ndarray, float], column: str
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, offset = held.value
+        weights, offset = held.value[0].tolist(), held.value[1]
         known: dict[str, float] = {}
         for batch in (s for b in batches for s in by_slices()(b)):
             sums = []
@@ -197,9 +200,9 @@ def with_quality(docs: DataFrame, scorer: tuple[np.ndarray, float], column: str
                     known.clear()
                 for w in set(words):
                     if w not in known:
-                        known[w] = float(weights[word_features(w)].sum())
+                        known[w] = sum(map(weights.__getitem__, word_features(w)))
                 mean = WEIGHT * sum(map(known.__getitem__, words)) / len(words) if words else 0.0
-                sums.append(offset + mean + float(weights[text_features(words)].sum()) if words else offset)
+                sums.append(offset + mean + sum(map(weights.__getitem__, text_features(words))))
             score = 1 / (1 + np.exp(-np.clip(np.array(sums, dtype=float), -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], schema=pa.schema([*batch.schema, pa.field(column, pa.float64())]))
 
