@@ -18,8 +18,12 @@ result. ids_crc32 is over little-endian unsigned 32-bit ids.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,44 +35,107 @@ from brackwater.llm.common import by_slices, partitions, stored, table
 WINDOW = 4096
 GRID = 16
 END_ID = 2
+#: Words that need no normalising but lower case, perhaps with a full stop or a comma.
+LETTERS = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+[.,]?")
+#: Byte-level vocabularies write each byte as a character: printable ones as themselves, the rest
+#: as characters from 256 on, in order.
+_PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
-def token_rows(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """One row per document: row, doc_id, doc_tokens, ids (the remainder's, 32 bit, little-endian),
-    and full_crc, the checksums of its whole windows.
+class WordCoder:
+    """The ids of words, encoded once each. The vocabulary drops white space and lower-cases
+    character by character, so a text's ids are those of its words in turn; a word of letters is
+    one unit to it, and so is a full stop or a comma after one."""
 
-    The vocabulary drops white space and lower-cases character by character, so a text's ids are
-    those of its words in turn; words are encoded once and remembered.
-    """
+    LIMIT = 700_000
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(vocabulary)
-        known: dict[str, int] = {}
-        flat, starts = np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.ends = {c: self.tokenizer.token_to_id(f"{c}</w>") for c in ".,"}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.starts, self.n = np.zeros(1 << 16, dtype="<u4"), np.zeros(1 << 16, dtype=np.int64), 0
+
+    def _put(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        at = int(self.starts[self.n])
+        while at + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + len(words) >= len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.flat[at : at + len(ids)] = ids
+        self.starts[self.n + 1 : self.n + 1 + len(words)] = at + np.cumsum(sizes)
+        self.known.update(zip(words, range(self.n, self.n + len(words)), strict=True))
+        self.n += len(words)
+
+    def learn(self, words: set[str]) -> None:
+        """Makes the words known. A word of letters, which the vocabulary's rules neither split nor
+        compose, goes straight to the merges as the bytes of its lower case; others go the long way."""
+        plain, other = [], []
+        ids, sizes = array("I"), array("q")
+        known, fresh = self.known, {}
+        merge, ends, letters = self.tokenizer.model.tokenize, self.ends, LETTERS.fullmatch
+        for w in words:
+            if not letters(w):
+                other.append(w)
+                continue
+            end = ends.get(w[-1])
+            stem = (w if end is None else w[:-1]).lower()
+            if (k := known.get(stem)) is not None:
+                own = self.flat[self.starts[k] : self.starts[k + 1]].tolist()
+            elif (own := fresh.get(stem)) is None:
+                own = fresh[stem] = [t.id for t in merge(stem.encode().decode("latin-1").translate(BYTES))]
+            if end is not None:
+                own = [*own, end]
+            plain.append(w)
+            ids.extend(own)
+            sizes.append(len(own))
+        for at in range(0, len(other), 500):
+            for e in self.tokenizer.encode_batch_fast(other[at : at + 500], add_special_tokens=False):
+                ids.extend(e.ids)
+                sizes.append(len(e.ids))
+        self._put(plain + other, np.frombuffer(ids, dtype=np.uint32) if ids else np.zeros(0, np.uint32), np.frombuffer(sizes, dtype=np.int64) if sizes else np.zeros(0, np.int64))
+
+    def ids(self, words: list[str], extra: int) -> np.ndarray:
+        """The ids of known words in turn, and the extra id."""
+        at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+        size = self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(size)
+        n = int(ends[-1]) if len(ends) else 0
+        out = np.empty(n + 1, dtype="<u4")
+        out[:n] = self.flat[np.arange(n) + np.repeat(self.starts[at] - (ends - size), size)]
+        out[n] = extra
+        return out
+
+
+@lru_cache(maxsize=1)
+def coder(vocabulary: str) -> WordCoder:
+    """One coder for all tasks of a Python worker."""
+    return WordCoder(vocabulary)
+
+
+def token_rows(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+    """One row per document: row, doc_id, doc_tokens, ids (the remainder's, 32 bit, little-endian),
+    and full_crc, the checksums of its whole windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder(vocabulary)
         for batch in (s for b in batches for s in by_slices(256)(b)):
             texts = [(t.as_py() or "").replace("\n", " ").split(" ") for t in batch.column(1)]
-            if len(known) > 300_000:
-                known, flat, starts = {}, np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
-            new = list({w for ws in texts for w in ws if w not in known})
-            if new:
-                coded = [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch(new, add_special_tokens=False)]
-                known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-                starts = np.concatenate([starts, starts[-1] + np.cumsum([len(c) for c in coded])])
-                flat = np.concatenate([flat, *coded])
+            if own.n > own.LIMIT:
+                own.forget()
+            own.learn(set().union(*texts).difference(own.known))
             counts, blobs, crcs = [], [], []
             for words in texts:
-                at = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
-                size = starts[at + 1] - starts[at]
-                ends = np.cumsum(size)
-                n = int(ends[-1])
-                ids = np.empty(n + 1, dtype="<u4")
-                ids[:n] = flat[np.arange(n) + np.repeat(starts[at] - (ends - size), size)]
-                ids[n] = end_id
-                whole = (n + 1) // window
-                counts.append(n + 1)
-                crcs.append([zlib.crc32(ids[k * window : (k + 1) * window].tobytes()) for k in range(whole)])
+                ids = own.ids(words, end_id)
+                whole = len(ids) // window
+                counts.append(len(ids))
+                crcs.append([zlib.crc32(ids[k * window : (k + 1) * window]) for k in range(whole)])
                 blobs.append(ids[whole * window :].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "ids", "full_crc"])
 
