@@ -20,7 +20,11 @@ at the same place, so they need only be sorted among the strings with that ancho
 
 The rounds' files are arrays of a bucket, which is bounded by the number of buckets, since
 executors have no folders of their own. Anchors and pieces are gathered by chunk before they
-are sent, so a passage that a third of all documents share is sent once by each chunk.
+are sent, so what lies well inside a passage that many documents share is sent once by each
+chunk. Pieces at its edges (18 bytes from its start, 50 from its end) hold the documents' own
+text and differ; they would all go to the bucket of their anchor. So chunks tell how often they
+have an anchor, and around one that is too frequent in all (``HOT``) they send every string of
+``length`` bytes by itself, padded to a piece, to the bucket of the string's own hash.
 
 Defined results: a null text is an empty one; texts shorter than ``length`` lose nothing; rows
 with equal doc_ids never take from each other; rows with a null doc_id come after all others;
@@ -42,6 +46,7 @@ from brackwater.llm.common import partitions, table
 LENGTH = 50
 GRAM = 32
 CHUNK_BYTES = 4 << 20
+HOT = 2000  # occurrences of an anchor whose pieces are dealt by string
 PAD = 0xFF  # in no UTF-8 text
 LAST = (1 << 63) - 1
 _P = 0x9E3779B97F4A7C15
@@ -164,8 +169,8 @@ def least_owners(pieces: np.ndarray, owner: np.ndarray, length: int = LENGTH) ->
 class Plan:
     """The number of buckets, and the lengths; what every task has to know."""
 
-    def __init__(self, buckets: int, length: int = LENGTH, k: int = GRAM):
-        self.buckets, self.length, self.k = buckets, length, k
+    def __init__(self, buckets: int, length: int = LENGTH, k: int = GRAM, hot: int = HOT):
+        self.buckets, self.length, self.k, self.hot = buckets, length, k, hot
         self.left = length - k  # of the anchor, in a piece
         self.width = self.left + length
 
@@ -183,6 +188,9 @@ class Plan:
     def keys(self, docs: pa.Table):
         h, doc, texts = self.texts(docs)
         key, number, place = anchors(texts, self.length, self.k)
+        # anchors are least hashes, and the buckets are ranges: mixed again they are even
+        key = key * np.uint64(_P)
+        key ^= key >> np.uint64(29)
         unique, inverse = np.unique(key, return_inverse=True)
         return h, doc, texts, key, number, place, unique, inverse
 
@@ -193,24 +201,35 @@ class Plan:
         """The pieces around anchors that are elsewhere too: (h, doc, texts, occurrence's text,
         place and piece, pieces, their bucket), pieces by bucket and hash."""
         h, doc, texts, key, number, place, unique, inverse = self.keys(docs)
-        alive = np.zeros(len(unique), dtype=bool)
+        alive, hot = np.zeros(len(unique), dtype=bool), np.zeros(len(unique), dtype=bool)
         cut = self.bounds(unique)
         for b, data in zip(bits["bucket"].to_pylist(), bits["data"].to_pylist(), strict=True):
-            alive[cut[b] : cut[b + 1]] = np.unpackbits(np.frombuffer(data, dtype=np.uint8), count=cut[b + 1] - cut[b])
-        kept = alive[inverse]
-        key, number, place = key[kept], number[kept], place[kept]
+            both = np.frombuffer(data, dtype=np.uint8).reshape(2, -1)
+            alive[cut[b] : cut[b + 1]], hot[cut[b] : cut[b + 1]] = np.unpackbits(both, axis=1, count=cut[b + 1] - cut[b])
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         start = np.cumsum(sizes) - sizes
         buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        rows = np.empty((len(key), self.width), dtype=np.uint8)
-        for a in range(0, len(key), 20_000):
+        kept, split = (alive & ~hot)[inverse], (alive & hot)[inverse]
+        # where strings of hot anchors start, each once
+        begin = (start[number[split]] + place[split] - self.left)[:, None] + np.arange(self.left + 1)
+        real = (begin >= start[number[split], None]) & (begin + self.length <= (start + sizes)[number[split], None])
+        begin = np.unique(begin[real])
+        of = np.searchsorted(start, begin, side="right") - 1 if len(begin) else begin
+        whole = int(kept.sum())
+        key, number, place = key[kept], np.r_[number[kept], of], np.r_[place[kept], begin - start[of] + self.left]
+        rows, name = np.empty((len(number), self.width), dtype=np.uint8), np.empty(len(number), dtype=np.uint64)
+        powers = np.array([pow(_P, i + 1, 1 << 64) for i in range(self.width)], dtype=np.uint64)
+        for a in range(0, len(number), 20_000):
             s = slice(a, a + 20_000)
             inside = place[s, None] - self.left + np.arange(self.width)
             real = (inside >= 0) & (inside < sizes[number[s], None])
+            real &= (np.arange(a, a + len(real)) < whole)[:, None] | (np.arange(self.width) < self.length)
             rows[s] = np.where(real, buf[np.where(real, inside + start[number[s], None], 0)], PAD)
+            with np.errstate(over="ignore"):
+                name[s] = (rows[s].astype(np.uint64) + np.uint64(1)) @ powers
         with np.errstate(over="ignore"):
-            name = (rows.astype(np.uint64) + np.uint64(1)) @ np.array([pow(_P, i + 1, 1 << 64) for i in range(self.width)], dtype=np.uint64) if len(key) else np.zeros(0, np.uint64)
-        where = bucket_of(key, self.buckets)
+            mixed = (name[whole:] ^ (name[whole:] >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        where = bucket_of(np.r_[key, mixed ^ (mixed >> np.uint64(29))], self.buckets)
         order = np.lexsort((name, where))
         new = np.ones(len(order), dtype=bool)
         new[1:] = (name[order][1:] != name[order][:-1]) | (where[order][1:] != where[order][:-1])
@@ -223,24 +242,27 @@ class Plan:
 
     def send_keys(self, docs: pa.Table) -> pa.Table:
         _, doc, _, _, number, _, unique, inverse = self.keys(docs)
-        many = np.zeros(len(unique), dtype=bool)
+        # the binary digits of the occurrences, and 128 where they are in several texts
+        many = np.zeros(len(unique), dtype=np.uint8)
         if len(unique):
             low, high = np.full(len(unique), LAST), np.zeros(len(unique), dtype=np.int64)
             np.minimum.at(low, inverse, number)
             np.maximum.at(high, inverse, number)
-            many = low < high
+            digits = np.ceil(np.log2(np.bincount(inverse, minlength=len(unique)) + 1)).astype(np.uint8)
+            many = digits | np.where(low < high, 128, 0).astype(np.uint8)
         cut = self.bounds(unique)
         some = [b for b in range(self.buckets) if cut[b] < cut[b + 1]]
         chunk = docs["chunk"][0].as_py()
-        return pa.table({"bucket": pa.array(some, pa.int32()), "chunk": pa.array([chunk] * len(some), pa.int32()), "data": pa.array([_short(unique[cut[b] : cut[b + 1]]) for b in some], pa.binary()), "many": pa.array([np.packbits(many[cut[b] : cut[b + 1]]).tobytes() for b in some], pa.binary())})
+        return pa.table({"bucket": pa.array(some, pa.int32()), "chunk": pa.array([chunk] * len(some), pa.int32()), "data": pa.array([_short(unique[cut[b] : cut[b + 1]]) for b in some], pa.binary()), "many": pa.array([many[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary())})
 
     def answer_keys(self, sent: pa.Table) -> pa.Table:
         keys = [_long(d) for d in sent["data"].to_pylist()]
-        many = [np.unpackbits(np.frombuffer(m, dtype=np.uint8), count=len(k)) for m, k in zip(sent["many"].to_pylist(), keys, strict=True)]
-        count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)[1:]
-        alive = (count[1][count[0]] > 1) | (np.concatenate(many) > 0)
+        many = np.concatenate([np.frombuffer(m, dtype=np.uint8) for m in sent["many"].to_pylist()])
+        inverse, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)[1:]
+        alive = (count[inverse] > 1) | (many >= 128)
+        hot = np.bincount(inverse, weights=np.exp2(many & 127))[inverse] > self.hot  # at most twice the occurrences
         ends = np.cumsum([len(k) for k in keys])[:-1]
-        return pa.table({"chunk": sent["chunk"], "bucket": sent["bucket"], "kind": pa.array([0] * len(keys), pa.int32()), "data": pa.array([np.packbits(a).tobytes() for a in np.split(alive, ends)], pa.binary())})
+        return pa.table({"chunk": sent["chunk"], "bucket": sent["bucket"], "kind": pa.array([0] * len(keys), pa.int32()), "data": pa.array([np.packbits(a).tobytes() + np.packbits(h).tobytes() for a, h in zip(np.split(alive, ends), np.split(hot, ends), strict=True)], pa.binary())})
 
     def send_pieces(self, docs: pa.Table, bits: pa.Table) -> pa.Table:
         cols: dict[str, list] = {"bucket": [], "data": [], "low": [], "high": []}
@@ -341,14 +363,14 @@ def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*less.columns[:3], pa.nulls(less.num_rows, less.schema.field(3).type)], schema=less.schema)
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_text: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_text: bool = False, hot: int = HOT) -> DataFrame:
     """``docs`` (doc_id, text, ...) with n_bytes, n_removed, n_spans, kept_sha256 and, if asked for,
     the remaining bytes (kept)."""
     base = docs.withColumn("text_", F.coalesce("text", F.lit("")).cast("binary"))
     base = base.withColumn("h", F.sha2("text_", 256)).withColumn("doc_", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("n_bytes", F.length("text_").cast("long"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(partitions(docs), -(-int(total) // CHUNK_BYTES))
-    plan = Plan(chunks, length, k)
+    plan = Plan(chunks, length, k, hot)
     chunk = F.pmod(F.xxhash64("h"), F.lit(chunks)).cast("int").alias("chunk")
     texts = base.select(chunk, "h", F.col("doc_").alias("doc"), F.col("text_").alias("text")).mapInArrow(once, "chunk int, h string, doc long, text binary")
     by_chunk = texts.groupBy("chunk")
