@@ -12,7 +12,8 @@ over its words of log P_toxic - log P_ordinary, held back by a few words of weig
 short texts. Counts come from every labelled row of the folds for fitting; a logistic curve is
 fitted on the fold kept for calibration, so the score is a probability of label 1.
 
-The tables are hashed into 2**bits slots each, which bounds the model that every task holds.
+The tables hold every distinct expression and context under its 64-bit hash, so the model grows
+with the distinct expressions of the labelled words and two of them share no count (``bits`` under 64 would let them).
 
 Defined results: null or blank texts score as a text with a statistic of zero; rows with a null
 doc_id are scored and never learnt from; repeated labels of a doc_id count as toxic if one is;
@@ -30,13 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brackwater.llm.common import by_slices, stored, table
 
 ORDER = 5
-BITS = 20
+BITS = 64  # of a hash by which expressions are told apart: all
 LEAN = 4.0
 WORD = re.compile(r"\w+")
 START, END = 2, 3
@@ -108,40 +110,47 @@ def expression_counts(words: DataFrame) -> DataFrame:
             weights = [batch.column(c).to_numpy(zero_copy_only=False)[number] for c in (1, 2)]
             first, inverse = np.unique(h[ORDER], return_index=True, return_inverse=True)[1:]
             sums = [np.bincount(inverse, weights=w, minlength=len(first)).astype(np.int64) for w in weights]
-            # the upper half of a part's hash tells it well enough, and zeros take no room
-            cols = [h[ORDER][first].view(np.int64), *((h[k][first] & ~np.uint64(0xFFFFFFFF)).view(np.int64) for k in (1 - ORDER, 4, -3, 2, -1))]
+            cols = [h[k][first].view(np.int64) for k in (ORDER, 1 - ORDER, 4, -3, 2, -1)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols, *sums)], [*names, "toxic", "plain"])
 
     parts = words.mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "toxic", "plain"]))
     return parts.groupBy("top").agg(*(F.min(n).alias(n) for n in names[1:]), F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
 
 
-def _slots(df: DataFrame, key: str, bits: int, *sums) -> list[np.ndarray]:
-    """Sums by slot of a hash, as dense arrays; at most 2**bits rows reach the driver."""
-    slot = F.shiftrightunsigned(F.col(key), 64 - bits).cast("int").alias("slot")
-    got = df.groupBy(slot).agg(*(s.cast("float").alias(f"s{i}") for i, s in enumerate(sums))).toArrow()
-    dense = []
-    for i in range(len(sums)):
-        a = np.zeros(1 << bits, dtype=np.float32)
-        a[got.column("slot").to_numpy()] = got.column(f"s{i}").to_numpy()
-        dense.append(a)
-    return dense
+class Table:
+    """Sums by hash: the sorted hashes of one column, and a column of sums for each expression of ``sums``."""
+
+    def __init__(self, df: DataFrame, key: str, bits: int, *sums):
+        self.drop = np.uint64(64 - bits)
+        got = df.groupBy(F.shiftrightunsigned(F.col(key), 64 - bits).alias("key")).agg(*(s.cast("float").alias(f"s{i}") for i, s in enumerate(sums))).toArrow()
+        got = got.take(pc.sort_indices(got, [("key", "ascending")]))
+        self.keys = got.column("key").to_numpy()
+        # the last row stands for all that were never seen
+        self.sums = [np.append(got.column(f"s{i}").to_numpy(), np.float32(0)) for i in range(len(sums))]
+
+    def at(self, hashes: np.ndarray) -> np.ndarray:
+        """The rows of ``hashes``."""
+        wanted, inverse = np.unique((hashes >> self.drop).view(np.int64), return_inverse=True)
+        row = np.searchsorted(self.keys, wanted)
+        if len(self.keys):
+            row[self.keys[np.minimum(row, len(self.keys) - 1)] != wanted] = len(self.keys)
+        return row[inverse]
 
 
 class KneserNey:
-    """Both models, as hashed tables; ``ratios`` scores words."""
+    """Both models, as tables by hash; ``ratios`` scores words."""
 
     def __init__(self, grams: DataFrame, bits: int = BITS, discount: float = 0.75):
-        self.bits, self.d = bits, discount
+        self.d = discount
         t, p = F.col("toxic"), F.col("plain")
-        self.top = _slots(grams, "top", bits, F.sum(t), F.sum(p))
-        self.ctx = _slots(grams, "ctx", bits, F.sum(t), F.sum(p), F.count_if(t > 0), F.count_if(p > 0))
+        self.top = Table(grams, "top", bits, F.sum(t), F.sum(p))
+        self.ctx = Table(grams, "ctx", bits, F.sum(t), F.sum(p), F.count_if(t > 0), F.count_if(p > 0))
         fours = grams.groupBy("h4").agg(F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("c3", "h2", "c1")))
         twos = fours.groupBy("h2").agg(F.count("*").alias("n"), F.min("c1").alias("c1"))
-        self.shared = [(_slots(f, h, bits - 3, F.sum("n"))[0], *_slots(f, c, bits - 3, F.sum("n"), F.count("*")), int(h[1])) for f, h, c in ((twos, "h2", "c1"), (fours, "h4", "c3"))]
+        self.shared = [(Table(f, h, bits, F.sum("n")), Table(f, c, bits, F.sum("n"), F.count("*")), int(h[1])) for f, h, c in ((twos, "h2", "c1"), (fours, "h4", "c3"))]
 
     def __getstate__(self) -> bytes:
-        """Most slots are empty, so tasks get the tables compressed."""
+        """Tasks get the tables compressed."""
         return zlib.compress(pickle.dumps(self.__dict__), 1)
 
     def __setstate__(self, state: bytes) -> None:
@@ -149,19 +158,18 @@ class KneserNey:
 
     def ratios(self, words: list[str]) -> np.ndarray:
         number, h = expressions(words)
-        top = np.uint64(64 - self.bits)
-        low = np.uint64(64 - self.bits + 3)
         q = np.full(len(number), 1 / 256, dtype=np.float64)
-        for seen, total, kinds, k in self.shared:
-            at, over = (h[k] >> low).astype(np.int64), (h[-(k - 1)] >> low).astype(np.int64)
-            n = np.maximum(total[over], 1e-9)
-            q = np.where(total[over] > 0, np.minimum(np.maximum(seen[at] - self.d, 0) / n + self.d * kinds[over] / n * q, 1.0), q)
-        at, over = (h[ORDER] >> top).astype(np.int64), (h[-(ORDER - 1)] >> top).astype(np.int64)
+        for seen, over, k in self.shared:
+            at = over.at(h[-(k - 1)])
+            count, total, kinds = seen.sums[0][seen.at(h[k])], over.sums[0][at], over.sums[1][at]
+            n = np.maximum(total, 1e-9)
+            q = np.where(total > 0, np.minimum(np.maximum(count - self.d, 0) / n + self.d * kinds / n * q, 1.0), q)
+        at, over = self.top.at(h[ORDER]), self.ctx.at(h[-(ORDER - 1)])
         logs = []
         for c in (0, 1):
-            total = self.ctx[c][over]
+            total = self.ctx.sums[c][over]
             n = np.maximum(total, 1e-9)
-            logs.append(np.log(np.where(total > 0, np.minimum(np.maximum(self.top[c][at] - self.d, 0) / n + self.d * self.ctx[2 + c][over] / n * q, 1.0), q)))
+            logs.append(np.log(np.where(total > 0, np.minimum(np.maximum(self.top.sums[c][at] - self.d, 0) / n + self.d * self.ctx.sums[2 + c][over] / n * q, 1.0), q)))
         return np.bincount(number, weights=logs[0] - logs[1], minlength=len(words))
 
 
