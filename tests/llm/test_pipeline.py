@@ -2,7 +2,7 @@
 
 import numpy as np
 from conftest import SMALL
-from test_operators import brute_simhash, brute_suffixes
+from test_llm_operators import brute_simhash, brute_suffixes
 
 import corpus_pipeline as p
 from brackwater.llm.common import stored
