@@ -2,65 +2,132 @@
 
 Documents are tokenised, ended by one id and cut into pieces of at most a window; whole windows
 are sequences already. The lengths of the remainders are rounded up to a grid, and combinations
-of at most three grid lengths that fill a window exactly are enumerated. Repeat counts x with
-A x = histogram, x >= 0, are solved by non-negative least squares, rounded down, and taken back
-where they ask for more pieces than there are. Pieces that no combination takes are packed
-greedily: laid end to end, in the order of their documents, and cut where a sequence is full.
+of at most three different grid lengths and six pieces that fill a window exactly are enumerated.
+Repeat counts x with A x = histogram, x >= 0, are solved by non-negative least squares with an
+active set, so that no more combinations are in use than there are grid lengths, then rounded up
+as long as there are pieces. Pieces that no combination takes are packed greedily: laid end to
+end, and cut where a sequence is full.
 
 Only the histogram (one count per grid length) reaches the driver. Pieces find their combination
 by their rank among pieces of their length; ranks are counted in hashed parts and carried on top
 of the parts' counts, so a length that a third of all documents share is no hot group.
 
 Defined results: a null or empty text has the end id alone; equal rows are packed separately; rows with a
-null doc_id are packed like others; further columns are ignored; an empty table gives an empty
-result. ids_crc32 is over little-endian unsigned 32-bit ids.
+null doc_id are packed like others; a text of any length is cut into as many windows as it fills;
+further columns are ignored; an empty table gives an empty result. ids_crc32 is over
+little-endian unsigned 32-bit ids.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brackwater.llm.common import by_slices, partitions, stored, table
+from brackwater.llm.common import by_bytes, partitions, stored, table
 
 WINDOW = 4096
-GRID = 16
+GRID = 8
+PIECES = 6
 END_ID = 2
-#: Words that need no normalising but lower case, perhaps with a full stop or a comma.
-LETTERS = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+[.,]?")
 #: Byte-level vocabularies write each byte as a character: printable ones as themselves, the rest
 #: as characters from 256 on, in order.
 _PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
 BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+#: Bytes of lower-case letters up to U+00FF; 0xC3 leads those beyond ASCII.
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[97:123] = _LETTER[0x80:0xC0] = _LETTER[0xC3] = True
+_LETTER[[0x97, 0xB7]] = False
+NO_RANK = np.int64(1 << 40)
+
+
+class Merges:
+    """The vocabulary's merges, applied to many words of letters at a time: in each round every
+    word merges its first pair of the least rank."""
+
+    def __init__(self, tokenizer):
+        model = json.loads(tokenizer.to_str())["model"]
+        ids, end = model["vocab"], model["end_of_word_suffix"]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        keys = np.array([ids[a] << 32 | ids[b] for a, b in pairs], dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys, self.rank, self.made = keys[order], order.astype(np.int64), np.array([ids[a + b] for a, b in pairs], dtype=np.int64)[order]
+        of = [chr(BYTES.get(b, b)) for b in range(256)]
+        self.inner, self.last = (np.array([ids.get(c + x, -1) for c in of], dtype=np.int64) for x in ("", end))
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        known = self.keys[at] == key
+        return np.where(known, self.rank[at], NO_RANK), self.made[at]
+
+    def apply(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words whose bytes ``data`` holds one after the other, and how many each has."""
+        word = np.repeat(np.arange(len(sizes)), sizes)
+        ends = np.cumsum(sizes) - 1
+        symbol = self.inner[data]
+        symbol[ends] = self.last[data[ends]]
+        rank, made = np.full(len(data), NO_RANK), np.zeros(len(data), dtype=np.int64)
+        if len(data) > 1:
+            rank[:-1], made[:-1] = self._ranks(symbol[:-1], symbol[1:])
+            rank[ends] = NO_RANK
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(word):
+            new = np.r_[True, word[1:] != word[:-1]]
+            starts = np.flatnonzero(new)
+            number = np.cumsum(new) - 1
+            best = np.minimum.reduceat(rank, starts)
+            open_ = (best < NO_RANK)[number]
+            done.append((word[~open_], symbol[~open_]))
+            at = np.flatnonzero(open_ & (rank == best[number]))
+            at = at[np.r_[True, number[at][1:] != number[at][:-1]]] if len(at) else at
+            symbol[at] = made[at]
+            stay = open_
+            stay[at + 1] = False
+            place = np.cumsum(stay) - 1
+            # a merged pair's end is the end of what it met
+            at = place[at]
+            symbol, word, rank, made = symbol[stay], word[stay], rank[stay], made[stay]
+            touched = np.zeros(len(word) + 1, dtype=bool)
+            touched[at] = touched[at - 1] = True  # at -1 for the first: the spare last place
+            redo = np.flatnonzero(touched[:-1][:-1] & (word[1:] == word[:-1])) if len(word) else at
+            rank[at] = NO_RANK
+            rank[redo], made[redo] = self._ranks(symbol[redo], symbol[redo + 1])
+        word, symbol = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        by = np.argsort(word, kind="stable")
+        return symbol[by].astype("<u4"), np.bincount(word, minlength=len(sizes))
 
 
 class WordCoder:
     """The ids of words, encoded once each. The vocabulary drops white space and lower-cases
-    character by character, so a text's ids are those of its words in turn; a word of letters is
-    one unit to it, and so is a full stop or a comma after one."""
+    character by character, so a text's ids are those of its words in turn, and a full stop or a
+    comma after a letter is a word of its own. Words of letters go straight to the merges; all
+    others, and texts with special tokens, through the tokenizer."""
 
-    LIMIT = 700_000
+    LIMIT = 500_000
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.ends = {c: self.tokenizer.token_to_id(f"{c}</w>") for c in ".,"}
+        self.merges = Merges(self.tokenizer)
+        self.end_id = end_id
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.starts, self.n = np.zeros(1 << 16, dtype="<u4"), np.zeros(1 << 16, dtype=np.int64), 0
+        self._put([""], np.array([self.end_id], dtype="<u4"), np.ones(1, dtype=np.int64))  # the end of a text
 
     def _put(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         at = int(self.starts[self.n])
@@ -73,50 +140,70 @@ class WordCoder:
         self.known.update(zip(words, range(self.n, self.n + len(words)), strict=True))
         self.n += len(words)
 
-    def learn(self, words: set[str]) -> None:
-        """Makes the words known. A word of letters, which the vocabulary's rules neither split nor
-        compose, goes straight to the merges as the bytes of its lower case; others go the long way."""
-        plain, other = [], []
-        ids, sizes = array("I"), array("q")
-        known, fresh = self.known, {}
-        merge, ends, letters = self.tokenizer.model.tokenize, self.ends, LETTERS.fullmatch
-        for w in words:
-            if not letters(w):
-                other.append(w)
-                continue
-            end = ends.get(w[-1])
-            stem = (w if end is None else w[:-1]).lower()
-            if (k := known.get(stem)) is not None:
-                own = self.flat[self.starts[k] : self.starts[k + 1]].tolist()
-            elif (own := fresh.get(stem)) is None:
-                own = fresh[stem] = [t.id for t in merge(stem.encode().decode("latin-1").translate(BYTES))]
-            if end is not None:
-                own = [*own, end]
-            plain.append(w)
-            ids.extend(own)
-            sizes.append(len(own))
+    def _learn(self, words: list[str], arrow: pa.Array) -> None:
+        _, offsets, data = arrow.buffers()
+        offsets = np.frombuffer(offsets, dtype=np.int32)[arrow.offset : arrow.offset + len(arrow) + 1].astype(np.int64)
+        data = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]]
+        sizes = np.diff(offsets)
+        plain = np.logical_and.reduceat(_LETTER[data], offsets[:-1] - offsets[0])
+        ids, counts = self.merges.apply(data[np.repeat(plain, sizes)], sizes[plain])
+        self._put([words[i] for i in np.flatnonzero(plain)], ids, counts)
+        other = [words[i] for i in np.flatnonzero(~plain)]
         for at in range(0, len(other), 500):
-            for e in self.tokenizer.encode_batch_fast(other[at : at + 500], add_special_tokens=False):
-                ids.extend(e.ids)
-                sizes.append(len(e.ids))
-        self._put(plain + other, np.frombuffer(ids, dtype=np.uint32) if ids else np.zeros(0, np.uint32), np.frombuffer(sizes, dtype=np.int64) if sizes else np.zeros(0, np.int64))
-
-    def ids(self, words: list[str], extra: int) -> np.ndarray:
-        """The ids of known words in turn, and the extra id."""
-        at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+            part = other[at : at + 500]
+            found = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self._put(part, np.concatenate(found), np.array([len(x) for x in found], dtype=np.int64))
+
+    def words(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The words of all texts, one after the other, and how many each text has."""
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        data = np.frombuffer(b"".join(memoryview(x) for x in texts.cast(pa.binary()).to_pylist()), dtype=np.uint8).copy()
+        ends = np.cumsum(sizes)
+        whole = np.repeat(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False), sizes)  # may hold special tokens
+        edge = np.zeros(len(data) + 1, dtype=bool)
+        edge[ends] = edge[0] = True
+        before, after = np.r_[np.uint8(32), data[:-1]] if len(data) else data, np.r_[data[1:], np.uint8(32)] if len(data) else data
+        upper = (data >= 65) & (data <= 90) | (before == 0xC3) & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
+        space = ((data == 32) | (data == 10)) & ~whole
+        data[upper & ~whole] += 32
+        wide = _LETTER & (np.arange(256) >= 0x80) & (np.arange(256) < 0xC0)
+        before = np.r_[np.uint8(32), data[:-1]] if len(data) else data
+        letter = (before >= 97) & (before <= 122) | wide[before] & (np.r_[np.zeros(2, np.uint8), data[:-2]][: len(data)] == 0xC3)
+        gap = np.r_[True, space[:-1]] | edge[:-1] if len(data) else space
+        # a stop or comma after a letter and before a space
+        stop = ((data == 46) | (data == 44)) & letter & ~edge[:-1] & ((after == 32) | (after == 10) | edge[1:]) & ~whole
+        first = np.flatnonzero((gap | stop) & ~space)
+        left = np.cumsum(~space)
+        offsets = np.r_[left[first] - 1, left[-1] if len(left) else 0].astype(np.int32)
+        flat = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(data[~space]))
+        return flat.dictionary_encode(), np.diff(np.r_[0, np.searchsorted(first, ends)])
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (strings without nulls), each with its end id, and where each text ends."""
+        if self.n > self.LIMIT:
+            self.forget()
+        coded, counts = self.words(texts)
+        kinds, at = coded.dictionary, np.zeros(0, dtype=np.int64)
+        if len(kinds):
+            words = kinds.to_numpy(zero_copy_only=False).tolist()
+            row = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+            new = np.flatnonzero(row < 0)
+            if len(new):
+                names = [words[i] for i in new]
+                self._learn(names, kinds.take(pa.array(new)))
+                row[new] = np.fromiter(map(self.known.__getitem__, names), dtype=np.int64, count=len(names))
+            at = row[coded.indices.to_numpy(zero_copy_only=False)]
+        at = np.insert(at, np.cumsum(counts), 0)
         size = self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(size)
-        n = int(ends[-1]) if len(ends) else 0
-        out = np.empty(n + 1, dtype="<u4")
-        out[:n] = self.flat[np.arange(n) + np.repeat(self.starts[at] - (ends - size), size)]
-        out[n] = extra
-        return out
+        out = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[at] - (ends - size), size)]
+        return out, ends[np.cumsum(counts + 1) - 1]
 
 
 @lru_cache(maxsize=1)
-def coder(vocabulary: str) -> WordCoder:
+def coder(vocabulary: str, end_id: int) -> WordCoder:
     """One coder for all tasks of a Python worker."""
-    return WordCoder(vocabulary)
+    return WordCoder(vocabulary, end_id)
 
 
 def token_rows(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -124,72 +211,110 @@ def token_rows(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: i
     and full_crc, the checksums of its whole windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(vocabulary)
-        for batch in (s for b in batches for s in by_slices(256)(b)):
-            texts = [(t.as_py() or "").replace("\n", " ").split(" ") for t in batch.column(1)]
-            if own.n > own.LIMIT:
-                own.forget()
-            own.learn(set().union(*texts).difference(own.known))
-            counts, blobs, crcs = [], [], []
-            for words in texts:
-                ids = own.ids(words, end_id)
-                whole = len(ids) // window
-                counts.append(len(ids))
-                crcs.append([zlib.crc32(ids[k * window : (k + 1) * window]) for k in range(whole)])
-                blobs.append(ids[whole * window :].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "ids", "full_crc"])
+        own = coder(vocabulary, end_id)
+        for batch in (s for b in batches for s in by_bytes(b, 1)):
+            ids, ends = own.ids(pc.fill_null(batch.column(1), ""))
+            begin = np.r_[0, ends[:-1]]
+            rest = begin + (ends - begin) // window * window
+            blobs = [ids[a:z].tobytes() for a, z in zip(rest, ends, strict=True)]
+            crcs = [[zlib.crc32(ids[k : k + window]) for k in range(a, z, window)] for a, z in zip(begin, rest, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends - begin), pa.array(blobs, pa.binary()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "ids", "full_crc"])
 
     coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, doc_tokens long, ids binary, full_crc array<long>")
     return coded.withColumn("row", F.monotonically_increasing_id())
 
 
-def combinations(bins: int, depth: int = 3) -> np.ndarray:
-    """All ways to write ``bins`` as at most ``depth`` positive parts, as rows of parts and zeros."""
-    a, b = np.meshgrid(np.arange(bins + 1), np.arange(bins + 1), indexing="ij")
-    c = bins - a - b
-    return np.stack([a, b, c], axis=-1)[(a >= b) & (b >= c) & (c >= 0)]
-
-
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """x >= 0 that brings a x close to b in the least-squares sense (accelerated projected gradient)."""
-    x = y = np.zeros(a.shape[1])
-    step = 1.0 / max(np.linalg.norm(a, 2) ** 2, 1e-9)
-    t = 1.0
-    for _ in range(rounds):
-        new = np.maximum(0, y - step * (a.T @ (a @ y - b)))
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        y, x, t = new + (t - 1) / t_new * (new - x), new, t_new
+def combinations(bins: int, pieces: int = PIECES) -> tuple[np.ndarray, np.ndarray]:
+    """Ways to write ``bins`` with three parts or fewer: the parts, and how often each is taken.
+
+    Two parts a and b times each (a + b <= pieces), or two once and a third up to pieces - 2 times.
+    """
+    p = np.arange(1, bins + 1)
+    found = [np.stack([p[bins % p == 0], 0 * p[bins % p == 0], 0 * p[bins % p == 0], bins // p[bins % p == 0]], axis=1)]
+    found = [np.c_[f[:, :3], f[:, 3], 0 * f[:, 3], 0 * f[:, 3]] for f in found]
+    found[0] = found[0][found[0][:, 3] <= pieces]
+    for a in range(1, pieces):
+        for b in range(1, pieces + 1 - a):
+            rest = bins - a * p
+            q = rest // b
+            ok = (rest > 0) & (rest % b == 0) & (q < p)
+            found.append(np.stack([p[ok], q[ok], 0 * p[ok], 0 * p[ok] + a, 0 * p[ok] + b, 0 * p[ok]], axis=1))
+    big, small = (x.ravel() for x in np.meshgrid(p, p, indexing="ij"))
+    big, small = big[big > small], small[big > small]
+    for c in range(1, pieces - 1):
+        rest = bins - big - small
+        r = rest // c
+        ok = (rest > 0) & (rest % c == 0) & ((r < small) if c == 1 else (r != small) & (r != big))
+        one = 0 * r[ok] + 1
+        found.append(np.stack([big[ok], small[ok], r[ok], one, one, c * one], axis=1))
+    every = np.concatenate(found)
+    return every[:, :3], every[:, 3:]
+
+
+def nnls(parts: np.ndarray, times: np.ndarray, target: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """x >= 0 for which the counts of parts come close to ``target``, each miss at its weight, in the
+    least-squares sense. Active set (Lawson and Hanson); a column of A is times at parts."""
+    x = np.zeros(len(parts))
+    value = times * np.where(parts > 0, weight[parts], 0.0)  # the weighted entries of A
+    scaled = value / np.sqrt((value**2).sum(axis=1))[:, None]
+    goal = weight * target
+    least = 1e-6 * max(1.0, np.abs(goal).max())
+    active = np.zeros(0, dtype=np.int64)
+    columns, gram, aim = np.zeros((len(target), 0)), np.zeros((0, 0)), np.zeros(0)
+    for _ in range(3 * len(target)):
+        left = goal - columns @ x[active]
+        slope = np.einsum("ij,ij->i", scaled, left[parts])
+        slope[active] = -np.inf
+        best = int(slope.argmax())
+        if slope[best] <= least:
+            break
+        one = np.zeros(len(target))
+        np.add.at(one, parts[best], value[best])
+        beside = columns.T @ one
+        gram = np.block([[gram, beside[:, None]], [beside[None, :], (one @ one) * (1 + 1e-9)]])
+        active, columns, aim = np.r_[active, best], np.c_[columns, one], np.r_[aim, one @ goal]
+        while len(active):
+            own = np.linalg.solve(gram, aim)
+            if own.min() > 0:
+                x[active] = own
+                break
+            was, low = x[active], own <= 0
+            step = (was[low] / np.maximum(was[low] - own[low], 1e-300)).min()
+            now = was + step * (own - was)
+            stay = ~(low & (now <= 1e-9 * max(1.0, now.max())))
+            if stay.all():
+                stay[np.flatnonzero(low)[own[low].argmin()]] = False
+            x[active] = np.where(stay, now, 0)
+            active, columns, gram, aim = active[stay], columns[:, stay], gram[np.ix_(stay, stay)], aim[stay]
     return x
 
 
-def plan(histogram: dict[int, int], bins: int) -> list[tuple[int, int, int]]:
-    """(first sequence, combination's parts...) as runs: for each grid length, rows of
-    (length, first rank, last rank, first sequence, place) that its pieces' ranks fall into."""
+def plan(histogram: dict[int, int], bins: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Rows of (length, first rank, last rank, first sequence, place, sequences) that the ranks of
+    the pieces of a grid length fall into."""
     h = np.array([histogram.get(k, 0) for k in range(bins + 1)], dtype=float)
-    ways = combinations(bins)
-    ways = ways[(h[ways[:, 0]] > 0) & ((h[ways[:, 1]] > 0) | (ways[:, 1] == 0)) & ((h[ways[:, 2]] > 0) | (ways[:, 2] == 0))]
-    if not len(ways):
+    h[0] = 0
+    parts, times = combinations(bins)
+    there = ((h[parts] > 0) | (parts == 0)).all(axis=1)
+    parts, times = parts[there], times[there]
+    if not len(parts):
         return []
-    a = np.zeros((bins + 1, len(ways)))
-    for place in range(3):
-        np.add.at(a, (ways[:, place], np.arange(len(ways))), 1)
-    a[0] = 0
-    scale = 1 / np.sqrt(np.maximum(h, 1))  # a miss counts against the length's own number
-    x = np.floor(nnls(a * scale[:, None], h * scale) + 1e-6).astype(np.int64)
+    x = nnls(parts, times, h, 1 / np.sqrt(np.maximum(h, 1)))  # a miss counts against the length's own number
     left = h.astype(np.int64)
     runs, sequence = [], 0
     for k in np.argsort(-x, kind="stable"):
         if x[k] <= 0:
             break
-        need = np.bincount(ways[k][ways[k] > 0], minlength=bins + 1)
-        n = int(min(x[k], *(left[p] // need[p] for p in np.flatnonzero(need))))
+        own = [(int(p), int(m)) for p, m in zip(parts[k], times[k], strict=True) if p]
+        n = int(min(np.ceil(x[k] - 1e-9), *(left[p] // m for p, m in own), left[own[0][0]]))
         if n <= 0:
             continue
-        for place, part in enumerate(ways[k]):
-            if part:
-                first = int(h[part] - left[part])
-                runs.append((int(part), first, first + n - 1, sequence, place))
-                left[part] -= n
+        place = 0
+        for part, m in own:
+            first = int(h[part] - left[part])
+            runs.append((part, first, first + m * n - 1, sequence, place, n))
+            left[part] -= m * n
+            place += m
         sequence += n
     return runs
 
@@ -204,11 +329,10 @@ def ranked(rows: DataFrame, group: str, key: str) -> DataFrame:
     return numbered.join(counts, [group, "part"]).withColumn("rank", F.col("before") + F.col("place_") - 1).drop("part", "place_", "before")
 
 
-def running(rows: DataFrame, key: str, size: str, parts: int) -> DataFrame:
-    """``rows`` with before: the sum of the sizes of all rows with a smaller key. Key: 0 <= key < 2**63."""
-    top = rows.agg(F.max(key)).first()[0] or 0
-    width = top // parts + 1
-    dealt = rows.withColumn("part", F.floor(F.col(key) / F.lit(width)).cast("long"))
+def running(rows: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` with before: the sum of the sizes of all rows before it, in hashed parts of the key."""
+    parts = max(64, 4 * partitions(rows))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
     sums = dealt.groupBy("part").agg(F.sum(size).alias("n"))
     sums = sums.select("part", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("n")).alias("base"))
     inner = dealt.withColumn("inner", F.sum(size).over(Window.partitionBy("part").orderBy(key)) - F.col(size))
@@ -228,14 +352,17 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW, grid:
     runs = plan(histogram, bins)
     spark = docs.sparkSession
     # one row for each length and combination in use: bounded by the grid, not by the documents
-    table_ = spark.createDataFrame(runs, "bin int, first long, last long, sequence long, place int") if runs else spark.createDataFrame([], "bin int, first long, last long, sequence long, place int")
+    ways = spark.createDataFrame(runs, "bin int, first long, last long, sequence long, place int, n long")
     rank = ranked(rest, "bin", "row")
-    placed = stored(rank.join(F.broadcast(table_), (rank["bin"] == table_["bin"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") <= F.col("last")), "left").select("row", "length", (F.col("sequence") + F.col("rank") - F.col("first")).alias("s"), "place"), "packing-placed")
+    match = (rank["bin"] == ways["bin"]) & F.col("rank").between(F.col("first"), F.col("last"))
+    behind = F.col("rank") - F.col("first")
+    placed = rank.join(F.broadcast(ways), match, "left").select("row", "length", (F.col("sequence") + behind % F.col("n")).alias("s"), (F.col("place") + F.floor(behind / F.col("n"))).alias("place"))
+    placed = stored(placed, "packing-placed")
     filled = placed.filter("s is not null")
     by_sequence = Window.partitionBy("s").orderBy("place")
     filled = filled.select("row", "length", "s", (F.sum("length").over(by_sequence) - F.col("length")).alias("o"))
-    base = sum(r[2] - r[1] + 1 for r in runs if r[4] == 0)
-    loose = running(placed.filter("s is null").select("row", "length"), "row", "length", 4 * partitions(docs))
+    base = max((r[3] + r[5] for r in runs), default=0)
+    loose = running(placed.filter("s is null").select("row", "length"), "row", "length")
     loose = loose.select("row", "length", (F.lit(base) + F.floor(F.col("before") / window)).cast("long").alias("s"), (F.col("before") % window).alias("o"))
     spots = stored(filled.select("row", "s", "o").union(loose.select("row", "s", "o")), "packing-spots")
     tokens = placed.filter("s is null").agg(F.sum("length")).first()[0] or 0
@@ -255,7 +382,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW, grid:
 
     pieces = rows.select("row", "doc_id", "doc_tokens", "ids").join(spots, "row").select("doc_id", "doc_tokens", "ids", "s", "o").mapInArrow(cut, PIECE)
     whole = rows.filter(F.size("full_crc") > 0).select("row", "doc_id", "doc_tokens", "full_crc", F.size("full_crc").cast("long").alias("n"))
-    whole = running(whole, "row", "n", 4 * partitions(docs)).select("doc_id", "doc_tokens", "before", F.posexplode("full_crc").alias("k", "crc"))
+    whole = running(whole, "row", "n").select("doc_id", "doc_tokens", "before", F.posexplode("full_crc").alias("k", "crc"))
     whole = whole.select("doc_id", (F.col("k") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), F.col("crc").alias("ids_crc32"), "doc_tokens", (F.lit(whole_base) + F.col("before") + F.col("k")).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return pieces.unionByName(whole)
 

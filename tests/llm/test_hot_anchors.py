@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from test_operators import EDGES, brute_suffixes, docs, whole_table
+from test_llm_operators import EDGES, brute_suffixes, docs, whole_table
 
 from brackwater.llm import suffixes
 

@@ -6,6 +6,7 @@ import zlib
 from itertools import combinations, product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import SMALL, same
@@ -179,16 +180,62 @@ def test_packing(spark):
     assert packing.pack_documents(docs(spark, []), path).count() == 0
 
 
+def test_packing_ids_are_the_tokenizers(spark):
+    """Whole tables and odd texts, in batches that share words."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, own = Tokenizer.from_file(path), packing.WordCoder(path, 2)
+    odd = [None, "", " ", "\n", "a", "A.", "\xc9, \xc8\xc0\xde. \xd7\xf7 x\xd7. \xdf\xff", "<|ENDOFTEXT|> Hi. <|endoftext|>", "x . y ,z", "foo\tbar baz.\x85qux, w.", "e\u0301. E\u0301, I\u0307 ", "don't. we'll, 's. s", "\x1c a\x1f.", "\xaa\xba. \xb5, x\xb2,", "end,\n.", ".", "a.\r\nb", "\U0001f600. x\U0001f600,", "ab\xadcd. \u0152 \u0178, \u0133.", "\u03a3\u03a3. \u65e5\u672c. x" * 50]
+    texts = odd + [t for _, t in whole_table(spark)] + odd
+    for at in range(0, len(texts), 37):
+        part = texts[at : at + 37]
+        ids, ends = own.ids(pa.array([t or "" for t in part]))
+        for t, a, z in zip(part, [0, *ends[:-1]], ends, strict=True):
+            assert ids[a:z].tolist() == [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+
+
 def test_packing_plan_takes_no_piece_twice():
-    runs = packing.plan({100: 37, 156: 37, 60: 10, 76: 3, 255: 4, 1: 4}, 256)
-    for part, n in {100: 37, 156: 37, 60: 10, 76: 3, 255: 4, 1: 4}.items():
-        ranks = sorted(k for p, a, b, _, _ in runs if p == part for k in range(a, b + 1))
+    histogram = {100: 37, 156: 37, 60: 10, 76: 3, 255: 4, 1: 4, 64: 400}
+    runs = packing.plan(histogram, 256)
+    for part, n in histogram.items():
+        ranks = sorted(k for p, a, b, *_ in runs if p == part for k in range(a, b + 1))
         assert ranks == list(range(len(ranks))) and len(ranks) <= n
-    full = {}
-    for p, a, b, s, _ in runs:
+    full, places = {}, {}
+    for p, a, b, s, place, n in runs:
         for k in range(b - a + 1):
-            full[s + k] = full.get(s + k, 0) + p
-    assert full and set(full.values()) == {256}
+            full[s + k % n] = full.get(s + k % n, 0) + p
+            places.setdefault(s + k % n, []).append(place + k // n)
+    assert set(full.values()) == {256} and sorted(full) == list(range(len(full)))
+    assert all(sorted(x) == list(range(len(x))) for x in places.values())
+    assert sum(b - a + 1 for _, a, b, *_ in runs) >= 0.95 * sum(histogram.values())
+
+
+def test_packing_combinations_against_brute_force():
+    parts, times = packing.combinations(24)
+    got = sorted(tuple(sorted((p, m) for p, m in zip(ps, ms, strict=True) if p)) for ps, ms in zip(parts.tolist(), times.tolist(), strict=True))
+    assert len(got) == len(set(got)) and all(sum(p * m for p, m in way) == 24 and sum(m for _, m in way) <= packing.PIECES for way in got)
+    two = {tuple(sorted(((p, a), (q, b)))) for p in range(1, 25) for q in range(1, p) for a in range(1, 6) for b in range(1, 7 - a) if a * p + b * q == 24}
+    ones = {((p, 1), (q, 1), (24 - p - q, 1)) for p in range(1, 25) for q in range(p + 1, 25) if 24 - p - q > q}
+    assert two <= set(got) and ones <= set(got) and {((24, 1),), ((4, 6),)} <= set(got)
+
+
+def test_packing_nnls_is_the_least_squares_solution():
+    """The conditions that only the optimum meets: no slope where x > 0, none upwards where x = 0."""
+    rng = np.random.default_rng(3)
+    for bins in (12, 40, 64):
+        parts, times = packing.combinations(bins)
+        h = np.r_[0, rng.integers(0, 90, bins)].astype(float)
+        weight = 1 / np.sqrt(np.maximum(h, 1))
+        a = np.zeros((bins + 1, len(parts)))
+        for place in range(3):
+            np.add.at(a, (parts[:, place], np.arange(len(parts))), times[:, place])
+        a[0] = 0
+        x = packing.nnls(parts, times, h, weight)
+        slope = (a * weight[:, None]).T @ (weight * (h - a @ x))
+        assert x.min() >= 0 and (x > 0).sum() <= bins + 1
+        assert slope.max() < 1e-4 * h.max() and np.abs(slope[x > 0]).max() < 1e-4 * h.max()
 
 
 # --- warc
