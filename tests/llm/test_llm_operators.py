@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import re
 import zlib
 from itertools import combinations, product
 
@@ -339,6 +340,63 @@ def test_quality_against_labels(spark):
     assert right >= 0.93 * len(got) and sum(clean) >= 0.98 * len(clean)
 
 
+def test_quality_measurements_against_native_ones(spark):
+    rows = [*EDGES, *whole_table(spark), (20, "a\n\na\n b \na\n"), (21, "x y " * 9), (22, "\n"), (23, "\u65e5\u672c \u65e5\u672c! |")]
+    m = quality.Measured(pa.array([t for _, t in rows]))
+    m.n_lines, m.n_dup_lines = m.lines
+    want = rules.measurements(docs(spark, [(i, t) for i, (_, t) in enumerate(rows)])).toPandas().sort_values("doc_id")
+    for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct_words", "n_lines", "n_marks"):
+        assert getattr(m, name).tolist() == want[name].tolist(), name
+    for i, (_, t) in enumerate(rows):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        pairs = list(zip(words, words[1:], strict=False))
+        assert (m.n_pairs[i], m.n_followed[i]) == (len(set(pairs)), sum(a == b for a, b in pairs))
+
+
+def test_quality_em_against_brute_force():
+    """The same EM, vote by vote and row by row."""
+    rng = np.random.default_rng(5)
+    k = len(quality.LABELLERS)
+    counts = {int(p): int(n) for p, n in zip(rng.choice(3**k, 60, replace=False), rng.integers(1, 50, 60), strict=True)}
+    rows = [[p // 3**j % 3 for j in range(k)] for p in sorted(counts) for _ in range(counts[p])]
+    share = []
+    for r in rows:
+        own = [0.05 if quality.BAD in r else 0.95, *((d == quality.BAD) + 0.005 for d in r)]
+        share.append([x / sum(own) for x in own])
+    for _ in range(200):
+        size = [sum(s[c] for s in share) for c in range(k + 1)]
+        prior = [(x + 1) / (len(rows) + k + 1) for x in size]
+        rate = [[[0.5 + sum(s[c] for s, r in zip(share, rows, strict=True) if r[j] == v) for v in (1, 2)] for j in range(k)] for c in range(k + 1)]
+        new = []
+        for r in rows:
+            own = [prior[c] * np.prod([rate[c][j][d - 1] / sum(rate[c][j]) for j, d in enumerate(r) if d]) for c in range(k + 1)]
+            new.append([x / sum(own) for x in own])
+        moved = max(abs(a - b) for x, y in zip(new, share, strict=True) for a, b in zip(x, y, strict=True))
+        if moved < 1e-6:
+            break
+        share = new
+    got, at = quality.posteriors(counts), 0
+    for p in sorted(counts):
+        assert abs(got[p] - share[at][0]) < 1e-6
+        at += counts[p]
+
+
+def test_quality_scorer_is_its_formula(spark):
+    rng = np.random.default_rng(2)
+    weights = rng.normal(size=1 << quality.BITS)
+    rows = [(i, t) for i, (_, t) in enumerate([*EDGES, *whole_table(spark)[:40]])]
+    got = {r["doc_id"]: r["score"] for r in quality.with_quality(docs(spark, rows), (weights, 0.5), "s_").withColumnRenamed("s_", "score").collect()}
+    v, p, r = quality.text_slots()
+    for i, t in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        n, x = len(words), 0.5
+        if n:
+            pairs = list(zip(words, words[1:], strict=False))
+            x += 10 * sum(weights[f] for w in words for f in quality.word_features(w)) / n
+            x += weights[v[min(n.bit_length(), 5)][10 * len(set(words)) // n]] + weights[p[10 * (len(set(pairs)) if n > 1 else n) // n]] + weights[r[10 * sum(a == b for a, b in pairs) // n]]
+        assert abs(got[i] - 1 / (1 + np.exp(-np.clip(x, -30, 30)))) < 1e-4
+
+
 def test_quality_edges(spark):
     assert quality.classify(docs(spark)).count() == len(EDGES)
     assert quality.classify(docs(spark, [])).count() == 0
