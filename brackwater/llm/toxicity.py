@@ -1,24 +1,31 @@
 """Toxicity from two class-conditional Kneser-Ney models over the characters of words.
 
-An expression is a character of a word with the four before it (word starts and ends are
+An expression is a character of a word with the five before it (word starts and ends are
 characters too). For each class c the top order is
 
-    P_c(x | h) = max(C_c(h, x) - D, 0) / C_c(h) + D * N_c(h, .) / C_c(h) * Q(x | h')
+    P_c(x | h) = (max(C_c(h, x) - D, 0) + (D * N_c(h, .) + B) * Q(x | h')) / (C_c(h) + B)
 
 and both classes back off to one shared Q, which is itself Kneser-Ney over continuation counts
-(order 4, then order 2, then a uniform floor) of the two classes together. An expression that
-neither class has seen often thus gets nearly equal likelihoods. A text's statistic is the mean
-over its words of log P_toxic - log P_ordinary, held back by a few words of weight zero for very
-short texts. Counts come from every labelled row of the folds for fitting; a logistic curve is
-fitted on the fold kept for calibration, so the score is a probability of label 1.
+(order 4, then order 2, then a uniform floor) of the two classes together. The B shared backoff
+counts keep expressions that a class has seen once or twice near Q, so their likelihoods are nearly equal.
 
-The tables hold every distinct expression and context under its 64-bit hash, so the model grows
-with the distinct expressions of the labelled words and two of them share no count (``bits`` under 64 would let them).
+A toxic text is mostly ordinary words, so its model takes a word from the toxic class with
+probability ``share`` and from the ordinary class else. The statistic is the length-normalised
+difference of the two log-likelihoods, mean over words of log(1 - share + share * P_toxic(w) /
+P_ordinary(w)), held back by some words of weight zero for very short texts: the many
+words that are equally likely in both add nothing, however long the text.
+
+A logistic curve of positive slope makes it a probability of label 1. It is fitted on fold 3 with
+counts of folds 0 and 1; then the counts of fold 3 are added, so all labels that may be learnt
+from are in the model. The tables hold every distinct expression and context of the labelled
+words under its 64-bit hash, so the model grows with them and two of them share no count
+(``bits`` under 64 would let them).
 
 Defined results: null or blank texts score as a text with a statistic of zero; rows with a null
 doc_id are scored and never learnt from; repeated labels of a doc_id count as toxic if one is;
 null labels are left out; with no labels of a class the models are equal and every text gets the
-base rate; extra columns are ignored; an empty table gives an empty result.
+base rate; a text of any length is scored whole; extra columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -37,9 +44,13 @@ from pyspark.sql import functions as F
 
 from brackwater.llm.common import by_slices, stored, table
 
-ORDER = 5
+ORDER = 6
+LENGTHS, CONTEXTS = (6, 4, 2), (5, 3, 1)
+BACKOFF = 5.0
+SHARE = 0.003
 BITS = 64  # of a hash by which expressions are told apart: all
-LEAN = 4.0
+LEAN = 20.0
+LEAST_SLOPE = 0.05
 WORD = re.compile(r"\w+")
 START, END = 2, 3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -50,8 +61,8 @@ def words_of(text: str | None) -> list[str]:
 
 
 def expressions(words: list[str]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """For every character of every word (and its end): the word's number, and for each length k
-    in 1..ORDER the hash of the k characters that end there."""
+    """For every character of every word (and its end): the word's number, and the hashes of the k
+    characters that end there, for k in LENGTHS, and that end before it, at -k for k in CONTEXTS."""
     padded = "".join(f"{chr(START) * (ORDER - 1)}{w}{chr(END)}" for w in words)
     codes = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + ORDER
@@ -60,61 +71,57 @@ def expressions(words: list[str]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     at = np.flatnonzero(inside >= ORDER - 1)
     of: dict[int, np.ndarray] = {}
     with np.errstate(over="ignore"):
-        for k in range(1, ORDER + 1):
-            h = np.full(len(at), k, dtype=np.uint64)
-            for back in range(k - 1, -1, -1):
-                h = (h ^ codes[at - back]) * _MIX
-                h ^= h >> np.uint64(29)
-            of[k] = h
-        prior: dict[int, np.ndarray] = {}
-        for k in range(1, ORDER):  # the same hash of the k characters before
+        for k, skip in (*((k, 0) for k in LENGTHS), *((k, 1) for k in CONTEXTS)):  # the contexts end one before
             h = np.full(len(at), k, dtype=np.uint64)
-            for back in range(k, 0, -1):
+            for back in range(k - 1 + skip, skip - 1, -1):
                 h = (h ^ codes[at - back]) * _MIX
                 h ^= h >> np.uint64(29)
-            prior[k] = h
-    return number[at], {**of, **{-k: h for k, h in prior.items()}}
+            of[-k if skip else k] = h
+    return number[at], of
+
+
+COUNTS = ("toxic", "plain", "toxic_late", "plain_late")
 
 
 def word_counts(train: DataFrame) -> DataFrame:
-    """(word, toxic, plain): occurrences in the texts of either class; ``train`` has text, toxic."""
+    """(word, COUNTS): occurrences in the texts of either class; ``train`` has text, toxic and late, which
+    is 1 for the fold that is counted apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies: tuple[Counter, Counter] = (Counter(), Counter())
+        tallies: list[Counter] = [Counter() for _ in COUNTS]
 
         def out() -> pa.RecordBatch:
-            words = list(tallies[0].keys() | tallies[1].keys())
-            made = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([t[w] for w in words], pa.int64()) for t in (tallies[1], tallies[0]))], ["word", "toxic", "plain"])
+            words = list(set().union(*tallies))
+            made = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([t[w] for w in words], pa.int64()) for t in tallies)], ["word", *COUNTS])
             for t in tallies:
                 t.clear()
             return made
 
         for batch in (s for b in batches for s in by_slices()(b)):
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                tallies[toxic].update(words_of(text.as_py()))
-            if len(tallies[0]) + len(tallies[1]) > 200_000:
+            for text, toxic, late in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                tallies[1 - toxic + 2 * late].update(words_of(text.as_py()))
+            if sum(map(len, tallies)) > 200_000:
                 yield out()
         yield out()
 
-    parts = train.select("text", F.col("toxic").cast("int")).mapInArrow(run, "word string, toxic long, plain long")
-    return parts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
+    parts = train.select("text", F.col("toxic").cast("int"), F.col("late").cast("int")).mapInArrow(run, "word string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return parts.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
 def expression_counts(words: DataFrame) -> DataFrame:
-    """One row per distinct expression: its hash, those of its parts, and its class counts."""
+    """One row per distinct expression: its hash, those of its parts, and its counts."""
     names = ["top", "ctx", "h4", "c3", "h2", "c1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in by_slices(20_000)(b)):
             number, h = expressions(batch.column(0).to_pylist())
-            weights = [batch.column(c).to_numpy(zero_copy_only=False)[number] for c in (1, 2)]
             first, inverse = np.unique(h[ORDER], return_index=True, return_inverse=True)[1:]
-            sums = [np.bincount(inverse, weights=w, minlength=len(first)).astype(np.int64) for w in weights]
+            sums = [np.bincount(inverse, weights=batch.column(c).to_numpy(zero_copy_only=False)[number], minlength=len(first)).astype(np.int64) for c in range(1, 5)]
             cols = [h[k][first].view(np.int64) for k in (ORDER, 1 - ORDER, 4, -3, 2, -1)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols, *sums)], [*names, "toxic", "plain"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols, *sums)], [*names, *COUNTS])
 
-    parts = words.mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "toxic", "plain"]))
-    return parts.groupBy("top").agg(*(F.min(n).alias(n) for n in names[1:]), F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
+    parts = words.mapInArrow(run, ", ".join(f"{n} long" for n in [*names, *COUNTS]))
+    return parts.groupBy("top").agg(*(F.min(n).alias(n) for n in names[1:]), *(F.sum(c).alias(c) for c in COUNTS))
 
 
 class Table:
@@ -138,11 +145,12 @@ class Table:
 
 
 class KneserNey:
-    """Both models, as tables by hash; ``ratios`` scores words."""
+    """Both models, as tables by hash, from expressions with counts toxic and plain; ``ratios`` scores words."""
 
-    def __init__(self, grams: DataFrame, bits: int = BITS, discount: float = 0.75):
-        self.d = discount
+    def __init__(self, grams: DataFrame, bits: int = BITS, discount: float = 0.75, backoff: float = BACKOFF):
+        self.d, self.b = discount, backoff
         t, p = F.col("toxic"), F.col("plain")
+        grams = grams.filter((t > 0) | (p > 0))
         self.top = Table(grams, "top", bits, F.sum(t), F.sum(p))
         self.ctx = Table(grams, "ctx", bits, F.sum(t), F.sum(p), F.count_if(t > 0), F.count_if(p > 0))
         fours = grams.groupBy("h4").agg(F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("c3", "h2", "c1")))
@@ -157,6 +165,7 @@ class KneserNey:
         self.__dict__.update(pickle.loads(zlib.decompress(state)))
 
     def ratios(self, words: list[str]) -> np.ndarray:
+        """log P_toxic(w) - log P_ordinary(w) of each word."""
         number, h = expressions(words)
         q = np.full(len(number), 1 / 256, dtype=np.float64)
         for seen, over, k in self.shared:
@@ -164,17 +173,13 @@ class KneserNey:
             count, total, kinds = seen.sums[0][seen.at(h[k])], over.sums[0][at], over.sums[1][at]
             n = np.maximum(total, 1e-9)
             q = np.where(total > 0, np.minimum(np.maximum(count - self.d, 0) / n + self.d * kinds / n * q, 1.0), q)
-        at, over = self.top.at(h[ORDER]), self.ctx.at(h[-(ORDER - 1)])
-        logs = []
-        for c in (0, 1):
-            total = self.ctx.sums[c][over]
-            n = np.maximum(total, 1e-9)
-            logs.append(np.log(np.where(total > 0, np.minimum(np.maximum(self.top.sums[c][at] - self.d, 0) / n + self.d * self.ctx.sums[2 + c][over] / n * q, 1.0), q)))
+        at, over = self.top.at(h[ORDER]), self.ctx.at(h[1 - ORDER])
+        logs = [np.log((np.maximum(self.top.sums[c][at] - self.d, 0) + (self.d * self.ctx.sums[2 + c][over] + self.b) * q) / (self.ctx.sums[c][over] + self.b)) for c in (0, 1)]
         return np.bincount(number, weights=logs[0] - logs[1], minlength=len(words))
 
 
-def statistics(docs: DataFrame, model: KneserNey, lean: float = LEAN) -> DataFrame:
-    """(doc_id, ratio): the length-normalised log-likelihood ratio of every whole text."""
+def statistics(docs: DataFrame, model: KneserNey, lean: float = LEAN, share: float = SHARE) -> DataFrame:
+    """(doc_id, ratio): the length-normalised log-likelihood ratio of every whole text, by 100 words."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,8 +189,8 @@ def statistics(docs: DataFrame, model: KneserNey, lean: float = LEAN) -> DataFra
             new = list({w for ws in texts for w in ws if w not in known})
             for at in range(0, len(new), 20_000):
                 part = new[at : at + 20_000]
-                known.update(zip(part, held.value.ratios(part).tolist(), strict=True))
-            ratios = [sum(map(known.__getitem__, ws)) / (len(ws) + lean) for ws in texts]
+                known.update(zip(part, np.log1p(share * np.expm1(np.minimum(held.value.ratios(part), 50.0))).tolist(), strict=True))
+            ratios = [100 * sum(map(known.__getitem__, ws)) / (len(ws) + lean) for ws in texts]
             if len(known) > 400_000:
                 known.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ratios, pa.float64())], ["doc_id", "ratio"])
@@ -198,38 +203,43 @@ def fold(column: str = "doc_id"):
 
 
 def _curve(found: list, base: float) -> tuple[float, float]:
-    """Slope and offset of a logistic curve through (bin, toxic, n) by Newton's method."""
-    x = np.array([r[0] for r in found], dtype=float) if found else np.zeros(1)
-    y = np.array([r[1] for r in found], dtype=float) if found else np.zeros(1)
-    n = np.array([r[2] for r in found], dtype=float) if found else np.zeros(1)
+    """Slope and offset of a logistic curve through (bin, toxic, n) by Newton's method; the slope is
+    LEAST_SLOPE at least, so that a higher ratio is never a lower score."""
+    x, y, n = (np.array([r[i] for r in found], dtype=float) for i in range(3)) if found else np.zeros((3, 0))
     base = min(max(base, 1e-3), 1 - 1e-3)
     b = np.array([np.log(base / (1 - base)), 1.0])
     if 0 < y.sum() < n.sum():
-        design = np.stack([np.ones_like(x), x], axis=1)
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(design @ b, -30, 30)))
-            grad = design.T @ (y - n * p) - np.array([0.0, 1e-3]) * b
-            hess = (design * (n * p * (1 - p))[:, None]).T @ design + np.diag([1e-6, 1e-3])
-            step = np.linalg.solve(hess, grad)
-            b = b + step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-9))
+        for free in (np.ones(2), np.array([1.0, 0.0])):  # the offset alone where the slope is held
+            design = np.stack([np.ones_like(x), x], axis=1)
+            for _ in range(60):
+                p = 1 / (1 + np.exp(-np.clip(design @ b, -30, 30)))
+                grad = (design.T @ (y - n * p) - np.array([0.0, 1e-3]) * b) * free
+                hess = (design * (n * p * (1 - p))[:, None]).T @ design * np.outer(free, free) + np.diag([1e-6, 1e-3 + 1 - free[1]])
+                step = np.linalg.solve(hess, grad)
+                b = b + step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
+            if b[1] >= LEAST_SLOPE:
+                break
+            b[1] = LEAST_SLOPE
     return float(b[1]), float(b[0])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, bits: int = BITS, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted, ratio) for every row of ``docs``.
 
-    Folds 0 and 1 of crc32(doc_id) mod 4 give the counts, fold 3 the curve; fold 2 is held out.
+    Of the folds of crc32(doc_id) mod 4, 2 is held out; see above for the others.
     """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    fit = known.filter(fold() < 2)
+    fit = known.filter(fold() != 2).withColumn("late", (fold() == 3).cast("int"))
     # the same plan at every size: both sides are shuffled
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(fit.hint("merge"), "doc_id")
     grams = stored(expression_counts(word_counts(train)), "toxicity-grams")
-    raw = stored(statistics(docs, KneserNey(grams, bits)), "toxicity-ratios")
+    late = statistics(train.filter("late = 1"), KneserNey(grams, bits)).join(fit, "doc_id")
     # at most 12,001 bins reach the driver
-    bins = raw.join(known.filter(fold() == 3), "doc_id").groupBy(F.round(F.least(F.greatest(F.col("ratio"), F.lit(-6.0)), F.lit(6.0)), 3).alias("x")).agg(F.sum("toxic"), F.count("*")).collect()
+    bins = late.groupBy(F.round(F.least(F.greatest(F.col("ratio"), F.lit(-6.0)), F.lit(6.0)), 3).alias("x")).agg(F.sum("toxic"), F.count("*")).collect()
     rate = fit.agg(F.avg("toxic")).first()[0]
     slope, offset = _curve(bins, rate if rate is not None else 0.0)
+    both = grams.withColumns({c: F.col(c) + F.col(f"{c}_late") for c in COUNTS[:2]})
+    raw = statistics(docs, KneserNey(both, bits))
     score = 1 / (1 + F.exp(-(F.lit(slope) * F.col("ratio") + F.lit(offset))))
     return raw.select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), "ratio")
 

@@ -331,6 +331,16 @@ def test_toxicity_edges_and_accuracy(spark):
     assert toxicity.score_toxicity(docs(spark), labels.limit(0), bits=14).count() == len(EDGES)
 
 
+def test_toxicity_on_held_out_rows(spark):
+    big = SMALL.replace("sf0.001", "sf0.1")
+    got = toxicity.op1_toxicity(spark, big).filter("held_out").join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").collect()
+    hit, told, there = (sum(f(r) for r in got) for f in (lambda r: r["predicted"] == r["toxic"] == 1, lambda r: r["predicted"], lambda r: r["toxic"]))
+    assert hit >= 0.85 * there and hit >= 0.9 * told
+    by = sorted(got, key=lambda r: r["score"])
+    ranks = [i for i, r in enumerate(by) if r["toxic"]]
+    assert (sum(ranks) - there * (there - 1) / 2) / (there * (len(by) - there)) >= 0.95
+
+
 def test_quality_against_labels(spark):
     big = SMALL.replace("sf0.001", "sf0.01")
     table = spark.read.parquet(f"{big}/documents.parquet")
