@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session has none (tests in local mode) a temporary folder is made and set.
+    Only where the session has none and runs on one machine (tests) a temporary folder is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="brackwater-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,14 +34,59 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/brackwater/{name}-{uuid.uuid4().hex}"
 
 
+_BLOCKS: list[list[str]] = []  # scratch tables of the blocks that are open
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: it cuts the lineage and
     outlives any executor."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _BLOCKS:
+        _BLOCKS[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes scratch tables, wherever the shared folder is."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def tidy(make: Callable[[], DataFrame], spark: SparkSession, name: str) -> DataFrame:
+    """What ``make`` returns, stored; the scratch tables that it made on the way are deleted."""
+    _BLOCKS.append([])
+    try:
+        path = scratch_path(spark, name)
+        df = make()
+        df.write.parquet(path)
+        schema = df.schema
+    finally:
+        discard(spark, *_BLOCKS.pop())
+    if _BLOCKS:
+        _BLOCKS[-1].append(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def fresh(df: DataFrame, name: str, *more: str) -> str:
+    """``name`` and as many underscores as no column of ``df`` has it, in any case."""
+    taken = {c.lower() for c in df.columns}
+    name = "_".join((name, *more)) + "_"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_row_key(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a key of each row that is the same whenever it is read: the hash of its file and its
+    place there, or, where ``df`` is no plain scan of files, a number stored with its rows."""
+    scan = df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    if scan and "_metadata" not in {c.lower() for c in df.columns}:
+        return df.withColumn(name, F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

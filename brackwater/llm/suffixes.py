@@ -26,7 +26,7 @@ text and differ; they would all go to the bucket of their anchor. So chunks tell
 have an anchor, and around one that is too frequent in all (``HOT``) they send every string of
 ``length`` bytes by itself, padded to a piece, to the bucket of the string's own hash.
 
-Defined results: a null text is an empty one; texts shorter than ``length`` lose nothing; rows
+Defined results: a null text is an empty one; a text of any length is one text of its chunk; texts shorter than ``length`` lose nothing; rows
 with equal doc_ids never take from each other; rows with a null doc_id come after all others;
 further columns are ignored; an empty table gives an empty result.
 """
@@ -41,11 +41,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brackwater.llm.common import partitions, table
+from brackwater.llm.common import fresh, partitions, table
 
 LENGTH = 50
 GRAM = 32
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 HOT = 2000  # occurrences of an anchor whose pieces are dealt by string
 PAD = 0xFF  # in no UTF-8 text
 LAST = (1 << 63) - 1
@@ -120,14 +120,22 @@ def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _short(key: np.ndarray) -> bytes:
-    """The lower six bytes of each key."""
-    return np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    """The lower four bytes of each key; the bucket tells more of it, the more buckets there are."""
+    return np.ascontiguousarray((key & np.uint64(0xFFFFFFFF)).astype("<u4")).tobytes()
 
 
-def _long(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def piece_hashes(rows: np.ndarray) -> np.ndarray:
+    """A hash of each row of bytes."""
+    n, width = rows.shape
+    wide = np.zeros((n, -(-width // 8) * 8), dtype=np.uint8)
+    wide[:, :width] = rows
+    h = np.zeros(n, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for column in wide.view("<u8").T:
+            h = (h ^ column) * np.uint64(_P)
+            h ^= h >> np.uint64(29)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
 
 
 # --- the column-wise construction
@@ -194,18 +202,21 @@ class Plan:
         unique, inverse = np.unique(key, return_inverse=True)
         return h, doc, texts, key, number, place, unique, inverse
 
-    def bounds(self, unique: np.ndarray) -> np.ndarray:
-        return np.searchsorted(bucket_of(unique, self.buckets), np.arange(self.buckets + 1))
+    def bounds(self, where: np.ndarray) -> tuple[list[int], np.ndarray]:
+        """The buckets that occur in ``where`` (sorted), and where each begins; the end at last."""
+        new = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(where) else np.zeros(0, np.int64)
+        return where[new].tolist(), np.r_[new, len(where)]
 
     def pieces(self, docs: pa.Table, bits: pa.Table):
         """The pieces around anchors that are elsewhere too: (h, doc, texts, occurrence's text,
         place and piece, pieces, their bucket), pieces by bucket and hash."""
         h, doc, texts, key, number, place, unique, inverse = self.keys(docs)
         alive, hot = np.zeros(len(unique), dtype=bool), np.zeros(len(unique), dtype=bool)
-        cut = self.bounds(unique)
+        some, cut = self.bounds(bucket_of(unique, self.buckets))
+        span = {b: slice(cut[i], cut[i + 1]) for i, b in enumerate(some)}
         for b, data in zip(bits["bucket"].to_pylist(), bits["data"].to_pylist(), strict=True):
-            both = np.frombuffer(data, dtype=np.uint8).reshape(2, -1)
-            alive[cut[b] : cut[b + 1]], hot[cut[b] : cut[b + 1]] = np.unpackbits(both, axis=1, count=cut[b + 1] - cut[b])
+            own = span[b]
+            alive[own], hot[own] = np.unpackbits(np.frombuffer(data, dtype=np.uint8).reshape(2, -1), axis=1, count=own.stop - own.start)
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         start = np.cumsum(sizes) - sizes
         buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -217,19 +228,14 @@ class Plan:
         of = np.searchsorted(start, begin, side="right") - 1 if len(begin) else begin
         whole = int(kept.sum())
         key, number, place = key[kept], np.r_[number[kept], of], np.r_[place[kept], begin - start[of] + self.left]
-        rows, name = np.empty((len(number), self.width), dtype=np.uint8), np.empty(len(number), dtype=np.uint64)
-        powers = np.array([pow(_P, i + 1, 1 << 64) for i in range(self.width)], dtype=np.uint64)
-        for a in range(0, len(number), 20_000):
-            s = slice(a, a + 20_000)
-            inside = place[s, None] - self.left + np.arange(self.width)
-            real = (inside >= 0) & (inside < sizes[number[s], None])
-            real &= (np.arange(a, a + len(real)) < whole)[:, None] | (np.arange(self.width) < self.length)
-            rows[s] = np.where(real, buf[np.where(real, inside + start[number[s], None], 0)], PAD)
-            with np.errstate(over="ignore"):
-                name[s] = (rows[s].astype(np.uint64) + np.uint64(1)) @ powers
-        with np.errstate(over="ignore"):
-            mixed = (name[whole:] ^ (name[whole:] >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        where = bucket_of(np.r_[key, mixed ^ (mixed >> np.uint64(29))], self.buckets)
+        # texts with pads between them: a piece that reaches over an end has pads there
+        apart = np.full(int(sizes.sum()) + self.width * (len(texts) + 1), PAD, dtype=np.uint8)
+        apart[np.arange(len(buf)) + np.repeat(self.width * np.arange(1, len(texts) + 1), sizes)] = buf
+        first = start[number] + self.width * (number + 1) + place - self.left
+        rows = np.lib.stride_tricks.sliding_window_view(apart, self.width)[first]
+        rows[whole:, self.length :] = PAD
+        name = piece_hashes(rows)
+        where = bucket_of(np.r_[key, name[whole:]], self.buckets)
         order = np.lexsort((name, where))
         new = np.ones(len(order), dtype=bool)
         new[1:] = (name[order][1:] != name[order][:-1]) | (where[order][1:] != where[order][:-1])
@@ -250,13 +256,13 @@ class Plan:
             np.maximum.at(high, inverse, number)
             digits = np.ceil(np.log2(np.bincount(inverse, minlength=len(unique)) + 1)).astype(np.uint8)
             many = digits | np.where(low < high, 128, 0).astype(np.uint8)
-        cut = self.bounds(unique)
-        some = [b for b in range(self.buckets) if cut[b] < cut[b + 1]]
+        some, cut = self.bounds(bucket_of(unique, self.buckets))
+        spans = [slice(a, z) for a, z in zip(cut[:-1], cut[1:], strict=True)]
         chunk = docs["chunk"][0].as_py()
-        return pa.table({"bucket": pa.array(some, pa.int32()), "chunk": pa.array([chunk] * len(some), pa.int32()), "data": pa.array([_short(unique[cut[b] : cut[b + 1]]) for b in some], pa.binary()), "many": pa.array([many[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary())})
+        return pa.table({"bucket": pa.array(some, pa.int32()), "chunk": pa.array([chunk] * len(some), pa.int32()), "data": pa.array([_short(unique[x]) for x in spans], pa.binary()), "many": pa.array([many[x].tobytes() for x in spans], pa.binary())})
 
     def answer_keys(self, sent: pa.Table) -> pa.Table:
-        keys = [_long(d) for d in sent["data"].to_pylist()]
+        keys = [np.frombuffer(d, dtype="<u4") for d in sent["data"].to_pylist()]
         many = np.concatenate([np.frombuffer(m, dtype=np.uint8) for m in sent["many"].to_pylist()])
         inverse, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)[1:]
         alive = (count[inverse] > 1) | (many >= 128)
@@ -271,12 +277,10 @@ class Plan:
             low, high = np.full(len(rows), LAST, dtype=np.int64), np.full(len(rows), -LAST, dtype=np.int64)
             np.minimum.at(low, piece, doc[number])
             np.maximum.at(high, piece, doc[number])
-            cut = np.searchsorted(where, np.arange(self.buckets + 1))
-            for b in range(self.buckets):
-                s = slice(cut[b], cut[b + 1])
-                if cut[b] < cut[b + 1]:
-                    for c, x in zip(cols, (b, rows[s].tobytes(), low[s].tobytes(), high[s].tobytes()), strict=True):
-                        cols[c].append(x)
+            some, cut = self.bounds(where)
+            for b, a, z in zip(some, cut[:-1], cut[1:], strict=True):
+                for c, x in zip(cols, (b, rows[a:z].tobytes(), low[a:z].tobytes(), high[a:z].tobytes()), strict=True):
+                    cols[c].append(x)
         chunk = docs["chunk"][0].as_py() if docs.num_rows else 0
         return pa.table({"bucket": pa.array(cols["bucket"], pa.int32()), "chunk": pa.array([chunk] * len(cols["bucket"]), pa.int32()), **{c: pa.array(cols[c], pa.binary()) for c in ("data", "low", "high")}})
 
@@ -285,8 +289,7 @@ class Plan:
         blocks = [np.frombuffer(d, dtype=np.uint8).reshape(-1, self.width) for d in sent["data"].to_pylist()]
         rows = np.concatenate(blocks)
         low, high = (np.concatenate([np.frombuffer(x, dtype=np.int64) for x in sent[c].to_pylist()]) for c in ("low", "high"))
-        with np.errstate(over="ignore"):
-            name = np.concatenate([b.astype(np.uint64) @ np.array([pow(_P, i + 1, 1 << 64) for i in range(self.width)], dtype=np.uint64) for b in blocks])
+        name = piece_hashes(rows)
         first, inverse = np.unique(name, return_index=True, return_inverse=True)[1:]
         owner = np.full(len(first), LAST, dtype=np.int64)
         np.minimum.at(owner, inverse, low)
@@ -304,9 +307,9 @@ class Plan:
             out.append(np.concatenate([idx.astype("<i4").view(np.uint8), begin.astype(np.uint8), np.nonzero(last)[1].astype(np.uint8), mine[new].astype("<i8").view(np.uint8)]).tobytes())
         return pa.table({"chunk": sent["chunk"], "bucket": sent["bucket"], "kind": pa.array([1] * len(blocks), pa.int32()), "data": pa.array(out, pa.binary())})
 
-    def cover(self, docs: pa.Table, answers: pa.Table, keep_text: bool) -> pa.Table:
-        names = ["h", "n_removed", "n_spans", "kept_sha256", "kept"]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    def cover(self, docs: pa.Table, answers: pa.Table) -> pa.Table:
+        names = ["h", "n_removed", "kept_sha256", "spans"]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.list_(pa.int32())]
         if not docs.num_rows:
             return pa.table({n: pa.array([], k) for n, k in zip(names, kinds, strict=True)})
         kind = answers["kind"].to_numpy()
@@ -317,7 +320,7 @@ class Plan:
         change = np.zeros(int(sizes.sum()) + 1, dtype=np.int32)
         by = np.argsort(piece, kind="stable")
         first = np.searchsorted(piece[by], np.arange(len(rows) + 1))
-        cut = np.searchsorted(where, np.arange(self.buckets + 1))
+        cut = dict(zip(*(x if isinstance(x, list) else x.tolist() for x in self.bounds(where)), strict=False))
         for b, data in zip(runs["bucket"].to_pylist(), runs["data"].to_pylist(), strict=True):
             n = len(data) // 14
             raw = np.frombuffer(data, dtype=np.uint8)
@@ -333,13 +336,13 @@ class Plan:
             np.add.at(change, base + end[run] + self.length, -1)
         gone = np.cumsum(change[:-1]) > 0
         buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], []]
         for i, name in enumerate(h):
             own = gone[start[i] : start[i] + sizes[i]]
             n = int(own.sum())
-            kept = buf[start[i] : start[i] + sizes[i]][~own].tobytes() if n else texts[i]
-            spans = int(own[0]) + int((own[1:] & ~own[:-1]).sum()) if n else 0
-            for c, x in zip(out, (name, n, spans, hashlib.sha256(kept).hexdigest() if n else name, kept if keep_text else None), strict=True):
+            spans = np.flatnonzero(np.diff(np.r_[False, own, False])) if n else np.zeros(0, np.int64)  # first, end, first, end ...
+            sha = hashlib.sha256(buf[start[i] : start[i] + sizes[i]][~own].tobytes()).hexdigest() if n else name
+            for c, x in zip(out, (name, n, sha, spans.astype(np.int32)), strict=True):
                 c.append(x)
         return pa.table({n: pa.array(c, k) for n, c, k in zip(names, out, kinds, strict=True)})
 
@@ -363,30 +366,41 @@ def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*less.columns[:3], pa.nulls(less.num_rows, less.schema.field(3).type)], schema=less.schema)
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, k: int = GRAM, keep_text: bool = False, hot: int = HOT) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with n_bytes, n_removed, n_spans, kept_sha256 and, if asked for,
-    the remaining bytes (kept)."""
-    base = docs.withColumn("text_", F.coalesce("text", F.lit("")).cast("binary"))
-    base = base.withColumn("h", F.sha2("text_", 256)).withColumn("doc_", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("n_bytes", F.length("text_").cast("long"))
+def deduplicate(docs: DataFrame, length: int = LENGTH, k: int = GRAM, hot: int = HOT) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with n_bytes, n_removed, n_spans, kept_sha256 and spans (first byte and
+    end of each removed run, in turn); columns of these names are replaced."""
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+    h, doc, body, first = (fresh(docs, x) for x in ("h", "doc", "body", "first"))
+    base = docs.withColumn(body, F.coalesce("text", F.lit("")).cast("binary"))
+    base = base.withColumns({h: F.sha2(body, 256), doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "n_bytes": F.length(body).cast("long")})
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(partitions(docs), -(-int(total) // CHUNK_BYTES))
     plan = Plan(chunks, length, k, hot)
-    chunk = F.pmod(F.xxhash64("h"), F.lit(chunks)).cast("int").alias("chunk")
-    texts = base.select(chunk, "h", F.col("doc_").alias("doc"), F.col("text_").alias("text")).mapInArrow(once, "chunk int, h string, doc long, text binary")
+    chunk = F.pmod(F.xxhash64(h), F.lit(chunks)).cast("int").alias("chunk")
+    texts = base.select(chunk, F.col(h).alias("h"), F.col(doc).alias("doc"), F.col(body).alias("text")).mapInArrow(once, "chunk int, h string, doc long, text binary")
     by_chunk = texts.groupBy("chunk")
     keys = by_chunk.applyInArrow(lambda t: plan.send_keys(t), "bucket int, chunk int, data binary, many binary")
     bits = keys.groupBy("bucket").applyInArrow(lambda t: plan.answer_keys(t), "chunk int, bucket int, kind int, data binary")
     pieces = by_chunk.cogroup(bits.groupBy("chunk")).applyInArrow(lambda a, b: plan.send_pieces(a, b), "bucket int, chunk int, data binary, low binary, high binary")
     runs = pieces.groupBy("bucket").applyInArrow(lambda t: plan.answer_pieces(t), "chunk int, bucket int, kind int, data binary")
     answers = bits.unionByName(runs)
-    covered = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(lambda a, b: plan.cover(a, b, keep_text), "h string, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    firsts = base.groupBy("h").agg(F.min("doc_").alias("first"))
-    found = covered.join(firsts, "h")
-    own = base.drop("text_").join(found, "h")
-    copy = (F.col("doc_") > F.col("first")) & (F.col("n_bytes") >= length)
+    covered = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(lambda a, b: plan.cover(a, b), "h string, n_removed long, kept_sha256 string, spans array<int>")
+    firsts = base.groupBy(F.col(h).alias("h")).agg(F.min(doc).alias(first))
+    found = covered.join(firsts, "h").withColumnRenamed("h", fresh(docs, "h", "found"))
+    out = base.drop(body).join(found, F.col(h) == F.col(found.columns[0]))
+    copy = (F.col(doc) > F.col(first)) & (F.col("n_bytes") >= length)
     none = hashlib.sha256(b"").hexdigest()
-    out = own.withColumns({"n_removed": F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")), "n_spans": F.when(copy, F.lit(1)).otherwise(F.col("n_spans")), "kept_sha256": F.when(copy, F.lit(none)).otherwise(F.col("kept_sha256")), "kept": F.when(copy, F.lit(b"")).otherwise(F.col("kept"))})
-    return out.drop("h", "doc_", "first") if keep_text else out.drop("h", "doc_", "first", "kept")
+    out = out.withColumns({"n_removed": F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")), "kept_sha256": F.when(copy, F.lit(none)).otherwise(F.col("kept_sha256")), "spans": F.when(copy, F.array(F.lit(0), F.col("n_bytes").cast("int"))).otherwise(F.col("spans"))})
+    return out.withColumn("n_spans", F.expr("cast(size(spans) div 2 as long)")).select(*docs.columns, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+
+
+def without_spans(text, spans):
+    """What is left of ``text`` (a string column) without the bytes of ``spans``; a character that a cut splits
+    becomes a replacement character."""
+    body = F.coalesce(text, F.lit("")).cast("binary")
+    ends = F.concat(F.array(F.lit(0)), spans, F.array(F.length(body)))
+    part = lambda i: F.substring(body, F.get(ends, 2 * i) + 1, F.get(ends, 2 * i + 1) - F.get(ends, 2 * i)).cast("string")
+    return F.make_valid_utf8(F.array_join(F.transform(F.sequence(F.lit(0), (F.size(spans) / 2).cast("int")), part), ""))
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
