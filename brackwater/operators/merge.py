@@ -20,8 +20,11 @@ def latest_per_key(df: DataFrame, keys, *order: Column) -> DataFrame:
 def merge_upsert(target: DataFrame, source: DataFrame, keys, version: str | None = None) -> DataFrame:
     """Rows of the source replace rows of the target with their key, others stay or are added.
 
-    With a version column, a source row older than the target's row is left out.
+    With a version column, a source row older than the target's row is left out. Of source rows with
+    one key the newest version is taken, and of equal ones the greatest by all other columns.
     """
+    rest = [F.desc(c) for c, kind in source.dtypes if c not in keys and c != version and not kind.startswith(("map", "struct", "array", "variant"))]
+    source = latest_per_key(source, keys, *([F.desc(version)] if version else []), *(rest or [F.asc(k) for k in keys]))
     if version:
         held = target.select(*keys, F.col(version).alias("held_"))
         source = source.join(held, list(keys), "left").filter(F.col("held_").isNull() | (F.col(version) >= F.col("held_"))).drop("held_")
@@ -47,6 +50,12 @@ def scd2_merge(dim: DataFrame, incoming: DataFrame, key: str, tracked, valid_tim
     return kept.select(new.columns).unionByName(new)
 
 
+def with_valid_time(incoming: DataFrame, run_time: Column, *candidates: str) -> DataFrame:
+    """``incoming`` with valid_at: the first of the candidate columns that it has and that isn't null, else
+    the time of the run."""
+    return incoming.withColumn("valid_at", F.coalesce(*(F.col(c) for c in candidates if c in incoming.columns), run_time))
+
+
 def scd2_start(incoming: DataFrame, key: str, tracked, valid_time: str) -> DataFrame:
     """A dimension of first versions."""
     at = F.col(valid_time)

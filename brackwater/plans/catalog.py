@@ -628,6 +628,73 @@ def rt_status_counts(spark, d):
     return streams.status_counts(conform.payloads(_log(spark, d), "orders", conform.ORDER_PAYLOAD).filter("op = 'insert'"))
 
 
+def _inserts_stream(spark, d, root: str) -> DataFrame:
+    """The log's inserts in three files by time, every tenth twice, as a stream of a file a batch."""
+    rows = conform.payloads(_log(spark, d), "orders", conform.ORDER_PAYLOAD).filter("op = 'insert'").select("order_id", "status", F.to_timestamp("order_date").alias("ts"))
+    rows = rows.unionByName(rows.filter("order_id % 10 = 0"))
+    cuts = rows.agg(F.percentile_approx("ts", [0.33, 0.67])).first()[0] or [None, None]
+    low, high = (F.lit(c) for c in cuts)
+    for part in (F.col("ts") < low, (F.col("ts") >= low) & (F.col("ts") < high), F.col("ts") >= high):
+        rows.filter(part).write.mode("append").parquet(f"{root}/in")
+    return streams.deduplicated(streams.file_stream(spark, f"{root}/in", rows.schema, files=1), key="order_id")
+
+
+@register("SELECT date_trunc('minute', created_at) AS minute, count(*) AS orders FROM m_base GROUP BY 1")
+def stream_orders_per_minute(spark, d):
+    """Inserts of the log by minute, from the partial counts of several batches."""
+    root = sinks.scratch(spark, "minutes")
+    parts = streams.run_partials(_inserts_stream(spark, d, root), lambda b: streams.per_minute(b, "ts"), f"{root}/parts", f"{root}/check")
+    return streams.merged(parts, ["minute"]).withColumn("minute", F.col("minute").cast("timestamp_ntz"))
+
+
+@register("SELECT date_trunc('minute', created_at) AS minute, count(*) * 55.5::DOUBLE AS estimated_revenue FROM m_base GROUP BY 1")
+def stream_revenue_estimate(spark, d):
+    return streams.revenue_estimate(stream_orders_per_minute(spark, d))
+
+
+@register("SELECT status, count(*) AS orders FROM m_base GROUP BY 1")
+def stream_status_counts(spark, d):
+    root = sinks.scratch(spark, "statuses")
+    parts = streams.run_partials(_inserts_stream(spark, d, root), streams.status_counts, f"{root}/parts", f"{root}/check")
+    return streams.merged(parts, ["status"])
+
+
+@register("SELECT order_id, arg_max(status, updated_at) AS status, max(updated_at) AS captured_at FROM m_log GROUP BY 1")
+def stream_orders_current(spark, d):
+    """The latest row of each order from all of the log, with late and older changes among the batches;
+    run twice over one checkpoint, the second time with nothing new."""
+    root = sinks.scratch(spark, "current")
+    log = model.change_log(spark, d).select("order_id", "status", F.col("updated_at").alias("captured_at"))
+    for part in (2, 0, 1):
+        log.filter(F.col("order_id") % 3 == part).orderBy(F.desc("captured_at")).write.mode("append").parquet(f"{root}/in")
+    for _ in range(2):
+        out = streams.run_upserts(streams.file_stream(spark, f"{root}/in", log.schema, files=2), f"{root}/out", f"{root}/check", ["order_id"], "append", "captured_at")
+    return out
+
+
+@register("SELECT event_id FROM m_clicks WHERE event_id % 3 <> 0 OR ts > (SELECT max(ts) - INTERVAL 10 MINUTE FROM m_clicks WHERE event_id % 3 <> 0)")
+def stream_late_events(spark, d):
+    """Late data: a second file brings every third event once more than the watermark has passed, and is
+    dropped but for what lies within it; a third brings nothing that is new."""
+    root = sinks.scratch(spark, "late")
+    clicks = model.clickstream(spark, d).select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    for part in ("event_id % 3 <> 0", "event_id % 3 = 0", "event_id % 3 = 1"):
+        clicks.filter(part).write.mode("append").parquet(f"{root}/in")
+        streams.run_to_table(streams.deduplicated(streams.file_stream(spark, f"{root}/in", clicks.schema)), f"{root}/out", f"{root}/check")
+    return spark.read.schema("event_id long").parquet(f"{root}/out").distinct()
+
+
+@register("SELECT customer_id, CASE customer_id % 3 WHEN 0 THEN TIMESTAMP '1998-01-01' WHEN 1 THEN TIMESTAMP '1999-01-01' ELSE TIMESTAMP '2000-01-01' END AS valid_from FROM m_customers WHERE customer_id % 7 = 0 AND segment <> 'VIP'")
+def scd2_valid_time(spark, d):
+    """Versions that open at the change's own time, else at its capture, else at the run."""
+    first = merge.scd2_start(model.customers(spark, d), "customer_id", TRACKED, "updated_at")
+    third = F.col("customer_id") % 3
+    changed = model.changed_customers(spark, d).withColumn("captured_at", F.when(third != 2, F.lit("1999-01-01").cast("timestamp_ntz"))).withColumn("updated_at", F.when(third == 0, F.col("updated_at")))
+    timed = merge.with_valid_time(changed, F.lit("2000-01-01").cast("timestamp_ntz"), "updated_at", "captured_at")
+    dim = merge.scd2_merge(first, timed, "customer_id", TRACKED, "valid_at")
+    return dim.filter("is_current and valid_from > timestamp_ntz'1990-01-01'").select("customer_id", "valid_from")
+
+
 @register("SELECT event_id, ts FROM m_clicks WHERE ts >= (SELECT max(ts) - INTERVAL 7 DAY FROM m_clicks)")
 def retention(spark, d):
     clicks = model.clickstream(spark, d).select("event_id", "ts")

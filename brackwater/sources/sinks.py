@@ -18,8 +18,12 @@ def layer_table(layer: str, name: str) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; a temporary one where it has none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    """A new path in the folder that the cluster shares; a temporary one only on one machine that has none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp()
     return f"{root.rstrip('/')}/lakehouse/{name}-{uuid.uuid4().hex}"
 
 
@@ -36,17 +40,40 @@ def overwrite_partitions(df: DataFrame, path: str, *columns: str) -> None:
 
 
 def replace_snapshot(df: DataFrame, path: str) -> bool:
-    """Replaces the snapshot; an empty source leaves the old one."""
-    if df.isEmpty():
-        return False
-    df.write.mode("overwrite").parquet(path)
-    return True
+    """Replaces the snapshot; an empty source leaves the old one.
+
+    The source is evaluated once, beside the snapshot. Only a whole new one is moved into its place, so a
+    write that fails leaves the old one there.
+    """
+    spark = df.sparkSession
+    hadoop, new, old = spark._jvm.org.apache.hadoop.fs, f"{path}__new-{uuid.uuid4().hex}", f"{path}__old-{uuid.uuid4().hex}"
+    files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        df.write.parquet(new)
+        if spark.read.schema(df.schema).parquet(new).isEmpty():
+            return False
+        held = files.exists(hadoop.Path(path))
+        if held and not files.rename(hadoop.Path(path), hadoop.Path(old)):
+            raise OSError(f"{path} can't be moved")
+        if not files.rename(hadoop.Path(new), hadoop.Path(path)):
+            if held:
+                files.rename(hadoop.Path(old), hadoop.Path(path))
+            raise OSError(f"{new} can't be moved")
+        files.delete(hadoop.Path(old), True)
+        return True
+    finally:
+        files.delete(hadoop.Path(new), True)
 
 
 def swap_view(df: DataFrame, root: str, view: str) -> str:
     """Writes a new version beside the live one, and only then points the view at it."""
     spark, path = df.sparkSession, f"{root}/version-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    try:
+        df.write.parquet(path)
+    except Exception:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        raise
     spark.read.parquet(path).createOrReplaceTempView(view)
     return path
 

@@ -95,23 +95,50 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     query.awaitTermination()
 
 
-def run_upserts(stream: DataFrame, store: str, checkpoint: str, keys, mode: str = "update") -> DataFrame:
-    """Each batch is merged by key into a new version below ``store``; the last batch wins.
+def versions(spark: SparkSession, store: str) -> list[int]:
+    """The whole versions below ``store``, oldest first."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(store)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(hadoop.Path(f"{store}/version=*/_SUCCESS")) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
 
-    A batch that runs again writes its version again, so delivery at least once does no harm.
+
+def run_upserts(stream: DataFrame, store: str, checkpoint: str, keys, mode: str = "update", version: str | None = None) -> DataFrame:
+    """Each batch is merged by key into a new version below ``store``; the newest version is the result,
+    also where a run finds no new data.
+
+    A batch that runs again writes its version again, so delivery at least once does no harm. The
+    version before the last is kept for that; older ones are deleted.
     """
     from brackwater.operators.merge import merge_upsert
 
     spark, schema = stream.sparkSession, stream.schema
-    done: list[str] = []
 
     def merge(batch: DataFrame, number: int) -> None:
         own = batch.sparkSession
-        path = f"{store}/version={number}"
-        held = own.read.schema(schema).parquet(f"{store}/version={number - 1}") if number else own.createDataFrame([], schema)
-        merge_upsert(held, batch, keys).write.mode("overwrite").parquet(path)
-        done.append(path)
+        there = [v for v in versions(own, store) if v < number]
+        held = own.read.schema(schema).parquet(f"{store}/version={there[-1]}") if there else own.createDataFrame([], schema)
+        merge_upsert(held, batch, keys, version).write.mode("overwrite").parquet(f"{store}/version={number}")
+        for old in there[:-1]:
+            at = own._jvm.org.apache.hadoop.fs.Path(f"{store}/version={old}")
+            at.getFileSystem(own._jsc.hadoopConfiguration()).delete(at, True)
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(done[-1]) if done else spark.createDataFrame([], schema)
+    there = versions(spark, store)
+    return spark.read.schema(schema).parquet(f"{store}/version={there[-1]}") if there else spark.createDataFrame([], schema)
+
+
+def run_partials(stream: DataFrame, partial, store: str, checkpoint: str) -> DataFrame:
+    """The partial counts of every batch, each below ``store`` under its batch's number: a batch that runs
+    again replaces its own. ``merged`` sums them."""
+
+    def count(batch: DataFrame, number: int) -> None:
+        partial(batch).write.mode("overwrite").parquet(f"{store}/batch={number}")
+
+    query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(count).start()
+    query.awaitTermination()
+    spark = stream.sparkSession
+    schema = partial(spark.createDataFrame([], stream.schema)).schema
+    return spark.read.schema(schema).parquet(f"{store}/batch=*")
