@@ -13,6 +13,8 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_quality": quality.op10_quality,
     "op8_simhash": simhash.op8_simhash,
+    "rules_policies": rules.rules_policies,
+    "rules_ablations": rules.rules_ablations,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_warc": warc.OP5_SQL, "op6_decontaminate": decontaminate.OP6_SQL, "op7_quality_rules": rules.OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_warc": warc.OP5_SQL, "op6_decontaminate": decontaminate.OP6_SQL, "op7_quality_rules": rules.OP7_SQL, "rules_policies": rules.POLICIES_SQL, "rules_ablations": rules.ABLATIONS_SQL}

@@ -13,10 +13,12 @@ an empty ledger.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brackwater.llm.common import table
+from brackwater.llm.common import stored, table
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -131,13 +133,30 @@ def ablations(entries: DataFrame, version: int) -> DataFrame:
     )
 
 
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger as a table in the shared folder: policies and ablations read it, and never a text."""
+    return stored(ledger(docs), "rules-ledger")
+
+
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
-    entries = apply_policy(ledger(table(spark, sf_dir, "documents")), version=2)
+    entries = apply_policy(stored_ledger(table(spark, sf_dir, "documents")), version=2)
     failed = F.col("failure_bits").bitwiseAND(F.lit(mask(1))) != 0
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "failure_bits", "policy")
 
 
-OP7_SQL = r"""
+def rules_policies(spark, sf_dir: str) -> DataFrame:
+    """Every document's verdict by each version of the policy, from one ledger."""
+    entries = stored_ledger(table(spark, sf_dir, "documents"))
+    return reduce(DataFrame.unionByName, [apply_policy(entries, v) for v in POLICIES]).select("doc_id", "policy", "kept")
+
+
+def rules_ablations(spark, sf_dir: str) -> DataFrame:
+    """What each version of the policy keeps, with and without each of its rules, from one ledger."""
+    entries = stored_ledger(table(spark, sf_dir, "documents"))
+    return reduce(DataFrame.unionByName, [ablations(entries, v).withColumn("policy", F.lit(v)) for v in POLICIES])
+
+
+_LEDGER_SQL = r"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
              list_filter(string_split(text, chr(10)), lambda x: length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) > 0) AS lines FROM t),
@@ -155,6 +174,13 @@ b AS (SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
       + CASE WHEN 5 * n_symbols > 2 * n_words THEN 4 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 4 * n_lines THEN 8 ELSE 0 END
       + CASE WHEN 10 * n_upper > 5 * word_chars THEN 16 ELSE 0 END + CASE WHEN 2 * n_marks > n_words THEN 32 ELSE 0 END
       + CASE WHEN 2 * word_chars < 5 * n_words OR word_chars > 20 * n_words THEN 64 ELSE 0 END)::INTEGER AS failure_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failure_bits & 3 <> 0 AS base_failed,
+"""
+OP7_SQL = f"""{_LEDGER_SQL}SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failure_bits & 3 <> 0 AS base_failed,
        failure_bits = 0 AS kept, failure_bits, 2::INTEGER AS policy FROM b
 """
+POLICIES_SQL = f"""{_LEDGER_SQL}SELECT doc_id, 1::INTEGER AS policy, failure_bits & 3 = 0 AS kept FROM b UNION ALL SELECT doc_id, 2::INTEGER, failure_bits = 0 FROM b"""
+ABLATIONS_SQL = f"""{_LEDGER_SQL}
+SELECT rule, policy::INTEGER AS policy, count(*) FILTER (failure_bits & bit <> 0)::BIGINT AS n_failed, count(*) FILTER (failure_bits & all_bits = 0)::BIGINT AS n_kept,
+       count(*) FILTER (failure_bits & (all_bits - bit) = 0)::BIGINT AS n_kept_without
+FROM b CROSS JOIN (VALUES ('few_words', 1, 1, 3), ('repeated_words', 2, 1, 3), ('few_words', 1, 2, 127), ('repeated_words', 2, 2, 127), ('symbols', 4, 2, 127), ('duplicate_lines', 8, 2, 127),
+  ('shouting', 16, 2, 127), ('exclamations', 32, 2, 127), ('word_length', 64, 2, 127)) r(rule, bit, policy, all_bits) GROUP BY 1, 2"""
