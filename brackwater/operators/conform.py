@@ -38,3 +38,13 @@ def latest_orders(log: DataFrame) -> DataFrame:
 def latest_customers(log: DataFrame) -> DataFrame:
     rows = payloads(log, "customers", CUSTOMER_PAYLOAD).withColumn("updated_at", F.try_to_timestamp("updated_at").cast("timestamp_ntz"))
     return latest_per_key(rows.filter("customer_id is not null"), ["customer_id"], F.desc("captured_at"), F.asc("segment")).drop("op")
+
+
+def distinct_events(df: DataFrame) -> DataFrame:
+    """Known events, each once however often it came: the earliest, and of equal times the least session."""
+    return latest_per_key(df.filter(F.col("event_type").isin(list(EVENT_TYPES))), ["event_id"], F.asc_nulls_last("ts"), F.asc("session_id"))
+
+
+def latest_campaigns(df: DataFrame) -> DataFrame:
+    """The row of each campaign that was ingested last; equal times are settled by the larger spend."""
+    return latest_per_key(df.filter("campaign_id is not null"), ["campaign_id"], F.desc_nulls_last("ingested_at"), F.desc("spend"))

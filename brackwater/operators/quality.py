@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 REASON = "_quarantine_reason"
 
-#: Rules by dataset: required columns, and inclusive bounds.
+#: Rules by dataset: required columns, and inclusive bounds. Fixed values.
 RULES: dict[str, tuple[tuple[str, ...], dict[str, tuple[float | None, float | None]]]] = {
     "campaigns": (("campaign_id", "name", "start_date", "end_date"), {"budget": (0, None), "spend": (0, None), "clicks": (0, None), "conversions": (0, None)}),
     "customers": (("customer_id",), {}),
@@ -21,7 +21,21 @@ RULES: dict[str, tuple[tuple[str, ...], dict[str, tuple[float | None, float | No
     "products": (("product_id", "sku"), {"unit_price": (0, None)}),
     "clickstream": (("session_id", "event_type", "ts"), {}),
     "fact_order_items": (("order_id", "customer_id", "product_id"), {"unit_price": (0, None), "quantity": (1, None)}),
+    "bronze.order_items": (("order_item_id", "order_id", "ingested_at"), {"quantity": (1, None), "unit_price": (0, None)}),
+    "bronze.products": (("product_id", "sku", "ingested_at"), {"unit_price": (0, None)}),
+    "silver.order_items": (("order_item_id", "order_id"), {"quantity": (1, None), "unit_price": (0, None)}),
 }
+NONE = ((), {})
+#: Layers whose tables share the rules of their plain name; all other tables pass whole.
+SHARED = {"bronze": ("campaigns",), "silver": ("clickstream", "customers", "orders", "products", "reviews"), "gold": ("fact_order_items",)}
+
+
+def rules_of(dataset: str) -> tuple[tuple[str, ...], dict[str, tuple[float | None, float | None]]]:
+    """The rules of ``layer.table`` or of a plain table name; a table that has none passes whole."""
+    if dataset in RULES:
+        return RULES[dataset]
+    layer, _, name = dataset.partition(".")
+    return RULES[name] if name in SHARED.get(layer, ()) else NONE
 
 
 def _any(tests: list[Column]) -> Column:
@@ -45,7 +59,7 @@ def fails_range(bounds, null_fails: bool = False) -> Column:
 
 def tagged(df: DataFrame, dataset: str, null_fails: bool = False) -> DataFrame:
     """``df`` with the reason of its quarantine: null for a row that passes."""
-    required, bounds = RULES[dataset]
+    required, bounds = rules_of(dataset)
     missing = {*required, *bounds} - set(df.columns)
     if missing:
         raise ValueError(f"{dataset} lacks the columns of its rules: {sorted(missing)}")
@@ -84,6 +98,11 @@ def quarantine_summary(quarantined: dict[str, tuple[DataFrame, Column]]) -> Data
     return rows.groupBy("batch_date", "table_name", "failure_reason").agg(F.count("*").alias("row_count"))
 
 
+def held_rows(quarantined: dict[str, tuple[DataFrame, str, Column]]) -> DataFrame:
+    """(table_name, row_key, batch_date, failure_reason) of quarantined rows; each table has its key and its own date."""
+    return reduce(DataFrame.unionAll, [d.select(F.lit(n).alias("table_name"), F.col(key).cast("string").alias("row_key"), F.to_date(date).alias("batch_date"), F.col(REASON).alias("failure_reason")) for n, (d, key, date) in quarantined.items()])
+
+
 WIDENS = {("int", "bigint"), ("float", "double")}
 
 
@@ -110,3 +129,17 @@ def contract_violations(df: DataFrame, required, keys) -> DataFrame:
     stacked = nulls.select(F.inline(F.array(*(F.struct(F.lit(f"null:{c}").alias("rule"), F.col(c).alias("violations")) for c in required))))
     again = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("violations"))
     return stacked.unionByName(again.select(F.lit("duplicate:" + ",".join(keys)).alias("rule"), "violations"))
+
+
+def contract_report(checks: dict[str, tuple[DataFrame, T.StructType, str]]) -> DataFrame:
+    """(dataset, violation, row_count): what each frame's schema has against its contract, with the rows that it
+    concerns, and rows without a key or with one that came before. A dataset that keeps its contract has no row."""
+
+    def rows(name: str, df: DataFrame, contract: T.StructType, key: str) -> DataFrame:
+        wrong = [F.struct(F.lit(v).alias("violation"), F.col("n").alias("row_count")) for v in schema_violations(df.schema, contract)]
+        wrong.append(F.struct(F.lit(f"null:{key}").alias("violation"), F.col("nulls").alias("row_count")))
+        wrong.append(F.struct(F.lit(f"duplicate:{key}").alias("violation"), (F.col("n") - F.col("nulls") - F.col("keys")).alias("row_count")))
+        counts = df.groupBy(key).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col(key).isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count(key).alias("keys"))
+        return counts.select(F.lit(name).alias("dataset"), F.inline(F.array(*wrong)))
+
+    return reduce(DataFrame.unionAll, [rows(n, *check) for n, check in checks.items()]).filter("row_count > 0")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brackwater.functions import contracts
 from brackwater.functions.keys import composite_key, surrogate_key
 from brackwater.operators import conform, ingest, marts, merge, quality, star
 from brackwater.sources import model, readers, sinks
@@ -285,6 +286,67 @@ def contract_violations(spark, d):
     return quality.contract_violations(model.noisy_items(spark, d), ["order_item_id", "product_id"], ["order_id"])
 
 
+HELD_KEYS = {"fact_order_items": ("order_item_id", "order_date"), "orders": ("order_id", "captured_at"), "campaigns": ("campaign_id", "start_date"), "reviews": ("review_id", "submitted_at"), "customers": ("customer_id", "captured_at"), "products": ("product_id", "updated_at"), "clickstream": ("event_id", "ts")}
+
+HELD_SQL = f"""held AS (SELECT order_date::DATE AS batch_date, 'fact_order_items' AS table_name, {REASON_SQL} AS failure_reason FROM m_noisy JOIN m_orders USING (order_id)
+ UNION ALL SELECT order_date::DATE, 'orders', 'null_check_failed' FROM m_orders WHERE order_id % 79 = 0
+ UNION ALL SELECT start_date, 'campaigns', 'range_check_failed' FROM m_campaigns WHERE campaign_id % 11 = 0
+ UNION ALL SELECT submitted_at::DATE, 'reviews', 'range_check_failed' FROM m_reviews WHERE review_id % 13 = 0
+ UNION ALL SELECT DATE '1990-01-01', 'customers', 'null_check_failed' FROM m_customers WHERE customer_id % 17 = 0
+ UNION ALL SELECT DATE '1995-01-01' + (product_id % 100)::INTEGER, 'products', concat_ws(',', CASE WHEN product_id % 19 = 0 THEN 'null_check_failed' END, CASE WHEN product_id % 23 = 0 THEN 'range_check_failed' END) FROM m_products WHERE product_id % 19 = 0 OR product_id % 23 = 0
+ UNION ALL SELECT ts::DATE, 'clickstream', 'invalid_event_type' FROM m_clicks WHERE event_type = 'error')"""
+
+
+@register(f", {HELD_SQL} SELECT CASE WHEN year(batch_date) % 2 = 0 THEN 'even' ELSE 'odd' END AS run_id, batch_date, table_name, failure_reason, count(*) AS row_count FROM held WHERE failure_reason IS NOT NULL GROUP BY ALL")
+def quarantine_runs(spark, d):
+    """All seven quarantines, filled by two runs of which one is done again: its rows are counted once."""
+    path, parts = sinks.scratch(spark, "quarantine"), {}
+    for name, df in model.noisy_tables(spark, d).items():
+        bad = quality.in_domain(df, "event_type", conform.EVENT_TYPES, "invalid_event_type")[1] if name == "clickstream" else quality.gate(df, name)[1]
+        key, date = HELD_KEYS[name]
+        parts[name] = (bad, key, F.col(date))
+    held = quality.held_rows(parts)
+    for run, rest in (("even", 0), ("odd", 1), ("even", 0)):
+        sinks.replace_run(held.filter(F.year("batch_date") % 2 == rest), path, run)
+    rows = spark.read.option("basePath", path).parquet(f"{path}/run_id=*")
+    return rows.groupBy("run_id", "batch_date", "table_name", "failure_reason").agg(F.count("*").alias("row_count"))
+
+
+@register(""", sent AS (SELECT order_item_id FROM m_noisy UNION ALL SELECT order_item_id FROM m_noisy WHERE order_id % 97 = 0)
+ SELECT dataset, violation, row_count FROM (SELECT 'orders' AS dataset, 'missing:captured_at' AS violation, count(*) AS row_count FROM m_orders
+ UNION ALL SELECT 'order_items', 'type:quantity:string:int', count(*) FROM sent UNION ALL SELECT 'order_items', 'duplicate:order_item_id', count(*) - count(DISTINCT order_item_id) FROM sent
+ UNION ALL SELECT 'products', 'missing:updated_at', count(*) FROM m_products UNION ALL SELECT 'products', 'null:product_id', count(*) FILTER (product_id % 19 = 0) FROM m_products
+ UNION ALL SELECT 'clickstream', 'type:event_id:bigint:string', count(*) FROM m_clicks) WHERE row_count > 0""")
+def schema_contracts(spark, d):
+    """Frames that drifted from their contracts: missing columns, other types, repeated and absent keys."""
+    items = model.noisy_items(spark, d)
+    drifted = {
+        "orders": model.orders(spark, d),
+        "order_items": items.unionByName(items.filter("order_id % 97 = 0")).withColumn("quantity", F.col("quantity").cast("string")),
+        "products": model.products(spark, d).withColumn("product_id", F.when(F.col("product_id") % 19 != 0, F.col("product_id"))),
+        "clickstream": model.clickstream(spark, d),
+    }
+    whole = model.customers(spark, d).withColumn("captured_at", F.col("updated_at"))
+    checks = {n: (df, contracts.silver(n), contracts.key_of(n)) for n, df in {**drifted, "customers": whole}.items()}
+    return quality.contract_report(checks)
+
+
+@register("SELECT event_id, session_id, event_type, product_id, customer_id, ts FROM m_clicks WHERE event_type <> 'error'")
+def silver_clickstream(spark, d):
+    """Known events once each, of a log that brings every third event again."""
+    clicks = model.clickstream(spark, d)
+    again = clicks.filter(F.col("event_id") % 3 == 0).withColumn("ts", F.expr("ts + INTERVAL 5 MINUTES"))
+    return conform.distinct_events(clicks.unionByName(again))
+
+
+@register("SELECT campaign_id, name, channel, start_date, end_date, budget, CASE WHEN campaign_id % 2 = 0 THEN spend + 1 ELSE spend END AS spend, clicks, conversions FROM m_campaigns")
+def silver_campaigns(spark, d):
+    """The latest row of each campaign, of two files of which the second corrects every other one."""
+    first = model.campaigns(spark, d).withColumn("ingested_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    second = first.filter("campaign_id % 2 = 0").withColumn("spend", F.col("spend") + 1).withColumn("ingested_at", F.lit("2024-01-02").cast("timestamp_ntz"))
+    return conform.latest_campaigns(first.unionByName(second)).drop("ingested_at")
+
+
 # --- star schema
 
 

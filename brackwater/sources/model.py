@@ -48,6 +48,19 @@ def campaigns(spark, sf_dir):
         "CAST(1000 + s_suppkey * 10 AS DOUBLE) AS budget", "CAST(IF(s_suppkey % 10 = 0, 0, 100 + s_suppkey) AS DOUBLE) AS spend", "s_suppkey * 37 AS clicks", "IF(s_suppkey % 7 = 0, 0, s_suppkey * 3) AS conversions")
 
 
+def noisy_tables(spark, sf_dir):
+    """The seven tables that have a quarantine, with the noise that the gate is there for."""
+    return {
+        "fact_order_items": noisy_items(spark, sf_dir).join(orders(spark, sf_dir).select("order_id", "customer_id", "order_date"), "order_id"),
+        "orders": orders(spark, sf_dir).withColumn("captured_at", F.col("order_date")).withColumn("customer_id", F.when(F.col("order_id") % 79 != 0, F.col("customer_id"))),
+        "campaigns": campaigns(spark, sf_dir).withColumn("budget", F.when(F.col("campaign_id") % 11 == 0, -F.col("budget")).otherwise(F.col("budget"))),
+        "reviews": reviews(spark, sf_dir).withColumn("rating", F.when(F.col("review_id") % 13 == 0, F.lit(7)).otherwise(F.col("rating"))),
+        "customers": customers(spark, sf_dir).withColumn("captured_at", F.col("updated_at")).withColumn("customer_id", F.when(F.col("customer_id") % 17 != 0, F.col("customer_id"))),
+        "products": products(spark, sf_dir).withColumn("updated_at", F.expr("date_add(date'1995-01-01', CAST(product_id % 100 AS INT))")).withColumn("sku", F.when(F.col("product_id") % 19 != 0, F.col("sku"))).withColumn("unit_price", F.when(F.col("product_id") % 23 == 0, -F.col("unit_price")).otherwise(F.col("unit_price"))),
+        "clickstream": clickstream(spark, sf_dir),
+    }
+
+
 KINDS = {"view": "page_view", "click": "add_to_cart", "signup": "checkout_start", "purchase": "checkout_complete"}
 
 

@@ -39,6 +39,12 @@ def overwrite_partitions(df: DataFrame, path: str, *columns: str) -> None:
     writer.parquet(path)
 
 
+def replace_run(df: DataFrame, path: str, run_id: str) -> None:
+    """Puts ``df`` in the place of all rows that this run wrote before; an empty one too, so a repeated run that
+    finds nothing leaves nothing."""
+    df.write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
+
+
 def replace_snapshot(df: DataFrame, path: str) -> bool:
     """Replaces the snapshot; an empty source leaves the old one.
 

@@ -228,3 +228,38 @@ def test_snapshot_keeps_the_old_one(spark, tmp_path):
 def test_clustering_sorts_within_ranges(spark):
     parts = sinks.clustered(spark.range(100).orderBy(F.rand(1)), "id").rdd.glom().map(lambda p: [r[0] for r in p]).collect()
     assert all(p == sorted(p) for p in parts)
+
+
+def test_rules_by_layer(spark):
+    assert quality.rules_of("silver.reviews") == quality.RULES["reviews"]
+    assert quality.rules_of("silver.order_items") != quality.RULES["order_items"]
+    assert quality.rules_of("gold.roas") == quality.rules_of("quarantine.orders") == quality.rules_of("silver.campaigns") == ((), {})
+    df = spark.createDataFrame([(None,), (1,)], "id int")
+    passed, held = quality.gate(df, "bronze.reviews")
+    assert passed.count() == 2 and held.count() == 0
+
+
+def test_contracts_of_layers():
+    from brackwater.functions import contracts
+
+    own = contracts.silver("orders")
+    assert quality.schema_violations(contracts.quarantined(own), own) == []
+    assert quality.schema_violations(own, contracts.quarantined(own)) == ["missing:_quarantine_reason"]
+    assert contracts.landed(contracts.silver("campaigns")).fieldNames().count("ingested_at") == 1
+    assert {contracts.key_of(t) for t in ("orders", "products")} == {"order_id", "product_id"}
+
+
+def test_contract_report(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (None, "d")], "a int, b string")
+    report = quality.contract_report({"x": (df, fields("a int, b int"), "a"), "y": (df.limit(0), fields("a int, b string"), "a")})
+    assert {tuple(r) for r in report.collect()} == {("x", "type:b:string:int", 4), ("x", "null:a", 2), ("x", "duplicate:a", 1)}
+
+
+def test_a_repeated_run_replaces_its_rows(spark, tmp_path):
+    path = f"file://{tmp_path}/held"
+    sinks.replace_run(spark.range(5), path, "a")
+    sinks.replace_run(spark.range(3), path, "b")
+    sinks.replace_run(spark.range(2), path, "a")
+    assert spark.read.parquet(path).groupBy("run_id").count().orderBy("run_id").collect() == [("a", 2), ("b", 3)]
+    sinks.replace_run(spark.range(0), path, "a")
+    assert spark.read.parquet(path).filter("run_id = 'a'").count() == 0
