@@ -117,3 +117,29 @@ def link_conversations(messages: DataFrame) -> DataFrame:
 
 def op4_chat(spark, sf_dir: str) -> DataFrame:
     return link_conversations(table(spark, sf_dir, "conversations"))
+
+
+#: The same by SQL: passages are compared as text, and parents are followed one at a time.
+OP4_SQL = r"""WITH RECURSIVE m AS (SELECT row_number() OVER () AS id, conv_id, turn, role, coalesce(text, '') AS t FROM conversations),
+l AS (SELECT id, conv_id, turn, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM m),
+p AS (SELECT *, regexp_extract(line, '^[ \t]*(?:>[ \t]?)+') AS mark FROM l),
+o AS (SELECT *, length(mark) - length(replace(mark, '>', '')) AS level, substr(line, length(mark) + 1) AS own FROM p),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY id, level ORDER BY i) AS run FROM o),
+c AS (SELECT m.id, m.conv_id, m.turn, m.role, trim(coalesce(string_agg(own, chr(10) ORDER BY i) FILTER (level = 0), ''), E' \t\n\r\f\v') AS content
+ FROM m JOIN o USING (id) GROUP BY ALL),
+said AS (SELECT conv_id, turn, content AS s FROM c UNION ALL SELECT conv_id, turn, own FROM o WHERE level = 0),
+first AS (SELECT conv_id, trim(regexp_replace(lower(s), '\s+', ' ', 'g')) AS h, min(turn) AS origin FROM said GROUP BY 1, 2 HAVING h <> ''),
+whole AS (SELECT id, conv_id, turn, level, run, trim(regexp_replace(lower(string_agg(own, ' ' ORDER BY i)), '\s+', ' ', 'g')) AS h FROM g WHERE level > 0 GROUP BY ALL HAVING h <> ''),
+sought AS (SELECT * FROM whole UNION SELECT id, conv_id, turn, level, run, trim(regexp_replace(lower(own), '\s+', ' ', 'g')) FROM g WHERE level > 0),
+found AS (SELECT s.*, origin FROM sought s JOIN first f ON f.conv_id = s.conv_id AND f.h = s.h AND origin < turn),
+linked AS (SELECT id, count(DISTINCT (level, run))::INTEGER AS n_linked FROM found GROUP BY id),
+votes AS (SELECT id, conv_id, turn, origin, count(DISTINCT run) AS n FROM found WHERE level = 1 GROUP BY ALL),
+parent AS (SELECT id, conv_id, turn, arg_max(origin, (n, origin)) AS reply_to FROM votes GROUP BY ALL),
+up AS (SELECT conv_id, turn, max(reply_to) AS root FROM parent GROUP BY ALL),
+chain AS (SELECT * FROM up UNION SELECT c.conv_id, c.turn, u.root FROM chain c JOIN up u ON u.conv_id = c.conv_id AND u.turn = c.root),
+roots AS (SELECT conv_id, turn, min(root) AS root FROM chain GROUP BY ALL),
+q AS (SELECT id, max(level)::INTEGER AS depth, count(*)::INTEGER AS n FROM whole GROUP BY id),
+a AS (SELECT c.*, coalesce(depth, 0)::INTEGER AS quote_depth, coalesce(q.n, 0)::INTEGER AS n_quoted, coalesce(n_linked, 0)::INTEGER AS n_linked, reply_to, coalesce(root, c.turn) AS thread
+ FROM c LEFT JOIN q USING (id) LEFT JOIN linked USING (id) LEFT JOIN (SELECT id, reply_to FROM parent) USING (id) LEFT JOIN roots r ON r.conv_id = c.conv_id AND r.turn = c.turn)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY thread NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, content, id) - 1 AS position, turn, role, content,
+ '<|' || coalesce(role, '') || '|>' || chr(10) || content AS chat, quote_depth, n_quoted, n_linked, reply_to, thread FROM a"""

@@ -17,4 +17,4 @@ QUERIES = {
     "rules_ablations": rules.rules_ablations,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_warc": warc.OP5_SQL, "op6_decontaminate": decontaminate.OP6_SQL, "op7_quality_rules": rules.OP7_SQL, "rules_policies": rules.POLICIES_SQL, "rules_ablations": rules.ABLATIONS_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_suffix_dedup": suffixes.OP3_SQL, "op4_chat": chat.OP4_SQL, "op5_warc": warc.OP5_SQL, "op6_decontaminate": decontaminate.OP6_SQL, "op7_quality_rules": rules.OP7_SQL, "rules_policies": rules.POLICIES_SQL, "rules_ablations": rules.ABLATIONS_SQL}

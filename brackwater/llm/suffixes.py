@@ -406,3 +406,20 @@ def without_spans(text, spans):
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return deduplicate(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: The same by SQL over every 50-byte string, in hexadecimal digits; texts are cut into stretches first.
+OP3_SQL = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+n AS (SELECT *, length(x) // 2 AS n FROM d),
+stretch AS (SELECT r, doc_id, k, substr(x, 2 * k + 1, 1098) AS y FROM (SELECT r, doc_id, x, unnest(range(0, n - 49, 500)) AS k FROM n)),
+w AS (SELECT r, doc_id, k + j AS i, substr(y, 2 * j + 1, 100) AS s FROM (SELECT *, unnest(range(0, length(y) // 2 - 49)) AS j FROM stretch)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+hit AS (SELECT r, i FROM w JOIN f USING (s) WHERE first < doc_id),
+marked AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM hit),
+numbered AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM marked),
+runs AS (SELECT r, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY r, g),
+cuts AS (SELECT r, a, b FROM runs UNION ALL SELECT r, n, n FROM n),
+kept AS (SELECT r, string_agg(substr(x, 2 * p + 1, 2 * (a - p)), '' ORDER BY a, b) AS x FROM (SELECT r, x, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a, b), 0) AS p FROM cuts JOIN d USING (r)) GROUP BY r),
+sums AS (SELECT r, sum(b - a) AS removed, count(*) AS spans FROM runs GROUP BY r)
+SELECT doc_id, n.n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(kept.x)) AS kept_sha256
+FROM n JOIN kept USING (r) LEFT JOIN sums USING (r)"""
