@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, and SQL for those that SQL can express."""
 
-from brackwater.llm import alignment, chat, decontaminate, packing, quality, rules, sharding, simhash, suffixes, toxicity, warc
+from brackwater.llm import alignment, chat, decontaminate, packing, quality, rules, secrets, sharding, simhash, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -14,6 +14,7 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
     "op8_simhash": simhash.op8_simhash,
     "op11_alignment": alignment.op11_alignment,
+    "op12_secrets": secrets.op12_secrets,
     "rules_policies": rules.rules_policies,
     "rules_ablations": rules.rules_ablations,
 }
