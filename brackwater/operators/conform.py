@@ -11,7 +11,8 @@ from brackwater.operators.merge import latest_per_key
 
 ORDER_PAYLOAD = fields("order_id bigint, customer_id bigint, order_date string, status string, campaign_id bigint")
 CUSTOMER_PAYLOAD = fields("customer_id bigint, full_name string, email string, segment string, address string, updated_at string")
-EVENT_TYPES = ("page_view", "product_view", "add_to_cart", "checkout_start", "checkout_complete")
+# fixed values: the events that silver knows
+EVENT_TYPES = ("page_view", "add_to_cart", "remove_from_cart", "checkout_start", "checkout_complete")
 
 
 def conform_products(df: DataFrame) -> DataFrame:

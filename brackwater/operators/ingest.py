@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brackwater.sources import files, readers
+
+PAGE = 5_000
+
 
 def incremental(source: DataFrame, landed: DataFrame | None, column: str) -> DataFrame:
     """Source rows beyond the largest value that has landed; all of them where nothing has.
@@ -18,11 +22,11 @@ def incremental(source: DataFrame, landed: DataFrame | None, column: str) -> Dat
     return source if mark is None else source.filter(F.col(column) > F.lit(mark))
 
 
-def max_id(source: DataFrame, column: str, allowed) -> int:
-    """The largest id of an allowed column, 1 for an empty source."""
+def max_id(source: DataFrame, column: str, allowed) -> DataFrame:
+    """One row: the largest id of an allowed column as upper_bound, 1 for an empty source."""
     if column not in allowed:
         raise ValueError(f"{column} is not one of {sorted(allowed)}")
-    return source.agg(F.coalesce(F.max(column), F.lit(1))).first()[0]
+    return source.agg(F.coalesce(F.max(column), F.lit(1)).alias("upper_bound"))
 
 
 def extract_changes(df: DataFrame, watermark, updated: str = "updated_at", pk: str | None = None, after_pk=None) -> DataFrame:
@@ -33,6 +37,71 @@ def extract_changes(df: DataFrame, watermark, updated: str = "updated_at", pk: s
     return df.filter(newer)
 
 
+class ChangePoll:
+    """Pages of changed rows in the order of (updated, key), each landed whole before the watermark moves.
+
+    A page is the first ``page`` rows behind the watermark, which is the last row of the page before. It is
+    written to a folder of its own number, and then the watermark file of that number is moved into place:
+    a run that breaks off between the two lands the same page again in the same place, so nothing is lost
+    or doubled. Readers see pages up to the watermark. Rows that share both time and key with the
+    watermark have been landed; rows without either are never polled.
+    """
+
+    def __init__(self, source: DataFrame, root: str, updated: str, key: str, page: int = PAGE):
+        self.source, self.root, self.updated, self.key, self.page = source, root.rstrip("/"), updated, key, page
+        self.spark = source.sparkSession
+
+    def mark(self) -> dict:
+        """The watermark: page, and the time and key of the last row that has landed, as text."""
+        there = files.numbers(self.spark, f"{self.root}/marks")
+        return files.read_json(self.spark, files.numbered(f"{self.root}/marks", there[-1])) if there else {"page": 0}
+
+    def behind(self, mark: dict) -> DataFrame:
+        rows = self.source.filter(F.col(self.updated).isNotNull() & F.col(self.key).isNotNull())
+        if not mark["page"]:
+            return rows
+        at, key = (F.lit(mark[c]).cast(self.source.schema[n].dataType) for c, n in (("at", self.updated), ("key", self.key)))
+        # the first condition alone can be pushed into the scan
+        return rows.filter((F.col(self.updated) >= at) & ((F.col(self.updated) > at) | (F.col(self.key) > key)))
+
+    def land(self) -> dict | None:
+        """Writes the next page, and gives the watermark that goes with it; None where nothing is new."""
+        mark = self.mark()
+        path = f"{self.root}/pages/page={mark['page'] + 1}"
+        self.behind(mark).orderBy(self.updated, self.key).limit(self.page).write.mode("overwrite").parquet(path)
+        last = self.spark.read.schema(self.source.schema).parquet(path).agg(F.max(F.struct(self.updated, self.key)).alias("m")).select(*(F.col(f"m.{c}").cast("string") for c in (self.updated, self.key))).first()
+        return None if last[0] is None else {"page": mark["page"] + 1, "at": last[0], "key": last[1]}
+
+    def commit(self, mark: dict) -> None:
+        files.commit_json(self.spark, f"{self.root}/marks", mark["page"], mark)
+
+    def run(self, pages: int | None = None) -> int:
+        """Lands and commits pages until nothing is new, or so many; gives their number."""
+        done = 0
+        while (pages is None or done < pages) and (mark := self.land()):
+            self.commit(mark)
+            done += 1
+        return done
+
+    def landed(self) -> DataFrame:
+        paths = [f"{self.root}/pages/page={n}" for n in range(1, self.mark()["page"] + 1)]
+        return self.spark.read.schema(self.source.schema).parquet(*paths) if paths else self.source.limit(0)
+
+
+def incremental_jdbc(spark: SparkSession, url: str, table: str, driver: str, column: str, mark: int | None, parts: int = 8) -> DataFrame | None:
+    """Rows of a JDBC table beyond the watermark, in ranges of the id; None where there is nothing to read.
+
+    One row of bounds is asked for first, which the database answers from its index. The ranges span the new
+    ids only, and the guard against the watermark goes to the database with each range.
+    """
+    beyond = f" WHERE \"{column}\" > {int(mark)}" if mark is not None else ""
+    low, high = readers.read_jdbc(spark, url, f'(SELECT MIN("{column}") AS lo, MAX("{column}") AS hi FROM {table}{beyond}) AS bounds', driver).first()
+    if high is None:
+        return None
+    rows = readers.read_jdbc(spark, url, table, driver, column, low, high + 1, parts)
+    return rows if mark is None else rows.filter(F.col(column) > F.lit(mark))
+
+
 def envelope(df: DataFrame, table: str, pk: str, created: str = "created_at", updated: str = "updated_at", data=None) -> DataFrame:
     """Changed rows as a flat log: an insert where both times are less than a second apart."""
     apart = F.abs(F.unix_micros(F.col(updated).cast("timestamp")) - F.unix_micros(F.col(created).cast("timestamp")))

@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brackwater.functions import contracts
 from brackwater.functions.keys import composite_key, surrogate_key
 from brackwater.operators import conform, ingest, marts, merge, quality, star
+from brackwater.plans.registry import register
 from brackwater.sources import model, readers, sinks
-from brackwater.sources.model import MODEL_SQL
 from brackwater.streaming import streams
 
-QUERIES: dict[str, Callable] = {}
-ORACLE_SQL: dict[str, str] = {}
 TRACKED = ["full_name", "email", "segment", "address"]
 
 
-def register(sql: str | None = None, own: bool = False):
-    """Registers a function as the query of its name; ``sql`` follows the model's expressions."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql if own else f"{MODEL_SQL} {sql}"
-        return f
-
-    return add
-
-
 def _dim(spark, d) -> DataFrame:
     first = merge.scd2_start(model.customers(spark, d), "customer_id", TRACKED, "updated_at")
     return merge.scd2_merge(first, model.changed_customers(spark, d), "customer_id", TRACKED, "updated_at")
@@ -67,8 +51,7 @@ def incremental_by_id(spark, d):
 
 @register("SELECT coalesce(max(order_item_id), 1) AS upper_bound FROM m_items")
 def max_id_probe(spark, d):
-    source = model.order_items(spark, d)
-    return source.agg(F.coalesce(F.max("order_item_id"), F.lit(1)).alias("upper_bound"))
+    return ingest.max_id(model.order_items(spark, d), "order_item_id", ("order_item_id", "order_id"))
 
 
 @register("""SELECT 'orders' AS table_name, CASE WHEN created_at = updated_at THEN 'insert' ELSE 'update' END AS op, 'order_id' AS pk_column, order_id::VARCHAR AS pk_value,
@@ -210,12 +193,12 @@ def conform_order_items(spark, d):
     return conform.conform_order_items(again, F.desc("ingested_at"), "product_id", "quantity", "unit_price")
 
 
-@register("SELECT * FROM m_clicks WHERE event_type IN ('page_view', 'product_view', 'add_to_cart', 'checkout_start', 'checkout_complete')")
+@register("SELECT * FROM m_clicks WHERE event_type IN ('page_view', 'add_to_cart', 'remove_from_cart', 'checkout_start', 'checkout_complete')")
 def valid_events(spark, d):
     return _clicks(spark, d)
 
 
-@register("SELECT *, 'invalid_event_type' AS _quarantine_reason FROM m_clicks WHERE event_type IS NULL OR event_type NOT IN ('page_view', 'product_view', 'add_to_cart', 'checkout_start', 'checkout_complete')")
+@register("SELECT *, 'invalid_event_type' AS _quarantine_reason FROM m_clicks WHERE event_type IS NULL OR event_type NOT IN ('page_view', 'add_to_cart', 'remove_from_cart', 'checkout_start', 'checkout_complete')")
 def invalid_events(spark, d):
     return quality.in_domain(model.clickstream(spark, d), "event_type", conform.EVENT_TYPES, "invalid_event_type")[1]
 
@@ -264,20 +247,31 @@ def quality_gate_summary(spark, d):
     return quality.gate_summary({n: quality.tagged(x, n) for n, x in marked.items()}, F.lit("2025-01-01").cast("date"))
 
 
-def _quarantines(spark, d):
-    items = quality.gate(model.noisy_items(spark, d), "order_items")[1].join(model.orders(spark, d).select("order_id", "order_date"), "order_id")
-    events = quality.in_domain(model.clickstream(spark, d), "event_type", conform.EVENT_TYPES, "invalid_event_type")[1]
-    return {"order_items": (items, F.col("order_date")), "clickstream": (events, F.col("ts"))}
+HELD_KEYS = {"fact_order_items": ("order_item_id", "order_date"), "orders": ("order_id", "captured_at"), "campaigns": ("campaign_id", "start_date"), "reviews": ("review_id", "submitted_at"), "customers": ("customer_id", "captured_at"), "products": ("product_id", "updated_at"), "clickstream": ("event_id", "ts")}
 
+HELD_SQL = f"""held AS (SELECT order_date::DATE AS batch_date, 'fact_order_items' AS table_name, {REASON_SQL} AS failure_reason FROM m_noisy JOIN m_orders USING (order_id)
+ UNION ALL SELECT order_date::DATE, 'orders', 'null_check_failed' FROM m_orders WHERE order_id % 79 = 0
+ UNION ALL SELECT start_date, 'campaigns', 'range_check_failed' FROM m_campaigns WHERE campaign_id % 11 = 0
+ UNION ALL SELECT submitted_at::DATE, 'reviews', 'range_check_failed' FROM m_reviews WHERE review_id % 13 = 0
+ UNION ALL SELECT DATE '1990-01-01', 'customers', 'null_check_failed' FROM m_customers WHERE customer_id % 17 = 0
+ UNION ALL SELECT DATE '1995-01-01' + (product_id % 100)::INTEGER, 'products', concat_ws(',', CASE WHEN product_id % 19 = 0 THEN 'null_check_failed' END, CASE WHEN product_id % 23 = 0 THEN 'range_check_failed' END) FROM m_products WHERE product_id % 19 = 0 OR product_id % 23 = 0
+ UNION ALL SELECT ts::DATE, 'clickstream', 'invalid_event_type' FROM m_clicks WHERE event_type = 'error')"""
+QUARANTINE_SQL = f"""{HELD_SQL}, qs AS (SELECT batch_date, table_name, failure_reason, count(*) AS row_count FROM held WHERE failure_reason IS NOT NULL GROUP BY ALL)"""
 
-QUARANTINE_SQL = f"""q AS (SELECT order_date::DATE AS batch_date, 'order_items' AS table_name, {REASON_SQL} AS failure_reason FROM m_noisy JOIN m_orders USING (order_id)
- UNION ALL SELECT ts::DATE, 'clickstream', 'invalid_event_type' FROM m_clicks WHERE event_type = 'error'),
-qs AS (SELECT batch_date, table_name, failure_reason, count(*) AS row_count FROM q WHERE failure_reason IS NOT NULL GROUP BY ALL)"""
+
+def _quarantines(spark, d):
+    """The rows that the gate holds back of all seven tables that have a quarantine: (rows, key, date) by table."""
+    parts = {}
+    for name, df in model.noisy_tables(spark, d).items():
+        bad = quality.in_domain(df, "event_type", conform.EVENT_TYPES, "invalid_event_type")[1] if name == "clickstream" else quality.gate(df, name)[1]
+        key, date = HELD_KEYS[name]
+        parts[name] = (bad, key, F.col(date))
+    return parts
 
 
 @register(f", {QUARANTINE_SQL} SELECT * FROM qs")
 def quarantine_summary(spark, d):
-    return quality.quarantine_summary(_quarantines(spark, d))
+    return quality.quarantine_summary({n: (bad, date) for n, (bad, _, date) in _quarantines(spark, d).items()})
 
 
 @register("""SELECT 'null:order_item_id' AS rule, 0::BIGINT AS violations UNION ALL SELECT 'null:product_id', count(*) FILTER (product_id IS NULL) FROM m_noisy
@@ -286,26 +280,11 @@ def contract_violations(spark, d):
     return quality.contract_violations(model.noisy_items(spark, d), ["order_item_id", "product_id"], ["order_id"])
 
 
-HELD_KEYS = {"fact_order_items": ("order_item_id", "order_date"), "orders": ("order_id", "captured_at"), "campaigns": ("campaign_id", "start_date"), "reviews": ("review_id", "submitted_at"), "customers": ("customer_id", "captured_at"), "products": ("product_id", "updated_at"), "clickstream": ("event_id", "ts")}
-
-HELD_SQL = f"""held AS (SELECT order_date::DATE AS batch_date, 'fact_order_items' AS table_name, {REASON_SQL} AS failure_reason FROM m_noisy JOIN m_orders USING (order_id)
- UNION ALL SELECT order_date::DATE, 'orders', 'null_check_failed' FROM m_orders WHERE order_id % 79 = 0
- UNION ALL SELECT start_date, 'campaigns', 'range_check_failed' FROM m_campaigns WHERE campaign_id % 11 = 0
- UNION ALL SELECT submitted_at::DATE, 'reviews', 'range_check_failed' FROM m_reviews WHERE review_id % 13 = 0
- UNION ALL SELECT DATE '1990-01-01', 'customers', 'null_check_failed' FROM m_customers WHERE customer_id % 17 = 0
- UNION ALL SELECT DATE '1995-01-01' + (product_id % 100)::INTEGER, 'products', concat_ws(',', CASE WHEN product_id % 19 = 0 THEN 'null_check_failed' END, CASE WHEN product_id % 23 = 0 THEN 'range_check_failed' END) FROM m_products WHERE product_id % 19 = 0 OR product_id % 23 = 0
- UNION ALL SELECT ts::DATE, 'clickstream', 'invalid_event_type' FROM m_clicks WHERE event_type = 'error')"""
-
-
 @register(f", {HELD_SQL} SELECT CASE WHEN year(batch_date) % 2 = 0 THEN 'even' ELSE 'odd' END AS run_id, batch_date, table_name, failure_reason, count(*) AS row_count FROM held WHERE failure_reason IS NOT NULL GROUP BY ALL")
 def quarantine_runs(spark, d):
     """All seven quarantines, filled by two runs of which one is done again: its rows are counted once."""
-    path, parts = sinks.scratch(spark, "quarantine"), {}
-    for name, df in model.noisy_tables(spark, d).items():
-        bad = quality.in_domain(df, "event_type", conform.EVENT_TYPES, "invalid_event_type")[1] if name == "clickstream" else quality.gate(df, name)[1]
-        key, date = HELD_KEYS[name]
-        parts[name] = (bad, key, F.col(date))
-    held = quality.held_rows(parts)
+    path = sinks.scratch(spark, "quarantine")
+    held = quality.held_rows(_quarantines(spark, d))
     for run, rest in (("even", 0), ("odd", 1), ("even", 0)):
         sinks.replace_run(held.filter(F.year("batch_date") % 2 == rest), path, run)
     rows = spark.read.option("basePath", path).parquet(f"{path}/run_id=*")
@@ -441,8 +420,7 @@ def silver_reviews(spark, d):
 
 @register(f", {SCORED_SQL} SELECT s.*, p.name AS product_name, p.category FROM (SELECT product_id, count(*) AS review_count, round(avg(rating), 6) AS avg_rating, round(avg(sentiment_score), 6) AS avg_sentiment, round(count(*) FILTER (verified_purchase) / count(*), 6) AS pct_verified FROM scored GROUP BY 1) s LEFT JOIN m_products p USING (product_id)")
 def product_sentiment(spark, d):
-    rows = marts.product_sentiment(marts.silver_reviews(model.reviews(spark, d)), model.products(spark, d))
-    return rows.withColumn("pct_verified", F.coalesce("pct_verified", F.lit(0.0)))
+    return marts.product_sentiment(marts.silver_reviews(model.reviews(spark, d)), model.products(spark, d))
 
 
 def _clv(spark, d):
@@ -643,13 +621,18 @@ def stream_dedup(spark, d):
     return spark.read.parquet(f"{root}/out").select("event_id", "session_id")
 
 
-@register("SELECT date_trunc('minute', ts) AS window_start, count(*) AS events, count(*) FILTER (event_type = 'checkout_complete') AS completions FROM m_clicks GROUP BY 1")
+@register("SELECT date_trunc('minute', ts) AS window_start, count(*) AS events, count(*) FILTER (event_type = 'checkout_complete') AS completions, count(DISTINCT session_id) AS exact_sessions, true AS within_5_percent FROM m_clicks GROUP BY 1")
 def stream_live_activity(spark, d):
-    """Windows are merged by their start, so windows that are sent again are counted once."""
+    """Activity by minute from the sums and session sketches of several batches, beside the exact number of sessions
+    and whether the sketches' estimate lies within 5 % of it (or within 1)."""
     root = sinks.scratch(spark, "live")
-    live = streams.live_activity(_events_stream(spark, d, root))
-    out = streams.run_upserts(live, f"{root}/out", f"{root}/check", ["window_start"])
-    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "events", "completions")
+    clicks = model.clickstream(spark, d).select("session_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    for part in range(3):
+        clicks.filter(F.pmod(F.xxhash64("ts", "session_id"), F.lit(3)) == part).write.mode("append").parquet(f"{root}/in")
+    sums = streams.run_partials(streams.file_stream(spark, f"{root}/in", clicks.schema, files=4), streams.live_partials, f"{root}/sums", f"{root}/check", ["window_start"], ("events", "completions"), ("sketch",))
+    exact = clicks.groupBy(F.date_trunc("minute", "ts").alias("window_start")).agg(F.count_distinct("session_id").alias("exact_sessions"))
+    near = F.abs(F.col("sessions") - F.col("exact_sessions")) <= F.greatest(F.lit(1.0), F.col("exact_sessions") * 0.05)
+    return streams.with_sessions(sums).join(exact, "window_start").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "events", "completions", "exact_sessions", near.alias("within_5_percent"))
 
 
 @register("SELECT * FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) FILTER (event_type = 'checkout_start') AS starts, count(*) FILTER (event_type = 'checkout_complete') AS completions FROM m_clicks GROUP BY 1) WHERE starts > 0 AND completions / starts < 0.5 AND window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM m_clicks)")
@@ -705,8 +688,8 @@ def _inserts_stream(spark, d, root: str) -> DataFrame:
 def stream_orders_per_minute(spark, d):
     """Inserts of the log by minute, from the partial counts of several batches."""
     root = sinks.scratch(spark, "minutes")
-    parts = streams.run_partials(_inserts_stream(spark, d, root), lambda b: streams.per_minute(b, "ts"), f"{root}/parts", f"{root}/check")
-    return streams.merged(parts, ["minute"]).withColumn("minute", F.col("minute").cast("timestamp_ntz"))
+    sums = streams.run_partials(_inserts_stream(spark, d, root), lambda b: streams.per_minute(b, "ts"), f"{root}/sums", f"{root}/check", ["minute"])
+    return sums.withColumn("minute", F.col("minute").cast("timestamp_ntz"))
 
 
 @register("SELECT date_trunc('minute', created_at) AS minute, count(*) * 55.5::DOUBLE AS estimated_revenue FROM m_base GROUP BY 1")
@@ -717,11 +700,10 @@ def stream_revenue_estimate(spark, d):
 @register("SELECT status, count(*) AS orders FROM m_base GROUP BY 1")
 def stream_status_counts(spark, d):
     root = sinks.scratch(spark, "statuses")
-    parts = streams.run_partials(_inserts_stream(spark, d, root), streams.status_counts, f"{root}/parts", f"{root}/check")
-    return streams.merged(parts, ["status"])
+    return streams.run_partials(_inserts_stream(spark, d, root), streams.status_counts, f"{root}/sums", f"{root}/check", ["status"])
 
 
-@register("SELECT order_id, arg_max(status, updated_at) AS status, max(updated_at) AS captured_at FROM m_log GROUP BY 1")
+@register("SELECT order_id, arg_max(status, updated_at) AS status, max(updated_at) AS captured_at FROM m_log WHERE order_id > 0 GROUP BY 1")
 def stream_orders_current(spark, d):
     """The latest row of each order from all of the log, with late and older changes among the batches;
     run twice over one checkpoint, the second time with nothing new."""
@@ -730,20 +712,24 @@ def stream_orders_current(spark, d):
     for part in (2, 0, 1):
         log.filter(F.col("order_id") % 3 == part).orderBy(F.desc("captured_at")).write.mode("append").parquet(f"{root}/in")
     for _ in range(2):
-        out = streams.run_upserts(streams.file_stream(spark, f"{root}/in", log.schema, files=2), f"{root}/out", f"{root}/check", ["order_id"], "append", "captured_at")
+        changes = streams.file_stream(spark, f"{root}/in", log.schema, files=2).filter("order_id > 0")
+        out = streams.run_upserts(changes, f"{root}/out", f"{root}/check", ["order_id"], "append", "captured_at")
     return out
 
 
-@register("SELECT event_id FROM m_clicks WHERE event_id % 3 <> 0 OR ts > (SELECT max(ts) - INTERVAL 10 MINUTE FROM m_clicks WHERE event_id % 3 <> 0)")
+LATE_SQL = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM m_clicks WHERE event_id % 3 <> 0)"
+
+
+@register(f"SELECT event_id, (SELECT count(*) FILTER (event_id % 3 = 0 AND ts <= {LATE_SQL}) + count(*) FILTER (event_id % 3 = 1 AND ts <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM m_clicks)) FROM m_clicks) AS dropped FROM m_clicks WHERE event_id % 3 <> 0 OR ts > {LATE_SQL}")
 def stream_late_events(spark, d):
     """Late data: a second file brings every third event once more than the watermark has passed, and is
-    dropped but for what lies within it; a third brings nothing that is new."""
-    root = sinks.scratch(spark, "late")
+    dropped but for what lies within it; a third brings nothing that is new. How many rows were dropped is a column."""
+    root, dropped = sinks.scratch(spark, "late"), 0
     clicks = model.clickstream(spark, d).select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     for part in ("event_id % 3 <> 0", "event_id % 3 = 0", "event_id % 3 = 1"):
         clicks.filter(part).write.mode("append").parquet(f"{root}/in")
-        streams.run_to_table(streams.deduplicated(streams.file_stream(spark, f"{root}/in", clicks.schema)), f"{root}/out", f"{root}/check")
-    return spark.read.schema("event_id long").parquet(f"{root}/out").distinct()
+        dropped += streams.run_to_table(streams.deduplicated(streams.file_stream(spark, f"{root}/in", clicks.schema)), f"{root}/out", f"{root}/check")
+    return spark.read.schema("event_id long").parquet(f"{root}/out").withColumn("dropped", F.lit(dropped).cast("long"))
 
 
 @register("SELECT customer_id, CASE customer_id % 3 WHEN 0 THEN TIMESTAMP '1998-01-01' WHEN 1 THEN TIMESTAMP '1999-01-01' ELSE TIMESTAMP '2000-01-01' END AS valid_from FROM m_customers WHERE customer_id % 7 = 0 AND segment <> 'VIP'")

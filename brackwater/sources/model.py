@@ -68,6 +68,7 @@ def clickstream(spark, sf_dir):
     kind = F.col("event_type")
     for old, new in KINDS.items():
         kind = F.when(F.col("event_type") == old, new).otherwise(kind)
+    kind = F.when((F.col("event_type") == "click") & (F.col("event_id") % 5 == 0), "remove_from_cart").otherwise(kind)
     return table(spark, sf_dir, "events").select("event_id", F.expr("concat(user_id, '-', date_format(ts, 'yyyyMMdd'))").alias("session_id"), kind.alias("event_type"), (F.col("event_id") % 200).alias("product_id"), F.col("user_id").alias("customer_id"), "ts")
 
 
@@ -108,7 +109,7 @@ m_campaigns AS (SELECT s_suppkey + 1 AS campaign_id, s_name AS name, CASE s_supp
   CAST(1000 + s_suppkey * 10 AS DOUBLE) AS budget, CAST(CASE WHEN s_suppkey % 10 = 0 THEN 0 ELSE 100 + s_suppkey END AS DOUBLE) AS spend,
   s_suppkey * 37 AS clicks, CASE WHEN s_suppkey % 7 = 0 THEN 0 ELSE s_suppkey * 3 END AS conversions FROM supplier),
 m_clicks AS (SELECT event_id, user_id || '-' || strftime(ts, '%Y%m%d') AS session_id,
-  CASE event_type WHEN 'view' THEN 'page_view' WHEN 'click' THEN 'add_to_cart' WHEN 'signup' THEN 'checkout_start' WHEN 'purchase' THEN 'checkout_complete' ELSE event_type END AS event_type,
+  CASE event_type WHEN 'view' THEN 'page_view' WHEN 'click' THEN CASE WHEN event_id % 5 = 0 THEN 'remove_from_cart' ELSE 'add_to_cart' END WHEN 'signup' THEN 'checkout_start' WHEN 'purchase' THEN 'checkout_complete' ELSE event_type END AS event_type,
   event_id % 200 AS product_id, user_id AS customer_id, ts FROM events),
 m_reviews AS (SELECT doc_id AS review_id, doc_id % 200 AS product_id, CAST(1 + doc_id % 5 AS INTEGER) AS rating, text AS body, quality = 1 AS verified_purchase,
   TIMESTAMP '2024-01-01' + to_minutes(doc_id % 100000) AS submitted_at FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)),

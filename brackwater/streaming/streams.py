@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
+import threading
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from brackwater.functions.schemas import fields
+from brackwater.streaming.store import BucketStore, summed, upsert
 
+CHANGE = fields("table string, op string, pk_column string, data string, captured_at string")
 EVENT = fields("event_id string, session_id string, event_type string, product_id bigint, customer_id bigint, ts string")
 REVENUE_PER_ORDER = 55.5
+SKETCH_BITS = 12  # 4,096 registers: a standard error of 1.6 %
 
 
-def file_stream(spark: SparkSession, folder: str, schema, fmt: str = "parquet", files: int | None = None) -> DataFrame:
+def file_stream(spark: SparkSession, folder: str, schema, fmt: str = "parquet", files: int | None = None, archive: str | None = None) -> DataFrame:
+    """New files below a folder; so many a batch where ``files`` is given. With ``archive``, a file is moved there
+    when the batch after its own is planned, so not before its rows have landed."""
     reader = spark.readStream.format(fmt).schema(schema)
-    return (reader.option("maxFilesPerTrigger", files) if files else reader).load(folder)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    if archive:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    return reader.load(folder)
 
 
 def kafka_stream(spark: SparkSession, servers: str, topic: str) -> DataFrame:
@@ -88,57 +101,104 @@ def retained(df: DataFrame, time: str, now, days: int) -> DataFrame:
     return df.filter(F.col(time) >= now - F.expr(f"INTERVAL {days} DAYS"))
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", available: bool = True, every: str = "30 seconds") -> None:
-    """Writes a stream as Parquet with a checkpoint; by default all that is there, then it ends."""
-    writer = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
-    query = (writer.trigger(availableNow=True) if available else writer.trigger(processingTime=every)).start(path)
-    query.awaitTermination()
+class _Dropped(StreamingQueryListener):
+    """Adds up the rows that stateful operators of one query dropped as too late."""
 
+    def __init__(self):
+        self.rows, self.run, self.ended = {}, None, threading.Event()
 
-def versions(spark: SparkSession, store: str) -> list[int]:
-    """The whole versions below ``store``, oldest first."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(store)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = files.globStatus(hadoop.Path(f"{store}/version=*/_SUCCESS")) or []
-    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+    def onQueryStarted(self, event) -> None:
+        pass
 
+    def onQueryProgress(self, event) -> None:
+        n = sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+        self.rows[str(event.progress.runId)] = self.rows.get(str(event.progress.runId), 0) + n
 
-def run_upserts(stream: DataFrame, store: str, checkpoint: str, keys, mode: str = "update", version: str | None = None) -> DataFrame:
-    """Each batch is merged by key into a new version below ``store``; the newest version is the result,
-    also where a run finds no new data.
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.runId) == self.run or self.run is None:
+            self.ended.set()
 
-    A batch that runs again writes its version again, so delivery at least once does no harm. The
-    version before the last is kept for that; older ones are deleted.
-    """
-    from brackwater.operators.merge import merge_upsert
 
-    spark, schema = stream.sparkSession, stream.schema
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", available: bool = True, every: str = "30 seconds", options: dict | None = None) -> int:
+    """Writes a stream as Parquet with a checkpoint; by default all that is there, then it ends. Gives the
+    number of rows that came behind the watermark and were dropped."""
+    listener, streams = _Dropped(), stream.sparkSession.streams
+    streams.addListener(listener)
+    try:
+        writer = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).options(**(options or {}))
+        query = (writer.trigger(availableNow=True) if available else writer.trigger(processingTime=every)).start(path)
+        listener.run = str(query.runId)
+        query.awaitTermination()
+        # events come in order, the end last; this query's end may have come before its run was known
+        while not listener.ended.wait(0.5) and listener.run not in listener.rows:
+            pass
+        listener.ended.wait(30)
+    finally:
+        streams.removeListener(listener)
+    return listener.rows.get(listener.run, 0)
+
+
+def run_merges(stream: DataFrame, store: BucketStore, checkpoint: str, combine, mode: str = "update", prepare=None) -> DataFrame:
+    """Each batch, after ``prepare``, is merged into the store; all that is there, then it ends. The store's
+    newest version is the result, also where a run finds no new data."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        own = batch.sparkSession
-        there = [v for v in versions(own, store) if v < number]
-        held = own.read.schema(schema).parquet(f"{store}/version={there[-1]}") if there else own.createDataFrame([], schema)
-        merge_upsert(held, batch, keys, version).write.mode("overwrite").parquet(f"{store}/version={number}")
-        for old in there[:-1]:
-            at = own._jvm.org.apache.hadoop.fs.Path(f"{store}/version={old}")
-            at.getFileSystem(own._jsc.hadoopConfiguration()).delete(at, True)
+        store.merge(prepare(batch) if prepare else batch, number, combine)
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()
-    query.awaitTermination()
-    there = versions(spark, store)
-    return spark.read.schema(schema).parquet(f"{store}/version={there[-1]}") if there else spark.createDataFrame([], schema)
+    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
+    return store.read()
 
 
-def run_partials(stream: DataFrame, partial, store: str, checkpoint: str) -> DataFrame:
-    """The partial counts of every batch, each below ``store`` under its batch's number: a batch that runs
-    again replaces its own. ``merged`` sums them."""
+def run_upserts(stream: DataFrame, path: str, checkpoint: str, keys, mode: str = "update", version: str | None = None, live: str | None = None, buckets: int = 16) -> DataFrame:
+    """Each batch is merged by key into a store of hash buckets (``store.BucketStore``)."""
+    return run_merges(stream, BucketStore(stream.sparkSession, path, keys, stream.schema, buckets), checkpoint, upsert(keys, version, live), mode)
 
-    def count(batch: DataFrame, number: int) -> None:
-        partial(batch).write.mode("overwrite").parquet(f"{store}/batch={number}")
 
-    query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(count).start()
-    query.awaitTermination()
+def run_partials(stream: DataFrame, partial, path: str, checkpoint: str, keys, sums=("orders",), sketches=(), buckets: int = 4) -> DataFrame:
+    """The partial sums (and distinct-count sketches) of every batch, added up by key in a store of buckets."""
     spark = stream.sparkSession
     schema = partial(spark.createDataFrame([], stream.schema)).schema
-    return spark.read.schema(schema).parquet(f"{store}/batch=*")
+    return run_merges(stream, BucketStore(spark, path, keys, schema, buckets), checkpoint, summed(keys, sums, sketches), "append", partial)
+
+
+def live_partials(events: DataFrame) -> DataFrame:
+    """By minute: events, completions and a sketch of the sessions, which can be added up over batches."""
+    return events.groupBy(F.date_trunc("minute", "ts").alias("window_start")).agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "checkout_complete").alias("completions"), F.hll_sketch_agg("session_id", F.lit(SKETCH_BITS)).alias("sketch"))
+
+
+def with_sessions(partials: DataFrame) -> DataFrame:
+    return partials.withColumn("sessions", F.hll_sketch_estimate("sketch")).drop("sketch")
+
+
+def run_topics(messages: DataFrame, outputs: dict, root: str, checkpoint: str) -> None:
+    """One query, one checkpoint and several tables: each batch's part of a table is a folder under the batch's
+    number below ``root``, which a batch that runs again replaces.
+
+    ``outputs``: from a table's name to a function from a batch of messages to its rows.
+    """
+
+    def land(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            for name, rows in outputs.items():
+                rows(batch).write.mode("overwrite").parquet(f"{root}/{name}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    messages.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(land).start().awaitTermination()
+
+
+def landed(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{root}/{name}/batch=*")
+
+
+def of_topic(messages: DataFrame, topic: str) -> DataFrame:
+    return messages.filter(F.col("topic") == topic)
+
+
+def dead_letters(messages: DataFrame, schemas: dict[str, StructType]) -> DataFrame:
+    """What can't be parsed of any topic, as one table."""
+    return reduce(DataFrame.unionByName, (parse(of_topic(messages, topic), schema, topic)[1] for topic, schema in schemas.items()))

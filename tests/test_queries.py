@@ -3,7 +3,7 @@
 import pytest
 from conftest import same
 
-from brackwater.plans.catalog import ORACLE_SQL, QUERIES
+from brackwater.plans.queries import ORACLE_SQL, QUERIES
 
 
 def test_every_query_has_a_twin():
