@@ -1,19 +1,20 @@
 r"""Benchmark decontamination: size-partitioned MinHash containment search, in built-in functions.
 
-Texts are lower-cased and cut at whatever is no letter or digit; a shingle is five words (a
-shorter text is one shingle). An item with n distinct shingles is contained in a document that
-has at least ``threshold`` of them. Such a document lacks at most floor((1 - threshold) * n), so
-it holds at least one of any floor((1 - threshold) * n) + 1 of them. The items are partitioned by
-size (powers of two); the signature of an item has that many minima of its shingles' hashes for
-the largest n of its partition. A signature hash that occurs in a document makes a candidate, and
-no contained item can escape it, however long the document is. Documents only look at those of
-their hashes that lie below the largest signature hash. Candidates are verified by exact
-intersection of the shingles.
+Texts are lower-cased and cut at whatever is no letter or digit. An item's shingles are its runs of five
+words; an item of one to four words is one shingle of its own length. Documents are cut into runs of
+five words and of each shorter length that an item has, so a short item is found inside a long document
+like any other. An item with n distinct shingles is contained in a document that has at least
+``threshold`` of them. Such a document lacks at most floor((1 - threshold) * n), so it holds at least one
+of any floor((1 - threshold) * n) + 1 of them. The items are partitioned by size (powers of two); the
+signature of an item has that many minima of its shingles' hashes for the largest n of its partition. A
+signature hash that occurs in a document makes a candidate, and no contained item can escape it, however
+long the document is. Candidates are verified by exact intersection of the shingles themselves, as text;
+only documents with a candidate are cut again for that.
 
 Defined results: null or blank texts have no shingles and match nothing; equal items are found
 each; rows with the same doc_id are told apart by their text and give a row each (equal rows give
 one); rows with a null doc_id or item_id are compared and keep the null; further columns are
-ignored; an empty table on either side gives an empty result.
+ignored; an empty table on either side gives an empty result; texts of any length are cut whole.
 """
 
 from __future__ import annotations
@@ -25,24 +26,27 @@ from brackwater.llm.common import stored, table
 
 WORDS = 5
 THRESHOLD = 0.8
-#: Signatures are broadcast up to so many rows (16 bytes each); larger sets are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
 
 
 def words(column):
     return F.array_remove(F.split(F.lower(F.coalesce(column, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def shingle_hashes(parts):
-    """Distinct shingle hashes of an array of words."""
-    at = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - WORDS), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(WORDS))))
-    short = lambda w: F.when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<long>"))
-    each = F.element_at(F.transform(F.array(parts), lambda w: F.when(F.size(w) >= WORDS, at(w)).otherwise(short(w))), 1)
-    return each
+def runs(parts, sizes, make):
+    """``make(w, i, k)`` for the k words from each place i (from 0) of an array of words, for each k of ``sizes``."""
+    each = lambda w, k: F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: make(w, i, k)))
+    none = F.array().cast("array<string>")
+    whole = lambda w: F.concat(*(F.coalesce(each(w, k), F.array().cast("array<long>") if make is hashed else none) for k in sizes))
+    # the words are bound to a name, so they are cut once
+    return F.element_at(F.transform(F.array(parts), whole), 1)
 
 
-def shingled(df: DataFrame, key: str) -> DataFrame:
-    return df.select(F.col(key), words(F.col("text")).alias("words")).select(key, shingle_hashes(F.col("words")).alias("hashes"))
+def hashed(w, i, k: int):
+    return F.xxhash64(*(F.get(w, i + j) for j in range(k)))
+
+
+def spelt(w, i, k: int):
+    return F.array_join(F.slice(w, i + 1, F.lit(k)), " ")
 
 
 def allowance(n, threshold: float):
@@ -51,35 +55,34 @@ def allowance(n, threshold: float):
 
 
 def item_table(benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(item, item_id, hashes, n, top, signature): one row per item."""
-    items = shingled(benchmark, "item_id").select("item_id", F.sort_array(F.array_distinct("hashes")).alias("hashes"))
-    items = items.withColumn("n", F.size("hashes")).filter("n > 0")
+    """(item, item_id, size, hashes, shingles, n, signature): one row per item, ``size`` its shingles' length."""
+    items = benchmark.select("item_id", words(F.col("text")).alias("w")).withColumn("size", F.least(F.size("w"), F.lit(WORDS))).filter("size > 0")
+    cut = lambda make: F.coalesce(*(F.when(F.col("size") == k, runs(F.col("w"), [k], make)) for k in range(1, WORDS + 1)))
+    items = items.select("item_id", "size", F.sort_array(F.array_distinct(cut(hashed))).alias("hashes"), F.array_distinct(cut(spelt)).alias("shingles"))
+    items = items.withColumn("n", F.size("shingles"))
     # the largest size of the partition; an item's own n where it is smaller
     top = F.pow(F.lit(2), F.ceil(F.log2("n"))).cast("int")
-    items = items.withColumn("top", top).withColumn("signature", F.slice("hashes", F.lit(1), F.least(F.col("n"), allowance(F.col("top"), threshold) + 1)))
-    return items.withColumn("item", F.xxhash64("item_id", "hashes"))
+    items = items.withColumn("signature", F.slice("hashes", F.lit(1), F.least(F.col("n"), allowance(top, threshold) + 1)))
+    return items.withColumn("item", F.xxhash64("item_id", "shingles"))
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment): every item that a document contains."""
-    spark = docs.sparkSession
     items = stored(item_table(benchmark, threshold), "decontaminate-items")
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # five at most
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_shared int, n_item int, containment double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    body = F.xxhash64("text").alias("body")
+    seen = rows.select("doc_id", body, F.explode(runs(words(F.col("text")), sizes, hashed)).alias("hash"))
     signatures = items.select("item", F.explode("signature").alias("hash"))
-    bound = signatures.agg(F.max("hash"), F.count("*")).first()
-    if not bound[1]:
-        return spark.createDataFrame([], "doc_id long, item_id long, n_shared int, n_item int, containment double")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    minima = rows.select("doc_id", words(F.col("text")).alias("words")).select("doc_id", F.xxhash64(F.concat_ws(" ", "words")).alias("body"), F.array_distinct(F.filter(shingle_hashes(F.col("words")), lambda h: h <= F.lit(bound[0]))).alias("hashes"))
-    seen = minima.select("doc_id", "body", F.explode("hashes").alias("hash"))
-    candidates = stored(seen.join(F.broadcast(signatures) if bound[1] <= BROADCAST_ROWS else signatures, "hash").select("doc_id", "body", "item").distinct(), "decontaminate-candidates")
-    wanted = candidates.select("doc_id", "body").distinct()
-    parts = rows.join(wanted.select(F.col("doc_id").alias("d")).distinct(), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-    bodies = parts.select("doc_id", words(F.col("text")).alias("words")).select("doc_id", F.xxhash64(F.concat_ws(" ", "words")).alias("body"), shingle_hashes(F.col("words")).alias("hashes"))
-    own = bodies.select("doc_id", "body", F.explode("hashes").alias("hash")).distinct()
-    against = candidates.join(items.select("item", "n", F.explode("hashes").alias("hash")), "item")
-    match = [against["doc_id"].eqNullSafe(own["doc_id"]), against["body"] == own["body"], against["hash"] == own["hash"]]
-    shared = against.join(own.select(F.col("doc_id"), F.col("body"), F.col("hash")), match).groupBy(against["doc_id"], against["body"], "item").agg(F.count("*").cast("int").alias("n_shared"))
-    verified = shared.join(items.select("item", "item_id", F.col("n").alias("n_item")), "item").filter(F.col("n_shared") + allowance(F.col("n_item"), threshold) >= F.col("n_item"))
+    candidates = stored(seen.join(signatures, "hash").select("doc_id", "body", "item").distinct(), "decontaminate-candidates")
+    wanted = candidates.select(F.col("doc_id").alias("d"), F.col("body").alias("b")).distinct()
+    again = rows.withColumn("body", body).join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("body") == F.col("b")), "left_semi")
+    own = again.select("doc_id", "body", F.explode(runs(words(F.col("text")), sizes, spelt)).alias("shingle")).distinct()
+    sought = items.select("item", F.explode("shingles").alias("shingle"))
+    hits = own.join(sought, "shingle").groupBy("doc_id", "body", "item").agg(F.count("*").cast("int").alias("n_shared"))
+    verified = hits.join(items.select("item", "item_id", F.col("n").alias("n_item")), "item").filter(F.col("n_shared") + allowance(F.col("n_item"), threshold) >= F.col("n_item"))
     return verified.select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
@@ -87,13 +90,16 @@ def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: The same by SQL, without hashes; items of fewer than five words are sought in the text between spaces.
 OP6_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT row_number() OVER () AS bid, item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
-ds AS (SELECT DISTINCT rid, doc_id, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS s FROM (SELECT rid, doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
-bs AS (SELECT DISTINCT bid, item_id, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS s FROM (SELECT bid, item_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM b WHERE len(w) > 0)),
+ds AS (SELECT DISTINCT rid, doc_id, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS s FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) > 4)),
+bs AS (SELECT DISTINCT bid, item_id, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS s FROM (SELECT bid, item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b WHERE len(w) > 4)),
+few AS (SELECT bid, item_id, ' ' || list_aggregate(w, 'string_agg', ' ') || ' ' AS s FROM b WHERE len(w) BETWEEN 1 AND 4),
 n AS (SELECT bid, count(*)::INTEGER AS n_item FROM bs GROUP BY bid),
 m AS (SELECT rid, doc_id, bid, item_id, count(*)::INTEGER AS n_shared FROM ds JOIN bs USING (s) GROUP BY ALL)
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM m JOIN n USING (bid)
 WHERE 1000 * (n_item - n_shared) <= n_item * 200
+UNION ALL SELECT doc_id, item_id, 1, 1, 1.0 FROM d JOIN few ON contains(' ' || list_aggregate(w, 'string_agg', ' ') || ' ', s)
 """

@@ -153,6 +153,8 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> Dat
 
 def simhash_components(docs: DataFrame, words: int = 4, seed: int = 42, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row per row of ``docs``."""
+    if max_bits > MAX_BITS:
+        raise ValueError(f"the keys find links of {MAX_BITS} bits at most")
     prints = stored(fingerprints(docs, words, seed), "simhash-prints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     joined = connected_components(links(nodes.select("fp"), max_bits), "simhash")

@@ -29,6 +29,20 @@ def test_nested_quotations(spark):
     same(got, con, chat.OP4_SQL)
 
 
+def test_threads_by_row(spark):
+    """Several messages of one turn: only the one that quotes joins the thread, and short lines link nothing."""
+    rows = [(1, 0, "user", "How do I reset it?"), (1, 1, "user", "What does it cost then?"), (1, 2, "bot", "> How do I reset it?\nHold the button"), (1, 2, "bot", "unrelated"), (1, 3, "user", "> Hold the button\nthanks"), (1, 4, "bot", "thanks\nBye now then"), (1, 5, "user", "> thanks\n> oh well\nhm"), (1, 6, "user", "> unrelated\nwhy"), (1, 2, "bot", "unrelated")]
+    rows += [(2, 0, "user", "same words here"), (2, 0, "bot", "same words here"), (2, 0, "bot", "x\nsame words here"), (2, 1, "user", "> same words here\nyes")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, digest string").repartition(3)
+    got = chat.link_conversations(df)
+    by = {(r["conv_id"], r["turn"], r["content"]): r for r in got.collect()}
+    assert by[1, 2, "Hold the button"]["thread"] == 0 and by[1, 2, "unrelated"]["thread"] == 2 and by[1, 3, "thanks"]["thread"] == 0
+    assert by[1, 5, "hm"]["reply_to"] is None and by[1, 6, "why"]["reply_to"] == 2 and by[1, 6, "why"]["thread"] == 2
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+    same(got, con, chat.OP4_SQL)
+
+
 def test_repeats(spark):
     rng = random.Random(5)
     pool = ["".join(rng.choice("abcdé \n") for _ in range(rng.choice([49, 50, 51, 90, 1200]))) for _ in range(12)]
