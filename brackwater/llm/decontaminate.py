@@ -46,7 +46,7 @@ def hashed(w, i, k: int):
 
 
 def spelt(w, i, k: int):
-    return F.array_join(F.slice(w, i + 1, F.lit(k)), " ")
+    return F.concat_ws(" ", *(F.get(w, i + j) for j in range(k)))  # slice() would copy the whole array each time
 
 
 def allowance(n, threshold: float):
