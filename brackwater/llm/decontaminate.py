@@ -72,13 +72,13 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # five at most
     if not sizes:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_shared int, n_item int, containment double")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    body = F.xxhash64("text").alias("body")
-    seen = rows.select("doc_id", body, F.explode(runs(words(F.col("text")), sizes, hashed)).alias("hash"))
+    # the text's hash comes first: beside an explode it would be taken again for each shingle
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("body"))
+    seen = rows.select("doc_id", "body", F.explode(runs(words(F.col("text")), sizes, hashed)).alias("hash"))
     signatures = items.select("item", F.explode("signature").alias("hash"))
     candidates = stored(seen.join(signatures, "hash").select("doc_id", "body", "item").distinct(), "decontaminate-candidates")
     wanted = candidates.select(F.col("doc_id").alias("d"), F.col("body").alias("b")).distinct()
-    again = rows.withColumn("body", body).join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("body") == F.col("b")), "left_semi")
+    again = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("body") == F.col("b")), "left_semi")
     own = again.select("doc_id", "body", F.explode(runs(words(F.col("text")), sizes, spelt)).alias("shingle")).distinct()
     sought = items.select("item", F.explode("shingles").alias("shingle"))
     hits = own.join(sought, "shingle").groupBy("doc_id", "body", "item").agg(F.count("*").cast("int").alias("n_shared"))
