@@ -6,6 +6,6 @@ TYPES = {"bigint": T.LongType(), "int": T.IntegerType(), "string": T.StringType(
 
 
 def fields(text: str) -> T.StructType:
-    """``name type, name type``, of the plain types above."""
+    """``name type, name type``, of the plain types above; ``name!`` for a column that is never null."""
     pairs = (part.split() for part in text.split(","))
-    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in pairs])
+    return T.StructType([T.StructField(name.rstrip("!"), TYPES[kind], not name.endswith("!")) for name, kind in pairs])

@@ -25,6 +25,12 @@ def dim_campaign(campaigns: DataFrame) -> DataFrame:
     return campaigns.select(surrogate_key("csv", F.col("campaign_id")).alias("sk_campaign_id"), "campaign_id", "name", "channel", "start_date", "end_date")
 
 
+def dim_customer(versions: DataFrame) -> DataFrame:
+    """The customers' versions with the key that facts refer to them by."""
+    key = composite_key("postgres", F.col("customer_id"), F.date_format("valid_from", "yyyy-MM-dd HH:mm:ss"))
+    return versions.select(key.alias("sk_customer_id"), "customer_id", "full_name", "email", "segment", "address", "valid_from", "valid_to", "is_current")
+
+
 def fact_order_items(items: DataFrame, orders: DataFrame, products: DataFrame, customers: DataFrame) -> DataFrame:
     """Order lines with their order, their product and the customer's version at order time.
 

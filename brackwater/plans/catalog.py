@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brackwater.functions import contracts
+from brackwater.functions import contracts, text
 from brackwater.functions.keys import composite_key, surrogate_key
 from brackwater.operators import conform, ingest, marts, merge, quality, star
 from brackwater.plans.registry import register
@@ -306,7 +306,8 @@ def schema_contracts(spark, d):
         "clickstream": model.clickstream(spark, d),
     }
     whole = model.customers(spark, d).withColumn("captured_at", F.col("updated_at"))
-    checks = {n: (df, contracts.silver(n), contracts.key_of(n)) for n, df in {**drifted, "customers": whole}.items()}
+    tables = {**drifted, "customers": whole}
+    checks = {n: (df, contracts.contract(f"silver.{n}"), "event_id" if n == "clickstream" else contracts.key_of(f"silver.{n}")) for n, df in tables.items()}
     return quality.contract_report(checks)
 
 
@@ -385,7 +386,8 @@ CAMPAIGN_SQL = "camp AS (SELECT campaign_id, name, channel, spend, clicks, conve
 CLV_SQL = "clv AS (SELECT f.*, c.full_name, c.segment, round(total_spend / total_orders, 6) AS avg_order_value, (SELECT max(order_date)::DATE FROM m_orders) - last_order_date AS days_since_last_order FROM (SELECT customer_id, count(DISTINCT order_id) AS total_orders, sum(line_total)::DOUBLE AS total_spend, min(order_date)::DATE AS first_order_date, max(order_date)::DATE AS last_order_date FROM m_fact GROUP BY 1) f LEFT JOIN (SELECT * FROM m_dim_customer WHERE valid_to IS NULL) c USING (customer_id))"
 FUNNEL_SQL = "stages AS (SELECT ts::DATE AS activity_date, count(DISTINCT session_id) FILTER (event_type = 'page_view') AS page_view, count(DISTINCT session_id) FILTER (event_type = 'add_to_cart') AS add_to_cart, count(DISTINCT session_id) FILTER (event_type = 'checkout_start') AS checkout_start, count(DISTINCT session_id) FILTER (event_type = 'checkout_complete') AS checkout_complete FROM m_clicks WHERE event_type <> 'error' GROUP BY 1), funnel AS (SELECT *, CASE WHEN add_to_cart > 0 THEN round(checkout_start / add_to_cart, 6) END AS cart_to_checkout_rate, CASE WHEN checkout_start > 0 THEN round(checkout_complete / checkout_start, 6) END AS checkout_to_purchase_rate FROM stages)"
 ROAS_SQL = "ro AS (SELECT campaign_id, name, channel, start_date, end_date, spend, attributed_revenue, CASE WHEN spend > 0 THEN round(attributed_revenue / spend, 4) END AS roas FROM m_campaigns LEFT JOIN (SELECT campaign_id, sum(line_total)::DOUBLE AS attributed_revenue FROM m_fact WHERE campaign_id IS NOT NULL GROUP BY 1) USING (campaign_id))"
-SCORED_SQL = "scored AS (SELECT *, CASE WHEN body IS NOT NULL THEN coalesce(list_avg(list_transform(list_filter(string_split_regex(lower(body), '[^a-z]+'), lambda w: w IN ('bad', 'excellent', 'good', 'great', 'idiot', 'poor', 'stupid', 'trash', 'with', 'worthless')), lambda w: CASE WHEN w = 'with' THEN 0.25::DOUBLE WHEN w IN ('excellent', 'good', 'great') THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)), 0) END AS sentiment_score FROM m_reviews)"
+LEXICON_SQL = "lexicon AS (SELECT * FROM (VALUES " + ", ".join(f"('{w}', {p}::DOUBLE)" for w, p in text.lexicon()) + ") AS l(word, polarity))"
+SCORED_SQL = LEXICON_SQL + ", hits AS (SELECT review_id, sum(polarity) AS total, count(*) AS n FROM (SELECT review_id, unnest(string_split_regex(lower(body), '[^a-z]+')) AS word FROM m_reviews) JOIN lexicon USING (word) GROUP BY 1), scored AS (SELECT r.*, CASE WHEN body IS NOT NULL THEN coalesce(total / n, 0) END AS sentiment_score FROM m_reviews r LEFT JOIN hits USING (review_id))"
 
 
 @register(f", {DAILY_SQL} SELECT * FROM sales")

@@ -7,8 +7,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from brackwater.functions import contracts, text
 from brackwater.functions.schemas import fields
-from brackwater.functions.text import polarity
 from brackwater.operators import ingest, marts, merge, quality, star
 from brackwater.sources import readers, sinks
 from brackwater.streaming import streams
@@ -168,8 +168,13 @@ def test_zero_denominators(spark):
 
 
 def test_polarity(spark):
-    df = spark.createDataFrame([("Good, great!",), ("bad",), ("none",), (None,)], "t string")
-    assert [r[0] for r in df.select(polarity(F.col("t"))).collect()] == [1.0, -1.0, 0.0, None]
+    df = spark.createDataFrame([(1, "Good, great!"), (2, "bad"), (3, "none"), (4, None), (5, "good good AWFUL"), (6, "")], "review_id int, body string")
+    got = {r.review_id: r.sentiment_score for r in text.score(df).collect()}
+    assert got == {1: 0.625, 2: -0.75, 3: 0.0, 4: None, 5: 0.0, 6: 0.0}
+    own = spark.createDataFrame([("none", -1.0)], "word string, polarity double")
+    assert {r.review_id: r.sentiment_score for r in text.score(df, words=own).collect()}[3] == -1.0
+    words = [w for w, _ in text.lexicon()]
+    assert len(words) == len(set(words)) > 150
 
 
 def test_dim_date_of_three_years(spark):
@@ -240,13 +245,15 @@ def test_rules_by_layer(spark):
 
 
 def test_contracts_of_layers():
-    from brackwater.functions import contracts
-
-    own = contracts.silver("orders")
-    assert quality.schema_violations(contracts.quarantined(own), own) == []
-    assert quality.schema_violations(own, contracts.quarantined(own)) == ["missing:_quarantine_reason"]
-    assert contracts.landed(contracts.silver("campaigns")).fieldNames().count("ingested_at") == 1
-    assert {contracts.key_of(t) for t in ("orders", "products")} == {"order_id", "product_id"}
+    assert len(contracts.names()) == 40
+    own = contracts.contract("silver.orders")
+    assert quality.schema_violations(contracts.contract("quarantine.orders"), own) == []
+    assert quality.schema_violations(own, contracts.contract("quarantine.orders")) == ["missing:_quarantine_reason"]
+    assert contracts.contract("quarantine.customers")["updated_at"].dataType.simpleString() == "string"
+    assert {contracts.key_of(f"silver.{t}") for t in ("orders", "products")} == {"order_id", "product_id"}
+    assert contracts.key_of("gold.daily_sales") is None and contracts.key_of("quarantine.order_facts") == "order_id"
+    for name in contracts.names():
+        assert quality.schema_violations(contracts.contract(name), contracts.contract(name)) == []
 
 
 def test_contract_report(spark):
