@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/brackwater/{name}-{uuid.uuid4().hex}"
 
 
-_BLOCKS: list[list[str]] = []  # scratch tables of the blocks that are open
+#: Scratch tables of the blocks that are open in this thread of work.
+_BLOCKS: ContextVar[tuple[list[str], ...]] = ContextVar("blocks", default=())
+
+
+def _note(path: str) -> None:
+    if open_ := _BLOCKS.get():
+        open_[-1].append(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -42,8 +49,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     outlives any executor."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    if _BLOCKS:
-        _BLOCKS[-1].append(path)
+    _note(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -56,16 +62,17 @@ def discard(spark: SparkSession, *paths: str) -> None:
 
 def tidy(make: Callable[[], DataFrame], spark: SparkSession, name: str) -> DataFrame:
     """What ``make`` returns, stored; the scratch tables that it made on the way are deleted."""
-    _BLOCKS.append([])
+    own: list[str] = []
+    token = _BLOCKS.set((*_BLOCKS.get(), own))
     try:
         path = scratch_path(spark, name)
         df = make()
         df.write.parquet(path)
         schema = df.schema
     finally:
-        discard(spark, *_BLOCKS.pop())
-    if _BLOCKS:
-        _BLOCKS[-1].append(path)
+        _BLOCKS.reset(token)
+        discard(spark, *own)
+    _note(path)
     return spark.read.schema(schema).parquet(path)
 
 
