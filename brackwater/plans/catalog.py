@@ -20,10 +20,29 @@ def _dim(spark, d) -> DataFrame:
     return merge.scd2_merge(first, model.changed_customers(spark, d), "customer_id", TRACKED, "updated_at")
 
 
-def _fact(spark, d) -> DataFrame:
+def _made_fact(spark, d) -> DataFrame:
     return star.fact_order_items(model.order_items(spark, d), model.orders(spark, d), model.products(spark, d), _dim(spark, d))
 
 
+#: Where the fact of an input has been written, by application, input and its files.
+_FACTS: dict[tuple, str] = {}
+
+
+def _fact(spark, d) -> DataFrame:
+    """The gold fact as a table, written by the first mart that needs it and read by all: marts prune its columns.
+
+    The table belongs to the running application and to the input's files as they are named; other files
+    make another one.
+    """
+    made = _made_fact(spark, d)
+    key = (spark.sparkContext.applicationId, d, *sorted(made.inputFiles()))
+    if key not in _FACTS:
+        path = sinks.scratch(spark, "fact")
+        sinks.append(made, path)
+        _FACTS[key] = path
+    return spark.read.schema(made.schema).parquet(_FACTS[key])
+
+
 def _clicks(spark, d) -> DataFrame:
     return quality.in_domain(model.clickstream(spark, d), "event_type", conform.EVENT_TYPES, "invalid_event_type")[0]
 
@@ -368,7 +387,7 @@ def scd2_invariant(spark, d):
  sha256('postgres|' || product_id) AS sk_product_id, CASE WHEN campaign_id IS NOT NULL THEN sha256('csv|' || campaign_id) END AS sk_campaign_id, order_item_id, order_id, customer_id, order_date, strftime(order_date, '%Y%m%d')::INTEGER AS date_key,
  status, product_id, campaign_id, segment, quantity, unit_price, line_total::DOUBLE AS line_total FROM m_fact""")
 def fact_order_items(spark, d):
-    return _fact(spark, d).withColumn("line_total", F.col("line_total").cast("double"))
+    return _made_fact(spark, d).withColumn("line_total", F.col("line_total").cast("double"))
 
 
 @register("SELECT *, 'unknown_product' AS _quarantine_reason FROM m_noisy WHERE product_id IS NULL OR product_id NOT IN (SELECT product_id FROM m_products) UNION ALL SELECT *, 'unknown_order' FROM m_noisy WHERE order_id NOT IN (SELECT order_id FROM m_orders)")
