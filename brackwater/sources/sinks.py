@@ -142,6 +142,12 @@ def _statements(spark: SparkSession, url: str, driver: str, *statements: str) ->
         link.close()
 
 
+def swap_jdbc(df: DataFrame, url: str, driver: str, table: str) -> None:
+    """Makes and fills the staging table of ``table`` over JDBC, whatever it was before; ``serve_jdbc`` exchanges
+    tables that exist."""
+    df.write.mode("overwrite").jdbc(url, f"{table}_staging", properties={"driver": driver})
+
+
 def serve_jdbc(df: DataFrame, url: str, driver: str, table: str) -> None:
     """Replaces the rows that a database serves: fills ``table``_staging, then exchanges the two tables by
     renaming them in one transaction.
