@@ -10,7 +10,7 @@ and radius r holds inner products from q.c - |q| r to q.c + |q| r only.
 The queries are a stated set (every hundredth row, in chunks of some 2,048), against all rows in
 blocks. Positives come first: a best-first descent takes the node with the largest bound, verifies leaves
 exactly, and ends where no bound reaches the fifth best. Then each positive's score gives a window, and
-the descent skips nodes that lie above or below it. Blocks give at most five rows a query; the first
+one descent for all of an anchor's windows skips nodes that lie above or below them. Blocks give at most five rows a query; the first
 five of all blocks are taken by a window function.
 
 Defined results: rows with a null label or vector, or with a null or non-finite component, take no part;
@@ -166,30 +166,34 @@ class Search:
         slack = 1e-9 * (np.abs(middle) + norm * np.sqrt((centre**2).sum(axis=1))[None, :] + reach) + 1e-3
         self.high, self.low = middle + reach + slack, middle - reach - slack
 
-    def descend(self, i: int, allowed, low: float | None, high: float | None, seen: dict) -> list[tuple]:
-        """The first rows by score of a window, of those that ``allowed`` gives for a leaf's rows."""
-        bound, least, best = self.high[i], self.low[i], []  # best: a heap of (score, -id, -row), the worst first
-        queue = [(-bound[0], 0)]
-        while queue:
-            up, node = heapq.heappop(queue)
-            if low is not None and -up < low or len(best) == FIRST and -up < best[0][0]:
-                break
-            if high is not None and least[node] > high:
-                continue
+    def descend(self, i: int, allowed, windows: list[tuple[float, float]]) -> list[list[tuple]]:
+        """The first rows of each window (least and greatest score), of those that ``allowed`` gives for a leaf's rows.
+
+        One descent serves all windows of a query: it ends where no bound reaches what any of them lacks.
+        """
+        bound, least, top = self.high[i], self.low[i], max(high for _, high in windows)
+        best: list[list[tuple]] = [[] for _ in windows]  # heaps of (score, -id, -row), the worst first
+        lacks = lambda: min(heap[0][0] if len(heap) == FIRST else low for heap, (low, _) in zip(best, windows, strict=True))
+        queue, need = [(-bound[0], 0)], lacks()
+        self.verified = 0
+        while queue and -queue[0][0] >= need:
+            _, node = heapq.heappop(queue)
             a, z = self.tree.run[node]
             if z > a:
-                if node not in seen:
-                    seen[node] = products(self.x[a:z], self.queries[i])
-                score = seen[node]
-                fits = allowed(a, z) & (score >= max(x for x in (low, best[0][0] if len(best) == FIRST else None, -np.inf) if x is not None))
-                for k in np.flatnonzero(fits if high is None else fits & (score <= high)):
+                self.verified += 1
+                score = products(self.x[a:z], self.queries[i])
+                for k in np.flatnonzero((score >= need) & (score <= top) & allowed(a, z)):
                     item = (score[k], -int(self.tree.vec_id[a + k]), -int(self.tree.row[a + k]))
-                    if len(best) < FIRST:
-                        heapq.heappush(best, item)
-                    elif item > best[0]:
-                        heapq.heapreplace(best, item)
+                    for heap, (low, high) in zip(best, windows, strict=True):
+                        if low <= item[0] <= high:
+                            if len(heap) < FIRST:
+                                heapq.heappush(heap, item)
+                            elif item > heap[0]:
+                                heapq.heapreplace(heap, item)
+                need = lacks()
             for child in self.below[node]:
-                heapq.heappush(queue, (-bound[child], child))
+                if bound[child] >= need and least[child] <= top:
+                    heapq.heappush(queue, (-bound[child], child))
         return best
 
 
@@ -231,7 +235,7 @@ def positives_of(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         search = Search(tree, matrix(left["vector"].tolist()))
         for i, (row, label) in enumerate(zip(left["row"], left["label"], strict=True)):
             own = lambda a, z, label=label, row=row: (tree.label[a:z] == label) & (tree.row[a:z] != row)
-            found += [(row, clipped(s), -v, -r) for s, v, r in search.descend(i, own, None, None, {})]
+            found += [(row, clipped(s), -v, -r) for s, v, r in search.descend(i, own, [(-np.inf, np.inf)])[0]]
     return pd.DataFrame(found, columns=["row", "score", "other_id", "other"])
 
 
@@ -243,9 +247,10 @@ def negatives_of(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         search = Search(tree, matrix(left["vector"].tolist()))
         for i, (row, label, scores) in enumerate(zip(left["row"], left["label"], left["scores"], strict=True)):
             other = lambda a, z, label=label: tree.label[a:z] != label
-            seen: dict = {}
-            for score in sorted({int(s) for s in scores if s >= 0}):
-                found += [(row, score, clipped(s), -v, -r) for s, v, r in search.descend(i, other, -(-80 * score // 100), score, seen)]
+            scores = sorted({int(s) for s in scores if s >= 0})
+            if scores:
+                for score, best in zip(scores, search.descend(i, other, [(-(-80 * s // 100), s) for s in scores]), strict=True):
+                    found += [(row, score, clipped(s), -v, -r) for s, v, r in best]
     return pd.DataFrame(found, columns=["row", "window", "score", "other_id", "other"])
 
 

@@ -83,10 +83,9 @@ def test_descent_skips_nodes():
     x = np.floor(256 * (centres[rng.integers(40, size=4000)] + 0.05 * rng.normal(size=(4000, 4))))
     search = negatives.Search(negatives.Tree(np.arange(4000), np.arange(4000), np.zeros(4000, np.int64), x), x[:10])
     for i in range(10):
-        seen = {}
-        best = search.descend(i, lambda a, z: np.ones(z - a, bool), None, None, seen)
+        best = search.descend(i, lambda a, z: np.ones(z - a, bool), [(-np.inf, np.inf)])[0]
         assert sorted((int(b[0]) for b in best), reverse=True) == sorted((x @ x[i]).astype(int).tolist(), reverse=True)[:5]
-        assert len(seen) < 0.5 * (np.diff(search.tree.run) > 0).sum()
+        assert search.verified < 0.5 * (np.diff(search.tree.run) > 0).sum()
 
 
 def test_empty_and_given(spark, sf_dir, duck):
