@@ -29,14 +29,13 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brackwater.llm.common import by_bytes, stored, table, tidy
+from brackwater.llm.common import by_bytes, kept, stored, table, tidy
 
 #: A pair's key is its A id times this and its B id; both vocabularies are smaller than 2^16.
 SHIFT = 1 << 16
@@ -210,9 +209,9 @@ class Aligner:
         return sums, digests, key // (SHIFT * SHIFT + SHIFT), key % (SHIFT * SHIFT + SHIFT) + low, times
 
 
-@lru_cache(maxsize=1)
 def aligner(a: str, b: str) -> Aligner:
-    return Aligner(Vocabularies(a, b))
+    """One aligner for all tasks of a Python worker."""
+    return kept(f"aligner:{a}:{b}", lambda: Aligner(Vocabularies(a, b)))
 
 
 def _lists(n: int, of: np.ndarray, values: np.ndarray, kind) -> pa.ListArray:

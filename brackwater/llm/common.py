@@ -53,6 +53,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]):
+    """What ``make`` gives, once in a Python worker for as long as no other name is asked for: a worker that goes
+    on to another operator's tasks doesn't hold on to what the one before remembered."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def forget() -> None:
+    """A worker's first task of an operator that remembers nothing lets go of what others have kept."""
+    _KEPT.clear()
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Deletes scratch tables, wherever the shared folder is."""
     for path in paths:

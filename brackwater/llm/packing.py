@@ -24,7 +24,6 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -33,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brackwater.llm.common import by_bytes, partitions, stored, table
+from brackwater.llm.common import by_bytes, kept, partitions, stored, table
 
 WINDOW = 4096
 GRID = 8
@@ -113,7 +112,7 @@ class WordCoder:
     comma after a letter is a word of its own. Words of letters go straight to the merges; all
     others, and texts with special tokens, through the tokenizer."""
 
-    LIMIT = 500_000
+    LIMIT = 250_000
 
     def __init__(self, vocabulary: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -200,10 +199,9 @@ class WordCoder:
         return out, ends[np.cumsum(counts + 1) - 1]
 
 
-@lru_cache(maxsize=1)
 def coder(vocabulary: str, end_id: int) -> WordCoder:
     """One coder for all tasks of a Python worker."""
-    return WordCoder(vocabulary, end_id)
+    return kept(f"coder:{vocabulary}:{end_id}", lambda: WordCoder(vocabulary, end_id))
 
 
 def token_rows(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brackwater.llm.common import by_bytes, stored, table
+from brackwater.llm.common import by_bytes, kept, stored, table
 
 BITS = 18
 SAMPLE = 3000
@@ -304,10 +304,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict[int, f
     return voted, good, fit(sample_features(chosen), good)
 
 
-@lru_cache(maxsize=1)
 def known_words(model: str) -> dict[str, float]:
     """The sums of words' weights that a Python worker has met, for one model."""
-    return {}
+    return kept(f"words:{model}", dict)
 
 
 def with_quality(docs: DataFrame, scorer: tuple[np.ndarray, float], column: str = "quality_score") -> DataFrame:
@@ -321,7 +320,7 @@ def with_quality(docs: DataFrame, scorer: tuple[np.ndarray, float], column: str
         weights, offset = held.value
         listed, known = weights.tolist(), known_words(name)
         for batch in (s for b in batches for s in by_bytes(b, place)):
-            if len(known) > 400_000:
+            if len(known) > 200_000:
                 known.clear()
             m = Measured(batch.column(place))
             words = m.kinds.to_numpy(zero_copy_only=False).tolist()

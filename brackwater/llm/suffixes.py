@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brackwater.llm.common import fresh, partitions, table
+from brackwater.llm.common import forget, fresh, partitions, table
 
 LENGTH = 50
 GRAM = 32
@@ -350,6 +350,7 @@ class Plan:
 def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(chunk, h, doc, text) without the texts that the task has sent already; a copy is sent,
     without its text, where its doc is smaller than those before."""
+    forget()
     seen: dict[bytes, int] = {}
     for batch in batches:
         new, lower = [], []
