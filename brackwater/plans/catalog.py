@@ -445,7 +445,7 @@ def product_sentiment(spark, d):
 
 
 def _clv(spark, d):
-    as_of = F.lit(model.orders(spark, d).agg(F.to_date(F.max("order_date"))).first()[0])
+    as_of = model.orders(spark, d).agg(F.to_date(F.max("order_date"))).scalar()
     return marts.customer_clv(_fact(spark, d), _dim(spark, d).filter("is_current"), as_of)
 
 
@@ -500,7 +500,7 @@ def v_campaigns_by_spend(spark, d):
 @register("SELECT date_trunc('minute', ts) AS window_start, count(*) AS events, count(DISTINCT session_id) AS sessions, count(*) FILTER (event_type = 'checkout_complete') AS completions FROM m_clicks WHERE ts >= (SELECT max(ts) - INTERVAL 2 HOUR FROM m_clicks) GROUP BY 1")
 def v_live_pulse(spark, d):
     clicks = model.clickstream(spark, d)
-    recent = clicks.filter(F.col("ts") >= F.lit(clicks.agg(F.max("ts")).first()[0]).cast("timestamp_ntz") - F.expr("INTERVAL 2 HOURS"))
+    recent = clicks.filter(F.col("ts") >= clicks.agg(F.max("ts")).scalar() - F.expr("INTERVAL 2 HOURS"))
     live = streams.live_activity(recent.withColumn("ts", F.col("ts").cast("timestamp")), exact=True)
     return live.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "events", "sessions", "completions")
 
@@ -559,19 +559,19 @@ def _minutes(spark, d):
 @register("SELECT count(*)::BIGINT AS orders FROM m_orders WHERE order_date > (SELECT max(order_date) - INTERVAL 5 MINUTE FROM m_orders)")
 def v_orders_last_5_minutes(spark, d):
     orders = model.orders(spark, d)
-    last = F.lit(orders.agg(F.max("order_date")).first()[0]).cast("timestamp_ntz")
+    last = orders.agg(F.max("order_date")).scalar()
     return streams.merged(_minutes(spark, d).filter(F.col("minute") > last - F.expr("INTERVAL 5 MINUTES")), []).select(F.coalesce("orders", F.lit(0)).alias("orders"))
 
 
 @register("SELECT date_trunc('minute', order_date) AS minute, count(*) AS orders FROM m_orders WHERE order_date >= (SELECT max(order_date) - INTERVAL 2 HOUR FROM m_orders) GROUP BY 1")
 def v_order_velocity(spark, d):
-    last = F.lit(model.orders(spark, d).agg(F.max("order_date")).first()[0]).cast("timestamp_ntz")
+    last = model.orders(spark, d).agg(F.max("order_date")).scalar()
     return _minutes(spark, d).filter(F.col("minute") >= last - F.expr("INTERVAL 2 HOURS"))
 
 
 @register("SELECT count(*) * 55.5::DOUBLE AS estimated_revenue FROM m_orders WHERE order_date >= (SELECT max(order_date) - INTERVAL 1 HOUR FROM m_orders)")
 def v_revenue_last_hour(spark, d):
-    last = F.lit(model.orders(spark, d).agg(F.max("order_date")).first()[0]).cast("timestamp_ntz")
+    last = model.orders(spark, d).agg(F.max("order_date")).scalar()
     return streams.revenue_estimate(_minutes(spark, d).filter(F.col("minute") >= last - F.expr("INTERVAL 1 HOUR"))).agg(F.sum("estimated_revenue").alias("estimated_revenue"))
 
 
@@ -581,7 +581,7 @@ CURRENT = lambda spark, d: streams.current_orders(conform.payloads(_log(spark, d
 
 @register(f", {CURRENT_SQL} SELECT order_id, customer_id, order_date, date_diff('second', order_date, (SELECT max(updated_at) FROM m_log)) // 60 AS minutes_stale FROM cur WHERE status = 'placed' AND order_date < (SELECT max(updated_at) - INTERVAL 30 MINUTE FROM m_log) ORDER BY order_date, order_id LIMIT 20")
 def v_stale_orders(spark, d):
-    now = F.lit(model.change_log(spark, d).agg(F.max("updated_at")).first()[0]).cast("timestamp_ntz")
+    now = model.change_log(spark, d).agg(F.max("updated_at")).scalar()
     stale = CURRENT(spark, d).filter("status = 'placed'").filter(F.col("order_date") < now - F.expr("INTERVAL 30 MINUTES")).withColumn("now", now)
     return stale.select("order_id", "customer_id", "order_date", F.expr("timestampdiff(MINUTE, order_date, now)").alias("minutes_stale")).orderBy("order_date", "order_id").limit(20)
 
@@ -589,7 +589,7 @@ def v_stale_orders(spark, d):
 @register("SELECT (SELECT count(*) FROM m_orders WHERE order_date::DATE = (SELECT max(order_date)::DATE - 1 FROM m_orders)) AS yesterday_orders, (SELECT 24 * count(*) FROM m_orders WHERE order_date >= (SELECT max(order_date) - INTERVAL 1 HOUR FROM m_orders)) AS run_rate")
 def v_run_rate(spark, d):
     orders = model.orders(spark, d)
-    last = F.lit(orders.agg(F.max("order_date")).first()[0]).cast("timestamp_ntz")
+    last = orders.agg(F.max("order_date")).scalar()
     return orders.agg(F.count_if(F.to_date("order_date") == F.date_sub(F.to_date(last), 1)).alias("yesterday_orders"), (F.count_if(F.col("order_date") >= last - F.expr("INTERVAL 1 HOUR")) * 24).alias("run_rate"))
 
 
@@ -767,4 +767,4 @@ def scd2_valid_time(spark, d):
 @register("SELECT event_id, ts FROM m_clicks WHERE ts >= (SELECT max(ts) - INTERVAL 7 DAY FROM m_clicks)")
 def retention(spark, d):
     clicks = model.clickstream(spark, d).select("event_id", "ts")
-    return streams.retained(clicks, "ts", F.lit(clicks.agg(F.max("ts")).first()[0]).cast("timestamp_ntz"), 7)
+    return streams.retained(clicks, "ts", clicks.agg(F.max("ts")).scalar(), 7)

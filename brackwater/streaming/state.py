@@ -7,7 +7,6 @@ from datetime import timedelta, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -81,16 +80,18 @@ def current_orders(changes: DataFrame, late: str = "1 day", days: int = DAYS) ->
     return rows.groupBy("order_id").transformWithStateInPandas(CurrentOrder(days), f"{ORDER}, live boolean", "Update", "EventTime")
 
 
-def on_rocks(spark, run):
-    """``run()`` with states in the RocksDB store, which keeps them on disk and not in the heap."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
+def on_rocks(spark, run, partitions: int | None = None):
+    """``run()`` with states in the RocksDB store, which keeps them on disk and not in the heap.
+
+    The number of state partitions is fixed when a query first starts; ``partitions`` sets it apart from the
+    session's shuffles.
+    """
+    wanted = {PROVIDER: ROCKS} | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         return run()
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
-
-
-def expired_by(df: DataFrame, now, days: int = DAYS) -> DataFrame:
-    """The batch form: rows of ``df`` whose order_date isn't ``days`` behind ``now``."""
-    return df.filter(F.col("order_date") + F.expr(f"INTERVAL {days} DAYS") > now)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
