@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import threading
+import time
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -105,7 +105,8 @@ class _Dropped(StreamingQueryListener):
     """Adds up the rows that stateful operators of one query dropped as too late."""
 
     def __init__(self):
-        self.rows, self.run, self.ended = {}, None, threading.Event()
+        self.rows: dict[str, int] = {}
+        self.ended: dict[str, bool] = {}
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -118,8 +119,14 @@ class _Dropped(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:
-        if str(event.runId) == self.run or self.run is None:
-            self.ended.set()
+        self.ended[str(event.runId)] = True
+
+    def count(self, run: str, patience: float = 60.0) -> int:
+        """The rows that a run which has ended dropped; its events come in order, but some time after it."""
+        until = time.monotonic() + patience
+        while run not in self.ended and time.monotonic() < until:
+            time.sleep(0.05)
+        return self.rows.get(run, 0)
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", available: bool = True, every: str = "30 seconds", options: dict | None = None) -> int:
@@ -130,15 +137,10 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     try:
         writer = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).options(**(options or {}))
         query = (writer.trigger(availableNow=True) if available else writer.trigger(processingTime=every)).start(path)
-        listener.run = str(query.runId)
         query.awaitTermination()
-        # events come in order, the end last; this query's end may have come before its run was known
-        while not listener.ended.wait(0.5) and listener.run not in listener.rows:
-            pass
-        listener.ended.wait(30)
+        return listener.count(str(query.runId))
     finally:
         streams.removeListener(listener)
-    return listener.rows.get(listener.run, 0)
 
 
 def run_merges(stream: DataFrame, store: BucketStore, checkpoint: str, combine, mode: str = "update", prepare=None) -> DataFrame:
