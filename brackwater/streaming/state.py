@@ -3,67 +3,66 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import timedelta, timezone
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ORDER = "order_id long, status string, customer_id long, order_date timestamp, captured_at timestamp"
+#: What a state holds; times are microseconds since 1970, which no time zone of a worker changes.
+HELD = "status string, customer_id long, order_date long, captured_at long"
 DAYS = 30
 
 
-def millis(at) -> int:
-    return int(pd.Timestamp(at).tz_localize(timezone.utc).timestamp() * 1000) if at.tzinfo is None else int(at.timestamp() * 1000)
-
-
 class CurrentOrder(StatefulProcessor):
     """Holds the row with the latest capture of an order, and lets it go some days after the order's date.
 
     The clock is the watermark, not the machine's: an order whose date lies ``days`` behind it is
     emitted once more with live false, and its state is cleared. A change of an order that is too old
-    already opens no state.
+    already opens no state. Of captures at one time the greater status counts.
     """
 
     FIELDS = ("status", "customer_id", "order_date", "captured_at")
 
     def __init__(self, days: int = DAYS):
-        self.span = timedelta(days=days)
+        self.span = days * 86_400_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.current = handle.getValueState("current", "status string, customer_id long, order_date timestamp, captured_at timestamp")
+        self.current = handle.getValueState("current", HELD)
+
+    def _ends(self, row: tuple) -> int:
+        return (row[2] + self.span) // 1000
 
-    def _frame(self, key, row, live: bool) -> pd.DataFrame:
-        return pd.DataFrame({"order_id": [key[0]], **{f: [v] for f, v in zip(self.FIELDS, row, strict=True)}, "live": [live]})
+    def _row(self, key, row: tuple, live: bool) -> Row:
+        return Row("order_id", *self.FIELDS, "live")(key[0], *row, live)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held = self.current.get()
-        best = before = tuple(held) if held is not None else None
-        rank = lambda r: (millis(r[3]), r[0] or "")
-        for batch in rows:
-            for r in batch[list(self.FIELDS)].itertuples(index=False):
-                row = (r.status, None if pd.isna(r.customer_id) else int(r.customer_id), r.order_date.to_pydatetime(), r.captured_at.to_pydatetime())
-                best = row if best is None or rank(row) > rank(best) else best
-        ends, set_for = millis(best[2] + self.span), None if before is None else millis(before[2] + self.span)
+        before = tuple(held) if held is not None else None
+        arrived = (tuple(r[f] for f in self.FIELDS) for r in rows)
+        best = max((r for r in (before, *arrived) if r is not None), key=lambda r: (r[3], r[0] or ""))
+        ends, set_for = self._ends(best), None if before is None else self._ends(before)
         if set_for is not None and set_for != ends:
             self.handle.deleteTimer(set_for)
         if ends <= timerValues.getCurrentWatermarkInMs():
-            self.current.clear()
-            yield self._frame(key, best, False)
+            if before is not None:
+                self.current.clear()
+            yield self._row(key, best, False)
             return
         if set_for != ends:
             self.handle.registerTimer(ends)
-        self.current.update(best)
-        yield self._frame(key, best, True)
+        if best != before:
+            self.current.update(best)
+        yield self._row(key, best, True)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         held = self.current.get()
         self.current.clear()
         if held is not None:
-            yield self._frame(key, tuple(held), False)
+            yield self._row(key, tuple(held), False)
 
     def close(self) -> None:
         pass
@@ -75,9 +74,12 @@ def current_orders(changes: DataFrame, late: str = "1 day", days: int = DAYS) ->
     ``changes`` has ORDER's columns; orders without a positive id, a date or a capture are left out. Changes that
     come later than ``late`` behind the newest are dropped.
     """
+    times = ("order_date", "captured_at")
     rows = changes.filter("order_id > 0 and order_date is not null and captured_at is not null").withWatermark("captured_at", late)
-    rows = rows.select("order_id", "status", "customer_id", "order_date", "captured_at")
-    return rows.groupBy("order_id").transformWithStateInPandas(CurrentOrder(days), f"{ORDER}, live boolean", "Update", "EventTime")
+    micros = [F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in times]
+    rows = rows.select("order_id", "status", "customer_id", *micros)
+    held = rows.groupBy("order_id").transformWithState(CurrentOrder(days), f"order_id long, {HELD}, live boolean", "Update", "EventTime")
+    return held.withColumns({c: F.timestamp_micros(c) for c in times})
 
 
 def on_rocks(spark, run, partitions: int | None = None):
