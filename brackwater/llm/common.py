@@ -70,6 +70,11 @@ def forget() -> None:
     _KEPT.clear()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Deletes scratch tables, wherever the shared folder is."""
     for path in paths:

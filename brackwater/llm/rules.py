@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brackwater.llm.common import stored, table
+from brackwater.llm.common import exists, scratch_path, table
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -133,26 +133,42 @@ def ablations(entries: DataFrame, version: int) -> DataFrame:
     )
 
 
-def stored_ledger(docs: DataFrame) -> DataFrame:
-    """The ledger as a table in the shared folder: policies and ablations read it, and never a text."""
-    return stored(ledger(docs), "rules-ledger")
+#: Where the last ledger of an input has been written, by application, input and its files.
+_LEDGERS: dict[tuple, str] = {}
+
+
+def stored_ledger(spark, sf_dir: str, anew: bool = False) -> DataFrame:
+    """The documents' ledger as a table in the shared folder: verdicts, policies and ablations read it, and never
+    a text.
+
+    With ``anew`` the rules are evaluated and the ledger written; without, the last one that this application
+    wrote of the same files is read, if it is still there.
+    """
+    docs = table(spark, sf_dir, "documents")
+    entries = ledger(docs)
+    key = (spark.sparkContext.applicationId, sf_dir, *sorted(docs.inputFiles()))
+    if anew or key not in _LEDGERS or not exists(spark, _LEDGERS[key]):
+        path = scratch_path(spark, "rules-ledger")
+        entries.write.parquet(path)
+        _LEDGERS[key] = path
+    return spark.read.schema(entries.schema).parquet(_LEDGERS[key])
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
-    entries = apply_policy(stored_ledger(table(spark, sf_dir, "documents")), version=2)
+    entries = apply_policy(stored_ledger(spark, sf_dir, anew=True), version=2)
     failed = F.col("failure_bits").bitwiseAND(F.lit(mask(1))) != 0
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "failure_bits", "policy")
 
 
 def rules_policies(spark, sf_dir: str) -> DataFrame:
     """Every document's verdict by each version of the policy, from one ledger."""
-    entries = stored_ledger(table(spark, sf_dir, "documents"))
+    entries = stored_ledger(spark, sf_dir)
     return reduce(DataFrame.unionByName, [apply_policy(entries, v) for v in POLICIES]).select("doc_id", "policy", "kept")
 
 
 def rules_ablations(spark, sf_dir: str) -> DataFrame:
     """What each version of the policy keeps, with and without each of its rules, from one ledger."""
-    entries = stored_ledger(table(spark, sf_dir, "documents"))
+    entries = stored_ledger(spark, sf_dir)
     return reduce(DataFrame.unionByName, [ablations(entries, v).withColumn("policy", F.lit(v)) for v in POLICIES])
 
 

@@ -8,7 +8,8 @@ response; the others are revisits that refer to it and hold headers only.
 
 Archives are files in a folder that all executors share. A task writes its rows in the order of
 their page_id, in files of a bounded size, under a name that is final only when the file is
-whole, so a task that runs again replaces its own files with the same bytes.
+whole, so a task that runs again replaces its own files with the same bytes. Reading takes bounded
+memory for any length of archive and payload; writing holds one page and one file's packed bytes.
 
 Defined results: a null html is an empty payload; a null url is written as an empty target; equal
 rows are written each, and all rows that share the winning page_id and payload are responses;
@@ -32,6 +33,10 @@ from brackwater.llm.common import scratch_path, table
 
 LEAST = 1000
 FILE_BYTES = 64 << 20
+CHUNK = 1 << 16
+#: More bytes of headers than a record may have. A target is as long as its page's url.
+HEAD_BYTES = 64 << 20
+ROWS = 2048
 DATE = "2024-01-01T00:00:00Z"
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -40,8 +45,12 @@ class DigestError(ValueError):
     """A record's bytes don't give the digest that its header names."""
 
 
+def tagged(sha) -> str:
+    return "sha1:" + base64.b32encode(sha.digest()).decode()
+
+
 def digest(data: bytes) -> str:
-    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    return tagged(hashlib.sha1(data))
 
 
 def urn(page_id: int | None) -> str:
@@ -68,45 +77,116 @@ def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None,
     return squeeze.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + squeeze.flush()
 
 
-def members(stream, chunk: int = 1 << 16) -> Iterator[bytes]:
-    """The inflated gzip members of a stream, one after the other; the stream is read in chunks."""
-    rest = b""
-    while rest or (rest := stream.read(chunk)):
-        inflate, parts = zlib.decompressobj(31), []
-        while not inflate.eof:
-            if not rest and not (rest := stream.read(chunk)):
+class Member:
+    """One gzip member, inflated as far as it is asked for: never more than some ``chunk`` bytes ahead."""
+
+    def __init__(self, source: Source, chunk: int):
+        self.source, self.chunk, self.inflate, self.ready = source, chunk, zlib.decompressobj(31), bytearray()
+
+    def _more(self) -> bool:
+        """Inflates the next bytes; false at the member's end."""
+        while not self.inflate.eof:
+            packed = self.inflate.unconsumed_tail or self.source.take()
+            if not packed:
                 raise EOFError("the archive ends inside a record")
-            parts.append(inflate.decompress(rest))
-            rest = inflate.unused_data
-        yield b"".join(parts)
+            out = self.inflate.decompress(packed, self.chunk)
+            if out:
+                self.ready += out
+                return True
+        return False
+
+    def until(self, mark: bytes, most: int) -> bytes:
+        """The bytes before ``mark``, which is skipped; a ValueError where it doesn't come within ``most`` bytes."""
+        seen = 0
+        while (at := self.ready.find(mark, seen)) < 0:
+            seen = max(0, len(self.ready) - len(mark) + 1)
+            if len(self.ready) > most or not self._more():
+                raise ValueError(f"no end of headers: {bytes(self.ready[:40])!r}")
+        head = bytes(self.ready[:at])
+        del self.ready[: at + len(mark)]
+        return head
+
+    def pieces(self, size: int) -> Iterator[bytes]:
+        """The next ``size`` bytes, piece by piece; fewer where the member ends before."""
+        while size and (self.ready or self._more()):
+            piece = bytes(self.ready[:size])
+            del self.ready[:size]
+            size -= len(piece)
+            yield piece
+
+    def rest(self) -> bytes:
+        """What is left of the member, a few bytes at most; what follows it goes back to the source."""
+        while len(self.ready) <= 4 and self._more():
+            pass
+        if self.inflate.eof:
+            self.source.give_back(self.inflate.unused_data)
+        return bytes(self.ready)
+
+
+class Source:
+    """A stream read in chunks, of which the last can be given back in part."""
+
+    def __init__(self, stream, chunk: int):
+        self.stream, self.chunk, self.left = stream, chunk, b""
+
+    def take(self) -> bytes:
+        got, self.left = self.left or self.stream.read(self.chunk), b""
+        return got
+
+    def give_back(self, data: bytes) -> None:
+        self.left = data
+
+
+def members(stream, chunk: int = CHUNK) -> Iterator[Member]:
+    """The gzip members of a stream, one after the other; each is to be read to its end before the next."""
+    source = Source(stream, chunk)
+    while first := source.take():
+        source.give_back(first)
+        yield Member(source, chunk)
 
 
 def headers(data: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in data.decode("utf-8", "replace").split("\r\n"))}
 
 
-def read_archive(stream) -> Iterator[tuple]:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to, payload) of each record."""
-    for data in members(stream):
-        head, _, rest = data.partition(b"\r\n\r\n")
+def read_archive(stream, keep: bool = True) -> Iterator[tuple]:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, payload) of each record.
+
+    A record's block goes by in pieces that both digests take up; only with ``keep`` are they held, else the
+    payload is None and a record of any length takes bounded memory.
+    """
+    for member in members(stream):
+        head = member.until(b"\r\n\r\n", HEAD_BYTES)
         version, _, lines = head.partition(b"\r\n")
         if not version.startswith(b"WARC/"):
             raise ValueError(f"no WARC record: {version[:40]!r}")
         h = headers(lines)
         size = int(h["content-length"])
-        block = rest[:size]
-        if len(block) != size or rest[size:] != b"\r\n\r\n":
+        whole, own, http, parts, came = hashlib.sha1(), hashlib.sha1(), b"", [], 0
+        inside = False  # past the block's own headers
+        for piece in member.pieces(size):
+            came += len(piece)
+            whole.update(piece)
+            if not inside:
+                http += piece
+                http, mark, piece = http.partition(b"\r\n\r\n")
+                inside = bool(mark)
+                if not inside:
+                    if len(http) > HEAD_BYTES:
+                        raise ValueError(f"{h['warc-record-id']}: no end of headers")
+                    continue
+            own.update(piece)
+            if keep:
+                parts.append(piece)
+        if came != size or member.rest() != b"\r\n\r\n":
             raise ValueError(f"{h['warc-record-id']}: the block is not framed by its Content-Length")
-        if digest(block) != h["warc-block-digest"]:
-            raise DigestError(h["warc-record-id"])
-        http, _, payload = block.partition(b"\r\n\r\n")
         kind = h["warc-type"]
-        if kind == "response" and digest(payload) != h["warc-payload-digest"]:
+        if tagged(whole) != h["warc-block-digest"] or kind == "response" and tagged(own) != h["warc-payload-digest"]:
             raise DigestError(h["warc-record-id"])
         numbers = [h.get(k, "<urn:page:>")[10:-1] for k in ("warc-record-id", "warc-refers-to")]
         page_id, refers_to = (int(x) if x else None for x in numbers)
         full = int(headers(http.partition(b"\r\n")[2])["content-length"])
-        yield page_id, full, base64.b32decode(h["warc-payload-digest"][5:]).hex(), kind, refers_to, payload
+        yield page_id, full, base64.b32decode(h["warc-payload-digest"][5:]).hex(), kind, refers_to, b"".join(parts) if keep else None
 
 
 def planned(pages: DataFrame, least: int = LEAST) -> DataFrame:
@@ -159,18 +239,34 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, file_bytes
 
 
 def read_archives(spark, folder: str) -> DataFrame:
-    """The records of all archives in ``folder``, as ``READ`` columns; archives are read in parallel."""
+    """The records of all archives in ``folder``, as ``READ`` columns. Archives are read in parallel, each from its
+    start to its end through an open stream; no archive and no payload is held whole.
+
+    The driver lists nothing: Spark's file source deals the archives' names and lengths to the tasks.
+    """
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+
+    def frame(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in READ.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for content in batch.column(0):
-                found = [r[:5] for r in read_archive(io.BytesIO(content.as_buffer()))]
-                cols = list(zip(*found, strict=True)) if found else [[]] * 5
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [c.split()[0] for c in READ.split(", ")])
+            for path in batch.column(0).to_pylist():
+                with store.open_input_stream(f"{root}/{path.rsplit('/', 1)[1]}", compression=None) as stream:
+                    rows: list[tuple] = []
+                    for found in read_archive(stream, keep=False):
+                        rows.append(found[:5])
+                        if len(rows) == ROWS:
+                            yield frame(rows)
+                            rows = []
+                    if rows:
+                        yield frame(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-    return files.select("content").mapInArrow(run, READ)
+    return files.select("path").mapInArrow(run, READ)
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from conftest import SMALL, same
 
-from brackwater.llm import chat, decontaminate, packing, quality, queries, rules, sharding, simhash, suffixes, toxicity, warc
+from brackwater.llm import chat, common, decontaminate, packing, quality, queries, rules, sharding, simhash, suffixes, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, part string, row string, h string, chunk string"
 LONG = "passage of words that is repeated in several documents and is longer than fifty bytes in all "
@@ -239,6 +239,17 @@ def test_packing_nnls_is_the_least_squares_solution():
         assert slope.max() < 1e-4 * h.max() and np.abs(slope[x > 0]).max() < 1e-4 * h.max()
 
 
+def test_rules_share_one_ledger(spark):
+    """Policies and ablations read the ledger that op7 wrote; one that has gone is written again."""
+    sf = "/root/testdata/sf0.001"
+    first = rules.op7_quality_rules(spark, sf).inputFiles()
+    other = rules.stored_ledger(spark, sf)
+    assert sorted(rules.rules_policies(spark, sf).inputFiles()) == sorted(other.inputFiles()) == sorted(first)
+    common.discard(spark, first[0].rsplit("/", 1)[0])
+    assert rules.rules_ablations(spark, sf).count() == 9
+    assert rules.op7_quality_rules(spark, sf).inputFiles() != rules.stored_ledger(spark, sf, anew=True).inputFiles()
+
+
 # --- warc
 
 
@@ -265,6 +276,35 @@ def test_warc_reader_finds_damage():
         list(warc.read_archive(io.BytesIO(c.compress(broken) + c.flush())))
 
 
+def test_warc_reader_holds_no_payload():
+    """A 96 MB payload goes by in pieces; reads of any size, down to one byte, frame the same records."""
+    import tracemalloc
+
+    sizes = [0, 3, 96 << 20, 1 << 16, 70_001, 5]
+    data = b"".join(warc.record(i, "u" * (200_000 if i == 3 else 1), b"ab\r\n\r\n"[: n] * (n // 6) + b"z" * (n % 6), None, False) for i, n in enumerate(sizes))
+    tracemalloc.start()
+    got = [r[:2] for r in warc.read_archive(io.BytesIO(data), keep=False)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(i, n // 6 * len(b"ab\r\n\r\n"[:n]) + n % 6) for i, n in enumerate(sizes)]
+    assert peak < len(data) + (4 << 20)
+
+    class Slow(io.BytesIO):
+        def read(self, size=-1):
+            return super().read(1)
+
+    small = b"".join(warc.record(i, "u", b"\r\n\r\n" * i, None, False) for i in range(20))
+    assert [(r[0], r[5]) for r in warc.read_archive(Slow(small))] == [(i, b"\r\n\r\n" * i) for i in range(20)]
+
+
+def test_warc_reader_frames_by_length():
+    whole = zlib.decompress(warc.record(1, "u", b"hello", None, False), 31)
+    for wrong in (whole[:-4], whole + b"\r\n", whole.replace(b"WARC/1.1", b"WORC/1.1"), whole.replace(b"\r\n\r\n", b"\r\n")):
+        c = zlib.compressobj(wbits=31)
+        with pytest.raises(ValueError):
+            list(warc.read_archive(io.BytesIO(c.compress(wrong) + c.flush())))
+
+
 # --- chat
 
 
