@@ -242,7 +242,7 @@ def read_archives(spark, folder: str) -> DataFrame:
     """The records of all archives in ``folder``, as ``READ`` columns. Archives are read in parallel, each from its
     start to its end through an open stream; no archive and no payload is held whole.
 
-    The driver lists nothing: Spark's file source deals the archives' names and lengths to the tasks.
+    Spark's file source lists the archives and deals them to the tasks by their lengths; contents aren't in its plan.
     """
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
