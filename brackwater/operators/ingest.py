@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, timedelta
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brackwater.sources import files, readers
 
@@ -45,12 +48,20 @@ class ChangePoll:
     a run that breaks off between the two lands the same page again in the same place, so nothing is lost
     or doubled. Readers see pages up to the watermark. Rows that share both time and key with the
     watermark have been landed; rows without either are never polled.
+
+    One page costs a scan of the source, so a backlog isn't taken page by page: ``land_all`` sorts what is
+    behind the watermark once, cuts it into the same pages and lands them together.
     """
 
     def __init__(self, source: DataFrame, root: str, updated: str, key: str, page: int = PAGE):
+        if "page" in source.columns:
+            raise ValueError("page is the name of the pages' folders")
         self.source, self.root, self.updated, self.key, self.page = source, root.rstrip("/"), updated, key, page
         self.spark = source.sparkSession
 
+    def _with(self, name: str, kind: T.DataType) -> T.StructType:
+        return T.StructType([*self.source.schema.fields, T.StructField(name, kind)])
+
     def mark(self) -> dict:
         """The watermark: page, and the time and key of the last row that has landed, as text."""
         there = files.numbers(self.spark, f"{self.root}/marks")
@@ -72,20 +83,51 @@ class ChangePoll:
         last = self.spark.read.schema(self.source.schema).parquet(path).agg(F.max(F.struct(self.updated, self.key)).alias("m")).select(*(F.col(f"m.{c}").cast("string") for c in (self.updated, self.key))).first()
         return None if last[0] is None else {"page": mark["page"] + 1, "at": last[0], "key": last[1]}
 
+    def land_all(self) -> dict | None:
+        """Writes all pages behind the watermark, and gives the watermark of the last; None where nothing is new.
+
+        The backlog is dealt out in ranges of time and key and written aside in their order. The rows of the
+        ranges before tell each row's place, and so its page.
+        """
+        mark, aside = self.mark(), f"{self.root}/backlog-{uuid.uuid4().hex}"
+        order, place = (self.updated, self.key), F.monotonically_increasing_id()  # the range above bit 33, the place in it below
+        try:
+            self.behind(mark).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at_", place).write.parquet(aside)
+            held = self.spark.read.schema(self._with("at_", T.LongType())).parquet(aside)
+            part = F.shiftright("at_", 33)
+            last = F.max(F.struct(*order)).alias("m")
+            counts = held.groupBy(part.alias("part_")).agg(F.count("*").alias("n"), last).select("part_", "n", *(F.col(f"m.{c}").cast("string").alias(a) for c, a in zip(order, ("at", "key"), strict=True))).orderBy("part_").collect()  # a row a range
+            if not counts:
+                return None
+            before = [0, *accumulate(r["n"] for r in counts)]
+            first = F.element_at(F.create_map(*(F.lit(x).cast("long") for r, n in zip(counts, before, strict=False) for x in (r["part_"], n))), part)
+            page = F.expr(f"cast((place_ div {self.page}) + {mark['page'] + 1} as int)")
+            paged = held.withColumn("place_", first + F.col("at_").bitwiseAND((1 << 33) - 1)).withColumn("page", page).drop("at_", "place_")
+            paged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("page").parquet(f"{self.root}/pages")
+        finally:
+            files.delete(self.spark, aside)
+        return {"page": mark["page"] + -(-before[-1] // self.page), "at": counts[-1]["at"], "key": counts[-1]["key"]}
+
     def commit(self, mark: dict) -> None:
         files.commit_json(self.spark, f"{self.root}/marks", mark["page"], mark)
 
     def run(self, pages: int | None = None) -> int:
         """Lands and commits pages until nothing is new, or so many; gives their number."""
-        done = 0
-        while (pages is None or done < pages) and (mark := self.land()):
+        done, before = 0, self.mark()["page"]
+        if pages is None:
+            while mark := self.land_all():
+                self.commit(mark)
+            return self.mark()["page"] - before
+        while done < pages and (mark := self.land()):
             self.commit(mark)
             done += 1
         return done
 
     def landed(self) -> DataFrame:
-        paths = [f"{self.root}/pages/page={n}" for n in range(1, self.mark()["page"] + 1)]
-        return self.spark.read.schema(self.source.schema).parquet(*paths) if paths else self.source.limit(0)
+        last = self.mark()["page"]
+        if not last:
+            return self.source.limit(0)
+        return self.spark.read.schema(self._with("page", T.IntegerType())).parquet(f"{self.root}/pages").filter(F.col("page") <= last).drop("page")
 
 
 def incremental_jdbc(spark: SparkSession, url: str, table: str, driver: str, column: str, mark: int | None, parts: int = 8) -> DataFrame | None:

@@ -116,6 +116,23 @@ def test_pages_lose_and_double_nothing(spark, tmp_path):
     assert poll(source.limit(0)).run() == 0
 
 
+def test_a_backlog_is_scanned_once_for_all_its_pages(spark, tmp_path):
+    at, schema = datetime(2024, 1, 1), "id long, updated_at timestamp_ntz, v string"
+    source = spark.createDataFrame([(i, at + timedelta(minutes=(i * 37) % 50), f"v{i}") for i in range(203)], schema).repartition(5)
+    poll = ingest.ChangePoll(source, f"file://{tmp_path}/p", "updated_at", "id", 10)
+    assert poll.run(1) == 1
+    landed = []
+    land = poll.land
+    poll.land = lambda: landed.append(1) or land()
+    poll.land_all()  # lands, but breaks off before the watermark moves
+    assert poll.landed().count() == 10 and poll.run() == 20 and not landed
+    wanted = sorted((r.updated_at, r.id) for r in source.collect())
+    pages = [sorted((r.updated_at, r.id) for r in spark.read.parquet(f"{tmp_path}/p/pages/page={n}").collect()) for n in range(1, 22)]
+    assert [r for page in pages for r in page] == wanted and {len(page) for page in pages[:-1]} == {10}
+    assert sorted((r.updated_at, r.id) for r in poll.landed().collect()) == wanted
+    assert [n for n in files.names(spark, poll.root) if n.startswith("backlog")] == []
+
+
 def test_jdbc_watermark_goes_to_the_database(spark):
     url = f"jdbc:derby:memory:{sinks.scratch_name()};create=true"
     spark.range(1, 101).selectExpr("id", "concat('v', id) AS v").coalesce(1).write.jdbc(url, "t", properties={"driver": DERBY})
