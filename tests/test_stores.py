@@ -3,6 +3,7 @@
 import threading
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,55 @@ def test_orders_expire_by_the_watermark(spark, tmp_path):
     assert live[2] == [(2, "moved", None), (3, "placed", 7), (4, "placed", 7)]
 
 
+def test_orders_are_held_in_blocks(spark, tmp_path):
+    """A call of the state store a group and batch, not several an order; orders of one group end one by one."""
+    calls = []
+
+    class Cell:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def clear(self):
+            calls.append("clear")
+            self.value = None
+
+    class Timers:
+        at = set()
+
+        def registerTimer(self, ms):
+            calls.append("register")
+            self.at.add(ms)
+
+        def deleteTimer(self, ms):
+            self.at.remove(ms)
+
+    class Clock:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    day = 86_400_000_000
+    own = state.CurrentOrders(30)
+    own.handle, own.block = Timers(), Cell()
+    frame = lambda data: pd.DataFrame(data, columns=state.HELD.names)
+    big = [(i, "placed", 2**60 + 1, False, i * day, i * day) for i in range(1, 1001)]
+    out = pd.concat(own.handleInputRows((3,), iter([frame(big[:600]), frame(big[600:])]), Clock(0)))
+    assert len(out) == 1000 and out["live"].all() and (out["customer_id"] == 2**60 + 1).all()
+    assert len(calls) <= 3 and own.handle.at == {31 * 86_400_000}
+    out = pd.concat(own.handleExpiredTimer((3,), Clock(35 * 86_400_000), None))
+    assert sorted(out["order_id"]) == [1, 2, 3, 4, 5] and not out["live"].any() and own.handle.at == {36 * 86_400_000}
+    # order 6 has expired at day 36; of order 7's captures at one time the greater status counts, an older one doesn't
+    new = [(7, "b", 5, False, 7 * day, 9 * day), (7, "c", 0, True, 7 * day, 9 * day), (7, None, 5, False, 7 * day, 9 * day), (8, "z", 5, False, 8 * day, 0), (2000, None, 5, False, 0, 0)]
+    out = pd.concat(own.handleInputRows((3,), iter([frame(new)]), Clock(36 * 86_400_000)))
+    assert sorted((r.order_id, r.status or "", bool(r.no_customer), bool(r.live)) for r in out.itertuples()) == [(6, "placed", False, False), (7, "c", True, True), (8, "placed", False, True), (2000, "", False, False)]
+
+
 def test_pages_lose_and_double_nothing(spark, tmp_path):
     at = datetime(2024, 1, 1)
     data = [(i, at + timedelta(minutes=i // 4), f"v{i}") for i in range(23)] + [(None, at, "no key"), (99, None, "no time")]
