@@ -276,6 +276,24 @@ def test_inserts_in_many_files_are_all_counted(spark, sf_dir, tmp_path):
     assert sum(r.orders for r in catalog.stream_status_counts(spark, str(tmp_path)).collect()) == orders.count()
 
 
+def test_the_stored_fact_has_no_hashes(spark, sf_dir):
+    from brackwater.plans import catalog
+
+    fact = catalog._fact(spark, sf_dir)
+    stored = spark.read.parquet(*{f.rsplit("/", 1)[0] for f in fact.inputFiles()})
+    assert not [c for c in stored.columns if c.startswith("sk_")]
+    assert fact.exceptAll(catalog._made_fact(spark, sf_dir)).isEmpty() and fact.count() == stored.count()
+
+
+def test_a_frame_is_counted_once_for_all_its_schemas(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "k long, v string")
+    contract = quality.T.StructType([quality.T.StructField("k", quality.T.LongType(), False), quality.T.StructField("v", quality.T.StringType()), quality.T.StructField("w", quality.T.StringType())])
+    got = quality.contract_report({"t": (df, contract, "k")}, {"t": [df.schema, df.drop("v").schema, df.drop("k").schema]})
+    apart = [quality.contract_report({"t": (x, contract, "k")}) for x in (df, df.drop("v"), df.drop("k"))]
+    assert rows(got) == sorted(r for x in apart for r in rows(x)) and len(rows(got)) == 9
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
 def test_dropped_rows_are_counted(spark, tmp_path):
     schema, at = "event_id string, ts timestamp", datetime(2024, 1, 1, 12)
     dropped = []
