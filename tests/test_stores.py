@@ -294,6 +294,18 @@ def test_a_frame_is_counted_once_for_all_its_schemas(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
 
 
+def test_messages_come_in_the_files_of_their_input(spark, sf_dir, tmp_path):
+    """No fixed number of tasks for all messages: more splits of the input make more files, in four batches."""
+    from brackwater.plans import live
+
+    for t in ("events", "orders"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").repartition(12).write.parquet(f"{tmp_path}/{t}.parquet")
+    root = live._land_topics(spark, str(tmp_path))
+    assert len([n for n in files.names(spark, f"{root}/in") if n.endswith(".parquet")]) > 12
+    assert files.names(spark, f"{root}/dead_letters") == [f"batch={n}" for n in range(4)]
+    assert all(not spark.read.parquet(f"{root}/orders_cdc/batch={n}").isEmpty() for n in range(4))
+
+
 def test_dropped_rows_are_counted(spark, tmp_path):
     schema, at = "event_id string, ts timestamp", datetime(2024, 1, 1, 12)
     dropped = []
