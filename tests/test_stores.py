@@ -306,6 +306,15 @@ def test_messages_come_in_the_files_of_their_input(spark, sf_dir, tmp_path):
     assert all(not spark.read.parquet(f"{root}/orders_cdc/batch={n}").isEmpty() for n in range(4))
 
 
+def test_the_gate_passes_once_for_all_runs(spark, sf_dir, monkeypatch):
+    from brackwater.plans import catalog
+
+    seen, replace = [], sinks.replace_run
+    monkeypatch.setattr(sinks, "replace_run", lambda df, path, run: seen.append(len(df.inputFiles()) and all("/gate/" in f for f in df.inputFiles())) or replace(df, path, run))
+    catalog.quarantine_runs(spark, sf_dir)
+    assert seen == [True] * 3
+
+
 def test_dropped_rows_are_counted(spark, tmp_path):
     schema, at = "event_id string, ts timestamp", datetime(2024, 1, 1, 12)
     dropped = []
