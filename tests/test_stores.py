@@ -315,6 +315,16 @@ def test_the_gate_passes_once_for_all_runs(spark, sf_dir, monkeypatch):
     assert seen == [True] * 3
 
 
+def test_the_store_is_rewritten_three_times_whatever_the_files(spark, sf_dir, tmp_path, monkeypatch):
+    from brackwater.plans import catalog
+
+    spark.read.parquet(f"{sf_dir}/orders.parquet").repartition(12).write.parquet(f"{tmp_path}/orders.parquet")
+    merges, merge = [], store.BucketStore.merge
+    monkeypatch.setattr(store.BucketStore, "merge", lambda self, batch, number, combine: merges.append(number) or merge(self, batch, number, combine))
+    got = catalog.stream_orders_current(spark, str(tmp_path))
+    assert merges == [0, 1, 2] and rows(got) == rows(catalog.stream_orders_current(spark, sf_dir))
+
+
 def test_dropped_rows_are_counted(spark, tmp_path):
     schema, at = "event_id string, ts timestamp", datetime(2024, 1, 1, 12)
     dropped = []
