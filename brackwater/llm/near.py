@@ -1,18 +1,25 @@
-"""Near copies at a Jaccard similarity of word shingles: banded minima, exact verification.
+"""Near copies at a Jaccard similarity of word shingles: SimHash fingerprints in a positional byte index, count
+filter, exact verification; banded minima for what fingerprints leave apart.
 
 A text is its set of distinct five-word shingles (a shorter text is one shingle), lower-cased and
-cut as for the fingerprints of ``simhash``. Equal sets are one node. A node has BANDS keys of
-ROWS minima each; nodes that share a key are candidates. A pair at similarity s shares none with
-probability (1 - s**ROWS)**BANDS: 3e-6 at 0.8, less above. All else is exact:
-
-1. each node is compared with the smallest node of each of its posting lists, so that a large
-   group of near copies becomes one component for a linear number of comparisons;
-2. in lists that still hold several components, all pairs of different components are looked at,
-   in blocks of bounded size, each pair in the first list that it shares. A sketch tells which can't
-   reach the similarity: a byte of the least hash in each of BINS ranges. The least hashes of two texts'
-   ranges are a sample of their union without replacement, so the shared ones of a pair at the
-   similarity are fewer than DEVIATIONS standard deviations below their mean with probability 3e-7;
-3. pairs of both steps are verified by the exact intersection of their shingles.
+cut as for the fingerprints of ``simhash``. Equal sets are one node.
+
+1. A node's fingerprint is the majority of its shingles' hashes in each of 64 * PRINT_WORDS bits. At a Jaccard
+   similarity s the sets' cosine is 2s / (1 + s), and that angle over pi is the share of bits that differ: 0.15 at 0.8,
+   39 of 256. No number of positional bytes is sure to be spared by so many, so the index is keyed by KEYS pairs of
+   positions, dealt so that each position is in four: a pair at 0.8 shares a byte with probability 0.27 and a
+   key with 0.95. In a posting list the shared positional bytes of a pair are tallied, pairs with fewer than
+   LEAST_BYTES fall out, and so do those that differ in more bits than PRINT_DEVIATIONS standard deviations above the
+   mean at the similarity. Of what is left, rows that others have joined to FEW or more rows of the list give no more
+   links between themselves, so a large group of near copies becomes one component for a linear number of links.
+2. A node has BANDS keys of ROWS minima each. A pair at similarity s shares none with probability
+   (1 - s**ROWS)**BANDS: 3e-6 at 0.8, less above. In lists that still hold several components, all pairs of different
+   components are looked at, in blocks of bounded size, each pair in the first list that it shares: that is the
+   exact way for links that fingerprints miss. A sketch tells which can't reach the similarity: a byte of the least hash
+   in each of BINS ranges. The least hashes of two texts' ranges are a sample of their union without replacement, so the
+   shared ones of a pair at the similarity are fewer than DEVIATIONS standard deviations below their mean with
+   probability 3e-7.
+3. Pairs of both steps are verified by the exact intersection of their shingles.
 
 Defined results: null and blank texts are copies of each other; rows with a null doc_id are
 compared like any other, and come after all others where a component's first row is chosen.
@@ -20,6 +27,7 @@ compared like any other, and come after all others where a component's first row
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -37,8 +45,17 @@ ROWS, BANDS = 5, 32
 BLOCK = 2048
 BINS = 1024
 DEVIATIONS = 5.0
+PRINT_WORDS = 4
+PRINT_BYTES = 8 * PRINT_WORDS
+PRINT_COLUMNS = [f"print{w}" for w in range(PRINT_WORDS)]
+#: Pairs of byte positions: each position with the next and with the fifth from it, round in a ring.
+KEYS = [(p, (p + step) % PRINT_BYTES) for step in (1, 5) for p in range(PRINT_BYTES)]
+LEAST_BYTES = 3
+FEW = 2
+PRINT_DEVIATIONS = 2.0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ODD, _XOR = np.random.default_rng(7).integers(0, 1 << 64, (2, ROWS * BANDS), dtype=np.uint64) | np.array([[1], [0]], dtype=np.uint64)
+_PRINT_XOR = np.random.default_rng(8).integers(0, 1 << 64, PRINT_WORDS, dtype=np.uint64)
 
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -50,6 +67,24 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(42)), dtype=np.uint64, count=len(cut)))
 
 
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash fingerprint of a set of shingles: a bit is 1 if it is set in over half of the hashes."""
+    tally = np.zeros(64 * PRINT_WORDS, dtype=np.int64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(hashes), 4096):
+            mixed = (hashes[at : at + 4096, None] ^ _PRINT_XOR) * _MIX
+            mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX
+            mixed ^= mixed >> np.uint64(29)
+            tally += np.unpackbits(mixed.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * tally > len(hashes)).view(np.uint64)
+
+
+def most_bits(similarity: float) -> int:
+    """Bits in which fingerprints may differ at ``similarity``: PRINT_DEVIATIONS standard deviations above the mean."""
+    share = math.acos(min(2 * similarity / (1 + similarity), 1.0)) / math.pi
+    return math.ceil(64 * PRINT_WORDS * share + PRINT_DEVIATIONS * math.sqrt(64 * PRINT_WORDS * share * (1 - share)))
+
+
 def minima(hashes: np.ndarray) -> np.ndarray:
     """The least of the hashes in each of ROWS * BANDS orders."""
     low = np.full(ROWS * BANDS, (1 << 64) - 1, dtype=np.uint64)
@@ -78,12 +113,12 @@ def range_minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, node, keys, size, bands, sketch) of ``docs`` (row, doc_id, text)."""
+    """(row, doc_id, node, keys, size, bands, sketch) and the fingerprint's words of ``docs`` (row, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in (s for b in batches for s in by_slices()(b)):
-            node, keys, size, bands, sketch = [], [], [], [], []
+            node, keys, size, bands, sketch, words = [], [], [], [], [], []
             for text in batch.column(2).cast(pa.large_binary()):
                 h = shingles(text.as_py() or b"")
                 low = minima(h)
@@ -92,9 +127,85 @@ def prints(docs: DataFrame) -> DataFrame:
                 bands.append(keys[-1].astype("<i4").tobytes())
                 size.append(len(h))
                 sketch.append(range_minima(h).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(size, pa.int64()), pa.array(bands, pa.binary()), pa.array(sketch, pa.binary())], ["row", "doc_id", "node", "keys", "size", "bands", "sketch"])
+                words.append(fingerprint(h).view(np.int64))
+            columns = [batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(size, pa.int64()), pa.array(bands, pa.binary()), pa.array(sketch, pa.binary())]
+            columns += [pa.array(w) for w in np.array(words, dtype=np.int64).reshape(-1, PRINT_WORDS).T.copy()]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "node", "keys", "size", "bands", "sketch", *PRINT_COLUMNS])
+
+    return docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row long, doc_id long, node long, keys array<long>, size long, bands binary, sketch binary, " + ", ".join(f"{c} long" for c in PRINT_COLUMNS))
+
+
+def joining(prints: np.ndarray, group: np.ndarray, own: np.ndarray, cross: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs with close fingerprints in each group: all of up to FEW rows, of more as many as join them;
+    ``cross`` rows are compared with rows of another block only."""
+    n = len(prints)
+    label, members = np.arange(n), np.ones(n, dtype=np.int64)
+    live = np.arange(max(n - 1, 0))
+    left, right = [live[:0]], [live[:0]]
+    shift = 1
+    while len(live):
+        live = live[live + shift < n]
+        live = live[group[live] == group[live + shift]]
+        i = live[(~cross[live] | (own[live] != own[live + shift])) & ((label[live] != label[live + shift]) | (members[label[live]] < FEW))]
+        differ = prints[i] ^ prints[i + shift]
+        enough = (differ.view(np.uint8) == 0).sum(axis=1) >= LEAST_BYTES
+        i = i[enough][np.bitwise_count(differ[enough]).sum(axis=1) <= bits]
+        left.append(i)
+        right.append(i + shift)
+        apart = label[i] != label[i + shift]
+        i, j = i[apart], i[apart] + shift
+        changed = len(i) > 0
+        while len(i):
+            a, b = label[i], label[j]
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(up := label[label], label):
+                label = up
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+        if changed:
+            members = np.bincount(label, minlength=n)
+        shift += 1
+    return np.concatenate(left), np.concatenate(right)
+
+
+def close_prints(nodes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Pairs (u, v) of ``nodes`` (node and its fingerprint's words) that may reach ``similarity``, by the positional
+    byte index of the fingerprints. See ``joining`` for those of a long list."""
+
+    def byte(p: int):
+        return F.shiftrightunsigned(PRINT_COLUMNS[p // 8], 8 * (p % 8)).bitwiseAND(F.lit(255)).cast("int")
+
+    keys = F.array(*(F.lit(k << 16) + F.shiftleft(byte(a), 8) + byte(b) for k, (a, b) in enumerate(KEYS)))
+    index = nodes.select("node", *PRINT_COLUMNS, F.explode(keys).alias("key"))
+    # only lists of several blocks are looked up, so this side of the join is small
+    long = stored(index.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > block).select("key", F.ceil(F.col("m") / F.lit(block)).cast("int").alias("parts")), "near-long")
+    dealt = index.join(long, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", *PRINT_COLUMNS)
+    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    bits = most_bits(similarity)
 
-    return docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row long, doc_id long, node long, keys array<long>, size long, bands binary, sketch binary")
+    def found(rows: np.ndarray) -> pa.RecordBatch:
+        new = np.r_[True, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)]
+        i, j = joining(np.ascontiguousarray(rows[5:].T).view(np.uint64), np.cumsum(new), rows[3], rows[1] != rows[2], bits)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(rows[4][i], rows[4][j])), pa.array(np.maximum(rows[4][i], rows[4][j]))], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+        for batch in batches:
+            kept.append(np.stack([batch.column(c).cast(pa.int64()).to_numpy(zero_copy_only=False) for c in range(batch.num_columns)]))
+            if sum(r.shape[1] for r in kept) < 20_000:
+                continue
+            rows = np.concatenate(kept, axis=1)
+            last = np.flatnonzero((rows[:3] != rows[:3, -1:]).any(axis=0))  # rows of the last group wait for more
+            cut = int(last[-1]) + 1 if len(last) else 0
+            kept = [rows[:, cut:]]
+            if cut:
+                yield found(rows[:, :cut])
+        if kept:
+            yield found(np.concatenate(kept, axis=1))
+
+    return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
@@ -179,15 +290,14 @@ def first_rows(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def _first_rows(docs: DataFrame, similarity: float) -> DataFrame:
     made = stored(prints(docs), "near-prints")
-    nodes = stored(made.groupBy("node").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("keys", "size", "bands", "sketch"))), "near-nodes")
-    index = nodes.select("node", F.explode("keys").alias("key"))
-    lists = index.groupBy("key").agg(F.min("node").alias("u"), F.count("*").alias("m")).filter("m > 1")
-    near = stored(index.join(lists, "key").filter("node != u").select("u", F.col("node").alias("v")).distinct(), "near-firsts")
+    nodes = stored(made.groupBy("node").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("keys", "size", "bands", "sketch", *PRINT_COLUMNS))), "near-nodes")
+    near = stored(close_prints(nodes.filter("size > 0"), similarity), "near-close")
     links = stored(verified(near, nodes, docs, similarity), "near-links")
     joined = connected_components(links, "near")
     named = nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.posexplode("keys").alias("band", "key"))
     rest = stored(pairs_across(named, nodes, similarity).join(near, ["u", "v"], "left_anti"), "near-rest")
     more = stored(verified(rest, nodes, docs, similarity), "near-more")
-    joined = connected_components(links.union(more), "near-all")
+    known = joined.filter("node != component").select(F.col("component").alias("u"), F.col("node").alias("v"))  # one link a node
+    joined = connected_components(known.union(more), "near-all")
     of = made.select("row", "doc_id", "node").join(joined, "node", "left").select(F.coalesce("component", "node").alias("component"), F.col("doc_id").isNull().alias("last"), "doc_id", "node", "row")
     return of.groupBy("component").agg(F.min(F.struct("last", "doc_id", "node", "row")).alias("first")).select("first.row")
