@@ -136,35 +136,45 @@ def prints(docs: DataFrame) -> DataFrame:
 
 
 def joining(prints: np.ndarray, group: np.ndarray, own: np.ndarray, cross: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs with close fingerprints in each group: all of up to FEW rows, of more as many as join them;
-    ``cross`` rows are compared with rows of another block only."""
+    """Places of pairs with close fingerprints in each group: all of up to FEW rows, of more as many as join them.
+
+    ``cross`` rows lie in order of their two blocks and give pairs of one with the other only: what joins a block in
+    itself is given by that block's own group, so here it is sought first and left out, and two large groups of near
+    copies are joined by a few pairs, not by one a row.
+    """
     n = len(prints)
     label, members = np.arange(n), np.ones(n, dtype=np.int64)
-    live = np.arange(max(n - 1, 0))
-    left, right = [live[:0]], [live[:0]]
-    shift = 1
-    while len(live):
-        live = live[live + shift < n]
-        live = live[group[live] == group[live + shift]]
-        i = live[(~cross[live] | (own[live] != own[live + shift])) & ((label[live] != label[live + shift]) | (members[label[live]] < FEW))]
-        differ = prints[i] ^ prints[i + shift]
-        enough = (differ.view(np.uint8) == 0).sum(axis=1) >= LEAST_BYTES
-        i = i[enough][np.bitwise_count(differ[enough]).sum(axis=1) <= bits]
-        left.append(i)
-        right.append(i + shift)
-        apart = label[i] != label[i + shift]
-        i, j = i[apart], i[apart] + shift
-        changed = len(i) > 0
-        while len(i):
-            a, b = label[i], label[j]
-            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-            while not np.array_equal(up := label[label], label):
-                label = up
-            apart = label[i] != label[j]
-            i, j = i[apart], j[apart]
-        if changed:
-            members = np.bincount(label, minlength=n)
-        shift += 1
+    left, right = [label[:0]], [label[:0]]
+    part = np.cumsum(np.r_[True, (group[1:] != group[:-1]) | (cross[1:] & (own[1:] != own[:-1]))])
+    for of, across in ((part, False), (group, True)):
+        live = np.flatnonzero(cross[:-1]) if across else np.arange(max(n - 1, 0))
+        size = np.bincount(of)[of]
+        shift = 1
+        while len(live):
+            live = live[live + shift < n]
+            live = live[of[live] == of[live + shift]]
+            i = live[own[live] != own[live + shift]] if across else live
+            i = i[(label[i] != label[i + shift]) | (members[label[i]] < FEW)]
+            differ = prints[i] ^ prints[i + shift]
+            enough = (differ.view(np.uint8) == 0).sum(axis=1) >= LEAST_BYTES
+            i = i[enough][np.bitwise_count(differ[enough]).sum(axis=1) <= bits]
+            given = i[cross[i] == across]
+            left.append(given)
+            right.append(given + shift)
+            apart = label[i] != label[i + shift]
+            i, j = i[apart], i[apart] + shift
+            changed = len(i) > 0
+            while len(i):
+                a, b = label[i], label[j]
+                np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+                while not np.array_equal(up := label[label], label):
+                    label = up
+                apart = label[i] != label[j]
+                i, j = i[apart], j[apart]
+            if changed:
+                members = np.bincount(label, minlength=n)
+                live = live[members[label[live]] < np.maximum(size[live], FEW)]  # a group that is joined as a whole is done
+            shift += 1
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -182,7 +192,7 @@ def close_prints(nodes: DataFrame, similarity: float, block: int = BLOCK) -> Dat
     dealt = index.join(long, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", *PRINT_COLUMNS)
-    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "own")
     bits = most_bits(similarity)
 
     def found(rows: np.ndarray) -> pa.RecordBatch:
@@ -227,6 +237,16 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: fl
     return both.filter(F.col("shared") * 1000 >= (F.col("sizes") - F.col("shared")) * F.lit(round(similarity * 1000))).select("u", "v")
 
 
+def components(links: DataFrame, name: str) -> DataFrame:
+    """``connected_components`` of ``links`` (u, v), after each node is merged with its least neighbour: of a large group
+    of near copies few links are left between merged nodes, so its rounds don't carry the group's links each time."""
+    both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    heads = stored(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low")).select("node", F.least("node", "low").alias("head")), f"{name}-heads")
+    ends = links.join(heads.select(F.col("node").alias("u"), F.col("head").alias("a")), "u").join(heads.select(F.col("node").alias("v"), F.col("head").alias("b")), "v")
+    merged = connected_components(ends.filter("a != b").select(F.col("a").alias("u"), F.col("b").alias("v")), name)
+    return heads.join(merged.withColumnRenamed("node", "head"), "head", "left").select("node", F.coalesce("component", "head").alias("component"))
+
+
 def alike(one: np.ndarray, others: np.ndarray, size: int, sizes: np.ndarray, similarity: float) -> np.ndarray:
     """Which of ``others`` may reach ``similarity`` with ``one``, by their sketches and numbers of shingles."""
     used = ((one > 0) | (others > 0)).sum(axis=1)
@@ -293,11 +313,11 @@ def _first_rows(docs: DataFrame, similarity: float) -> DataFrame:
     nodes = stored(made.groupBy("node").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("keys", "size", "bands", "sketch", *PRINT_COLUMNS))), "near-nodes")
     near = stored(close_prints(nodes.filter("size > 0"), similarity), "near-close")
     links = stored(verified(near, nodes, docs, similarity), "near-links")
-    joined = connected_components(links, "near")
+    joined = components(links, "near")
     named = nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.posexplode("keys").alias("band", "key"))
     rest = stored(pairs_across(named, nodes, similarity).join(near, ["u", "v"], "left_anti"), "near-rest")
     more = stored(verified(rest, nodes, docs, similarity), "near-more")
     known = joined.filter("node != component").select(F.col("component").alias("u"), F.col("node").alias("v"))  # one link a node
-    joined = connected_components(known.union(more), "near-all")
+    joined = components(known.union(more), "near-all")
     of = made.select("row", "doc_id", "node").join(joined, "node", "left").select(F.coalesce("component", "node").alias("component"), F.col("doc_id").isNull().alias("last"), "doc_id", "node", "row")
     return of.groupBy("component").agg(F.min(F.struct("last", "doc_id", "node", "row")).alias("first")).select("first.row")
